@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mix_sources": mixing.op6_mix_sources}
+    return {
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op8_token_counts": tokens.op8_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,9 @@ A word is a run of bytes outside space and 0x09-0x0D, which is exactly what
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
+
 import numpy as np
 
 SYMBOLS = b"#*$%&|<>"
@@ -36,11 +39,12 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
         for k in range(window):
             runs = runs * _MULTIPLIER + ids[k : k + n]
             runs ^= runs >> np.uint64(29)
+    in_order = np.sort(runs)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return 0
     order = np.argsort(runs, kind="stable")
     in_order = runs[order]
     same = in_order[1:] == in_order[:-1]
-    if not same.any():
-        return 0
     suspect = np.zeros(n, bool)
     suspect[1:] |= same
     suspect[:-1] |= same
@@ -57,15 +61,19 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edges[:-1]) > 0))
 
 
-def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); zeros for null."""
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
+
+
+def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The counts named in FIELDS; zeros for null. n_echo_words: words equal to the word before."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     with_words = [x for x in data.split(b"\n") if x.strip()]
     dup_lines = len(with_words) - len(set(with_words))
-    return len(words), code_points(data.translate(None, SPACES)), symbols, dup_lines, repeated_words(words)
+    echoes = sum(map(eq, words, islice(words, 1, None)))
+    return len(words), code_points(data.translate(None, SPACES)), symbols, dup_lines, repeated_words(words), echoes
