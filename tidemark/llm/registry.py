@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, simhash, tokens
+from tidemark.llm import linededup, mixing, quality, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.OP6_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op6_mix_sources": mixing.OP6_SQL}
