@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, quality, simhash, tokens
+from tidemark.llm import linededup, mixing, quality, simhash, tokens, urlrules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
+        "op2_url_filters": urlrules.op2_url_filters,
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op6_mix_sources": mixing.OP6_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op2_url_filters": urlrules.OP2_SQL, "op6_mix_sources": mixing.OP6_SQL}
