@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, quality, simhash, tokens, urlrules
+from tidemark.llm import linededup, mixing, quality, simhash, tokens, urlrules, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
         "op8_token_counts": tokens.op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op2_url_filters": urlrules.OP2_SQL, "op6_mix_sources": mixing.OP6_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op2_url_filters": urlrules.OP2_SQL, "op6_mix_sources": mixing.OP6_SQL, "op10_embedding_near_dedup": vectors.OP10_SQL}
