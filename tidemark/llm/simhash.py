@@ -17,7 +17,7 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 #: Fingerprints that a shard is meant to hold.
-SHARD = 2048
+SHARD = 8192
 #: About so many distinct fingerprints, at most twice as many, shape the tree.
 SAMPLE = 20_000
 #: Texts are hashed together up to about so many bytes.
