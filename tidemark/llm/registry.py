@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, passages, quality, simhash, tokens, toolcalls, urlrules, vectors
+from tidemark.llm import linededup, mixing, passages, pieces, quality, simhash, tokens, toolcalls, urlrules, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_tool_calls": toolcalls.op5_tool_calls,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op9_pieces": pieces.op9_pieces,
         "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
         "op8_token_counts": tokens.op8_token_counts,
     }
