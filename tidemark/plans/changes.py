@@ -1,25 +1,276 @@
-"""Change-stream queries."""
+"""Change-stream queries over records made of events and lineitem, by SQL that Spark and DuckDB read alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import cdc
 
-def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _div(a: str, b: int) -> str:
+    return f"CAST(floor({a} / {b}) AS BIGINT)"
+
+
+#: Events as change records: kinds by divisibility, rows in up to two fragments of which some are lost, every seventh event delivered twice.
+RECORDS = f"""
+ev AS (
+  SELECT event_id, user_id, event_type, value, 'app' AS script, 'User' AS class, concat('User:', user_id % 20) AS cell,
+    CASE WHEN user_id % 20 = 3 AND event_id % 2 = 0 THEN 'a' WHEN user_id % 20 = 3 AND event_id % 3 = 0 THEN 'a/b' ELSE '' END AS facet,
+    {_div("event_id", 2500)} + 1 AS epoch, {_div("event_id % 2500", 5)} + 1 AS txid, event_id AS commit,
+    CASE WHEN event_id > 0 AND event_id % 499 = 0 THEN 'deleted' WHEN event_id % 97 = 0 THEN 'bulk' WHEN event_id % 89 = 0 THEN 'gap'
+      WHEN event_id % 61 = 0 THEN 'snapshot' WHEN event_id % 83 = 0 THEN 'schema' WHEN event_id % 71 = 0 THEN 'link' ELSE 'rows' END AS kind,
+    CASE WHEN event_id % 53 = 0 THEN 'repair' ELSE 'live' END AS origin, concat('node-', event_id % 4) AS node,
+    1704067200000 + event_id * 1000 AS committed_at, CASE WHEN user_id % 2 = 0 THEN 'profile' ELSE 'orders' END AS tbl
+  FROM EVENTS),
+rec AS (
+  SELECT *, CASE WHEN facet = '' THEN 1 ELSE {_div("event_id", 5000)} + 1 END AS incarnation,
+    CASE WHEN kind IN ('rows', 'snapshot', 'schema', 'bulk') THEN tbl END AS table_name,
+    CASE WHEN kind IN ('rows', 'snapshot', 'schema', 'bulk') THEN CASE WHEN tbl = 'profile' THEN {_div("event_id", 4000)} + 1 ELSE 1 END END AS generation,
+    CASE WHEN kind = 'snapshot' THEN concat('s', event_id) END AS snapshot_id,
+    CASE WHEN kind = 'rows' AND event_id % 11 = 0 THEN 2 ELSE 1 END AS fragments,
+    CASE WHEN kind = 'schema' THEN event_id % 7 = 0 END AS dropped, CAST(NULL AS STRING) AS renamed_from, CAST(NULL AS STRING) AS scope, CAST(NULL AS BIGINT) AS expected,
+    CASE WHEN kind = 'deleted' AND event_id % 2 = 1 THEN 'a' END AS target_facet, CASE WHEN kind = 'deleted' AND event_id % 4 = 1 THEN 1 END AS target_incarnation,
+    CASE WHEN kind = 'deleted' THEN event_id % 3 = 0 END AS subtree, CASE WHEN kind = 'deleted' AND event_id % 5 < 2 THEN 1 END AS through_incarnation,
+    CASE WHEN kind = 'gap' THEN txid + event_id % 3 END AS to_txid, CASE WHEN kind = 'link' THEN epoch - 1 END AS prev_epoch, CASE WHEN kind = 'link' THEN txid END AS prev_txid
+  FROM ev),
+ends AS (SELECT * FROM rec UNION ALL
+  SELECT event_id, user_id, event_type, value, script, class, cell, facet, epoch, txid, commit, 'snapshot_end', origin, node, committed_at, tbl, incarnation,
+    CASE WHEN event_id % 2 = 1 THEN table_name END, CASE WHEN event_id % 2 = 1 THEN generation END, snapshot_id, 1, dropped, renamed_from,
+    CASE WHEN event_id % 2 = 1 THEN 'tables' ELSE 'stream' END, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END, target_facet, target_incarnation, subtree, through_incarnation, to_txid, prev_epoch, prev_txid
+  FROM rec WHERE kind = 'snapshot'),
+frag AS (
+  SELECT ends.*, f.fragment, user_id + (f.fragment - 1) * 100000 AS row_key, CASE WHEN kind = 'snapshot' THEN 'I' WHEN event_type = 'error' THEN 'D' WHEN event_type = 'signup' THEN 'I' ELSE 'U' END AS op
+  FROM ends JOIN (SELECT 1 AS fragment UNION ALL SELECT 2 AS fragment) f ON f.fragment <= fragments WHERE NOT (f.fragment = 2 AND event_id % 121 = 0)),
+delivered AS (SELECT * FROM frag UNION ALL SELECT * FROM frag WHERE event_id % 7 = 0)
+"""
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str, what: str = "delivered") -> DataFrame:
+    """Records as delivered, with the JSON body of row records."""
+    rows = spark.sql(f"WITH {RECORDS.replace('EVENTS', '{events}')} SELECT * FROM {what}", events=read(spark, sf_dir, "events"))
+    if what != "delivered":
+        return rows
+    row = F.concat(F.lit("["), F.col("row_key"), F.lit(',"'), "event_type", F.lit('",'), F.coalesce(F.col("value").cast("string"), F.lit("null")), F.lit("]"))
+    body = F.concat(F.lit('{"columns":["id","kind","value"],"key_columns":["id"],"rows":[["'), "op", F.lit('",['), "row_key", F.lit("],"), row, F.lit("]]}"))
+    return rows.withColumn("body", F.when(F.col("kind").isin("rows", "snapshot"), body)).drop("event_type", "value", "user_id", "row_key", "op", "tbl")
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.whole_records(records(spark, sf_dir))
+
+
+def _stream(c: str = "") -> str:
+    return ", ".join(c + s for s in cdc.STREAM)
+
+
+#: Whole records, as the SQL twins see them: of the fragments, those of which all came.
+WHOLE = f"{RECORDS}, whole AS (SELECT DISTINCT * FROM frag WHERE NOT (fragments = 2 AND event_id % 121 = 0))"
+POS = "(epoch, txid, commit)"
+_P = "row(epoch, txid, commit)"
+
+
+def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each (l_orderkey, l_linenumber); a returned line deletes its key."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    newest = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*(F.desc(c) for c in order))
-    return lines.withColumn("rn", F.row_number().over(newest)).where("rn = 1 AND l_returnflag <> 'R'").drop("rn")
+    lines = read(spark, sf_dir, "lineitem")
+    order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    newest = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(order).alias("v"))
+    return newest.where("v.l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "v.*")
+
+
+def record_dedup(spark, sf_dir):
+    return cdc.first_deliveries(records(spark, sf_dir)).groupBy("kind", "fragment").agg(F.count("*").alias("n"))
+
+
+def fragment_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).groupBy("cell", "facet", "kind").agg(F.count("*").alias("n"), F.max(cdc.position_key()).alias("last_key"))
+
+
+def stream_deletions(spark, sf_dir):
+    whole = _whole(spark, sf_dir)
+    return cdc.above_deletions(whole, whole).groupBy(*cdc.STREAM).agg(F.count("*").alias("n"), F.min("commit").alias("first_commit"))
+
+
+def facet_deletions(spark, sf_dir):
+    whole = _whole(spark, sf_dir)
+    meta = whole.where("kind = 'deleted' AND target_facet IS NOT NULL").withColumn("cell", F.lit("User:3"))
+    return cdc.facet_deletions(whole, meta)
+
+
+TOMBSTONES = """tomb AS (SELECT 'app' AS script, 'User' AS class, concat('User:', k) AS cell, CASE WHEN k % 3 = 0 AND k > 0 THEN 'a' ELSE '' END AS facet,
+  CASE WHEN k % 2 = 0 THEN CAST(1 AS BIGINT) END AS incarnation, CASE WHEN k = 4 THEN 'x' END AS cleared_at
+  FROM (SELECT 0 AS k UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 8) t)"""
+
+
+def tombstone_route(spark, sf_dir):
+    landed = records(spark, sf_dir).withColumn("facet", F.nullif("facet", F.lit("")))
+    changes, meta = cdc.route(landed, spark.sql(f"WITH {TOMBSTONES} SELECT * FROM tomb"))
+    both = changes.withColumn("routed_to", F.lit("changes")).unionByName(meta.withColumn("routed_to", F.lit("meta")))
+    return both.groupBy("routed_to", "cell", "facet").agg(F.count("*").alias("n"), F.max("committed_at").cast("timestamp_ntz").alias("last_at"))
+
+
+def _cut(c: str) -> list:
+    return [F.col(f"{c}.position.{p}").alias(f"cut_{p}") for p in cdc.POSITION] + [F.col(f"{c}.rank").alias("cut_rank"), F.col(f"{c}.id").alias("cut_id")]
+
+
+def snapshot_winner(spark, sf_dir):
+    cuts = cdc.winning_cuts(cdc.snapshot_cuts(_whole(spark, sf_dir)))
+    return cuts.select(*cdc.STREAM, "scope", *cdc.TABLE, *_cut("cut"))
+
+
+def _generations(whole):
+    return cdc.generations(whole, cdc.snapshot_cuts(whole))
+
+
+def generation_state(spark, sf_dir):
+    gens = _generations(_whole(spark, sf_dir))
+    return gens.select(*cdc.STREAM, *cdc.TABLE, F.col("opened.commit").alias("opened_commit"), "closed", F.col("cut.position.commit").alias("cut_commit"), "uncertain")
+
+
+def uncertain_tables(spark, sf_dir):
+    return _generations(_whole(spark, sf_dir)).where("uncertain").select(*cdc.STREAM, *cdc.TABLE)
+
+
+def current_rows(spark, sf_dir):
+    """Typed current rows of all streams: the whole way from deliveries to tables."""
+    whole = _whole(spark, sf_dir)
+    rows = cdc.latest_rows(whole, _generations(whole))
+    columns = cdc.projection([("id", "INTEGER"), ("kind", "TEXT"), ("value", "REAL"), ("note", "")])
+    return cdc.typed_rows(rows, columns).select(*cdc.STREAM, *cdc.TABLE, F.col("id").cast("bigint"), "kind", "value", "note", "commit")
+
+
+def certified(spark, sf_dir):
+    sent, marks = _sent(records(spark, sf_dir, "rec")), records(spark, sf_dir, "rec")
+    return cdc.certified_heads(sent, _marks(marks))
+
+
+def _sent(rec: DataFrame) -> DataFrame:
+    return rec.where("origin <> 'repair'").select(*cdc.STREAM, *cdc.POSITION)
+
+
+def _marks(rec: DataFrame) -> DataFrame:
+    """A mark per 50 transactions; one in five counts one record too few."""
+    block = F.floor((F.col("txid") - 1) / 50).cast("bigint")
+    own = rec.where("origin <> 'repair'").groupBy(*cdc.STREAM, "epoch", block.alias("block")).agg(F.count("*").alias("n"), F.max(F.struct("txid", "commit")).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*cdc.STREAM, "epoch").orderBy("block"))
+    marked = own.withColumn("from", before)
+    return marked.select(*cdc.STREAM, "epoch", F.col("from.txid").alias("from_txid"), F.col("from.commit").alias("from_commit"), "last.txid", "last.commit", F.col("n").alias("commits"), (F.col("n") - (F.col("block") % 5 == 4).cast("bigint")).alias("records"))
+
+
+MARKS = f"""
+sent AS (SELECT {_stream()}, epoch, txid, commit, {_div("(txid - 1)", 50)} AS block FROM rec WHERE origin <> 'repair'),
+blocks AS (SELECT {_stream()}, epoch, block, count(*) AS n, max(txid) AS txid, max(commit) AS commit FROM sent GROUP BY ALL),
+heads AS (SELECT *, min(CASE WHEN block % 5 = 4 THEN block END) OVER (PARTITION BY {_stream()}, epoch) AS bad FROM blocks),
+certified AS (SELECT {_stream()}, epoch, max(txid) AS txid, max(commit) AS commit FROM heads WHERE bad IS NULL OR block < bad GROUP BY ALL)
+"""
+
+
+def stream_summary(spark, sf_dir):
+    return cdc.stream_summary(cdc.first_deliveries(records(spark, sf_dir)))
+
+
+def state_at(spark, sf_dir):
+    whole = cdc.state_at(_whole(spark, sf_dir), 2, 250, 2**40)
+    return cdc.latest_rows(whole, _generations(whole)).groupBy(*cdc.STREAM, *cdc.TABLE).agg(F.count("*").alias("live_rows"), F.max("commit").alias("newest"))
+
+
+def export_gaps(spark, sf_dir):
+    whole = _whole(spark, sf_dir)
+    heads = cdc.certified_heads(_sent(records(spark, sf_dir, "rec")), _marks(records(spark, sf_dir, "rec")))
+    return cdc.export_gaps(whole, cdc.snapshot_cuts(whole), heads)
+
+
+RECOVERED = "recov AS (SELECT 'User' AS class, cell, epoch, concat('r', event_id) AS session, event_id % 2 = 0 AS loss FROM ev WHERE event_id % 401 = 0 UNION ALL SELECT 'Room', 'Room:1', 1, 'r0', TRUE)"
+
+
+def recovered_adoption(spark, sf_dir):
+    rec = spark.sql(f"WITH {RECORDS.replace('EVENTS', '{events}')}, {RECOVERED} SELECT * FROM recov", events=read(spark, sf_dir, "events"))
+    return cdc.recovered_applied(rec, records(spark, sf_dir, "rec"))
+
+
+QUERIES = {
+    "latest_rows": latest_lines,
+    "record_dedup": record_dedup,
+    "fragment_whole": fragment_whole,
+    "stream_deletions": stream_deletions,
+    "facet_deletions": facet_deletions,
+    "tombstone_route": tombstone_route,
+    "snapshot_winner": snapshot_winner,
+    "generation_state": generation_state,
+    "uncertain_tables": uncertain_tables,
+    "current_rows": current_rows,
+    "certified_heads": certified,
+    "stream_summary": stream_summary,
+    "state_at": state_at,
+    "export_gaps": export_gaps,
+    "recovered_adoption": recovered_adoption,
+}
+
+_KEY = "concat_ws('.', lpad(epoch::VARCHAR, 20, '0'), lpad(txid::VARCHAR, 20, '0'), lpad(commit::VARCHAR, 20, '0'))"
+
+
+def _cuts(source: str) -> str:
+    return f"""
+cuts AS (SELECT e.*, CASE origin WHEN 'repair' THEN 2 WHEN 'snapshot' THEN 1 ELSE 0 END AS rank FROM {source} e WHERE kind = 'snapshot_end'
+  AND expected = (SELECT count(*) FROM {source} p WHERE p.kind = 'snapshot' AND p.snapshot_id = e.snapshot_id AND p.cell = e.cell AND p.facet = e.facet AND p.incarnation = e.incarnation AND p.commit = e.commit)),
+won AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY {_stream()}, scope, table_name, generation ORDER BY epoch DESC, txid DESC, commit DESC, rank DESC, snapshot_id DESC) = 1),
+opened AS (SELECT {_stream()}, table_name, generation, min({_P}) AS opened, bool_or(kind = 'schema' AND coalesce(dropped, FALSE)) AS dropped, max(CASE WHEN kind = 'bulk' THEN {_P} END) AS bulk
+  FROM {source} WHERE table_name IS NOT NULL AND kind IN ('rows', 'snapshot', 'schema', 'bulk') GROUP BY ALL),
+best AS (SELECT o.*, (SELECT max(row(w.epoch, w.txid, w.commit, w.rank, w.snapshot_id)) FROM won w WHERE w.cell = o.cell AND w.facet = o.facet AND w.incarnation = o.incarnation
+    AND (w.scope = 'stream' OR w.table_name = o.table_name AND w.generation = o.generation)) AS cut,
+  dropped OR generation < max(generation) OVER (PARTITION BY {_stream()}, table_name) AS closed FROM opened o),
+gens AS (SELECT *, NOT closed AND bulk IS NOT NULL AND (cut IS NULL OR bulk > row(cut[1], cut[2], cut[3])) AS uncertain FROM best),
+live AS (SELECT r.*, g.cut FROM {source} r JOIN gens g ON g.cell = r.cell AND g.facet = r.facet AND g.incarnation = r.incarnation AND g.table_name = r.table_name AND g.generation = r.generation
+  WHERE NOT g.closed AND (r.kind = 'snapshot' AND g.cut IS NOT NULL AND r.snapshot_id = g.cut[5] AND r.commit = g.cut[3] OR r.kind = 'rows' AND (g.cut IS NULL OR row(r.epoch, r.txid, r.commit) > row(g.cut[1], g.cut[2], g.cut[3])))),
+current AS (SELECT * FROM (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY {_stream()}, table_name, generation, row_key ORDER BY epoch DESC, txid DESC, commit DESC, origin DESC, fragment DESC) = 1) WHERE op <> 'D')
+"""
+
+
+def _with(ctes: str, select: str) -> str:
+    return f"WITH {ctes} {select}".replace("EVENTS", "events")
 
 
-QUERIES = {"latest_rows": latest_rows}
 SQL = {
     "latest_rows": """
 SELECT * FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC,
   l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1
   AND l_returnflag <> 'R'
-"""
+""",
+    "record_dedup": _with(RECORDS, "SELECT kind, fragment, count(*) AS n FROM (SELECT DISTINCT event_id, kind, fragment FROM delivered) GROUP BY ALL"),
+    "fragment_whole": _with(WHOLE, f"SELECT cell, facet, kind, count(*) AS n, max({_KEY}) AS last_key FROM whole GROUP BY ALL"),
+    "stream_deletions": _with(WHOLE, f"""
+SELECT {_stream("w.")}, count(*) AS n, min(w.commit) AS first_commit FROM whole w
+LEFT JOIN (SELECT {_stream()}, max(commit) AS cut FROM whole WHERE kind = 'deleted' AND target_facet IS NULL GROUP BY ALL) c USING ({_stream()})
+WHERE cut IS NULL OR w.commit > cut GROUP BY ALL"""),
+    "facet_deletions": _with(WHOLE, f"""
+SELECT DISTINCT {_stream("s.")} FROM whole s JOIN (SELECT * FROM whole WHERE kind = 'deleted' AND target_facet IS NOT NULL) d ON s.cell = 'User:3' AND s.facet <> ''
+WHERE CASE WHEN d.through_incarnation IS NOT NULL THEN s.incarnation <= d.through_incarnation AND (s.facet = d.target_facet OR d.subtree AND starts_with(s.facet, d.target_facet || '/'))
+  ELSE s.facet = d.target_facet AND (d.target_incarnation IS NULL OR s.incarnation = d.target_incarnation) OR d.subtree AND starts_with(s.facet, d.target_facet || '/') END"""),
+    "tombstone_route": _with(f"{RECORDS}, {TOMBSTONES}", """
+SELECT CASE WHEN kind IN ('rows', 'snapshot') THEN 'changes' ELSE 'meta' END AS routed_to, cell, facet, count(*) AS n, make_timestamp(max(committed_at) * 1000) AS last_at FROM delivered d
+WHERE NOT EXISTS (SELECT 1 FROM tomb t WHERE t.cleared_at IS NULL AND t.script = d.script AND t.class = d.class AND t.cell = d.cell AND t.facet = d.facet AND (t.incarnation IS NULL OR t.incarnation = d.incarnation))
+GROUP BY ALL"""),
+    "snapshot_winner": _with(f"{WHOLE}, {_cuts('whole')}", f"SELECT {_stream()}, scope, table_name, generation, epoch AS cut_epoch, txid AS cut_txid, commit AS cut_commit, rank AS cut_rank, snapshot_id AS cut_id FROM won"),
+    "generation_state": _with(f"{WHOLE}, {_cuts('whole')}", f"SELECT {_stream()}, table_name, generation, opened[3] AS opened_commit, closed, cut[3] AS cut_commit, uncertain FROM gens"),
+    "uncertain_tables": _with(f"{WHOLE}, {_cuts('whole')}", f"SELECT {_stream()}, table_name, generation FROM gens WHERE uncertain"),
+    "current_rows": _with(f"{WHOLE}, {_cuts('whole')}", f"SELECT {_stream()}, table_name, generation, row_key AS id, event_type AS kind, value, CAST(NULL AS VARCHAR) AS note, commit FROM current"),
+    "certified_heads": _with(f"{RECORDS}, {MARKS}", "SELECT * FROM certified"),
+    "stream_summary": _with(RECORDS, f"""
+SELECT {_stream()}, count(*) AS records, count(DISTINCT CASE WHEN origin = 'live' AND kind <> 'recovered' THEN node END) AS nodes, min({_KEY}) AS first_key, max({_KEY}) AS last_key, max(committed_at) AS last_committed_at
+FROM (SELECT DISTINCT * FROM frag) GROUP BY ALL"""),
+    "state_at": _with(f"{WHOLE}, upto AS (SELECT * FROM whole WHERE {POS} <= (2, 250, {2**40})), {_cuts('upto')}", f"SELECT {_stream()}, table_name, generation, count(*) AS live_rows, max(commit) AS newest FROM current GROUP BY ALL"),
+    "export_gaps": _with(f"{WHOLE}, {_cuts('whole')}, {MARKS}, withcut AS (SELECT w.*, c.epoch AS ce, c.txid AS ct FROM whole w LEFT JOIN (SELECT * FROM won WHERE scope = 'stream') c USING ({_stream()}))", f"""
+SELECT DISTINCT {_stream()}, 'gap' AS gap_kind, epoch, to_txid AS txid FROM withcut WHERE kind = 'gap' AND (ce IS NULL OR (epoch, to_txid) > (ce, ct))
+UNION ALL SELECT DISTINCT {_stream()}, 'bulk', epoch, txid FROM withcut WHERE kind = 'bulk' AND (ce IS NULL OR (epoch, txid) > (ce, ct))
+UNION ALL SELECT DISTINCT {_stream("w.")}, 'link', prev_epoch, prev_txid FROM withcut w
+  LEFT JOIN certified h ON h.cell = w.cell AND h.facet = w.facet AND h.incarnation = w.incarnation AND h.epoch = w.prev_epoch
+  WHERE kind = 'link' AND prev_txid > coalesce(h.txid, 0) AND (ce IS NULL OR (prev_epoch, prev_txid) > (ce, ct))"""),
+    "recovered_adoption": _with(f"{RECORDS}, {RECOVERED}", """
+SELECT recov.class, recov.cell, recov.epoch, session, loss, coalesce(s.script, '') AS script, max(s.incarnation) AS incarnation FROM recov
+LEFT JOIN (SELECT DISTINCT script, class, cell, incarnation FROM rec WHERE facet = '') s ON s.class = recov.class AND s.cell = recov.cell AND s.incarnation <= recov.epoch GROUP BY ALL"""),
 }
