@@ -47,10 +47,10 @@ def with_units(docs: DataFrame) -> DataFrame:
                     row += [i] * len(own)
                     rest += [(k, *u) for k, u in enumerate(own)]
                 if rest:
-                    picked = part.take(pa.array(row, pa.int64()))
+                    places = pa.array(row, pa.int64())
                     unit, start, end, words, digest = zip(*rest, strict=True)
                     numbers = [pa.array(x, pa.int32()) for x in (unit, start, end, words)]
-                    yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), *numbers, pa.array(digest, pa.binary())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), *numbers, pa.array(digest, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
