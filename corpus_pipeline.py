@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import store, table
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.mixing import poisson_mix
+from tidemark.llm.nearcopies import near_copies
 from tidemark.llm.pieces import default_model, encode
 from tidemark.llm.quality import quality_rules
-from tidemark.llm.simhash import near_duplicates
-
-#: Near-duplicates here follow the common rule: shingles of five words.
-SHINGLE = 5
 
 
 def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -34,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = near_duplicates(docs, shingle=SHINGLE)
+    """Of each group of near copies (0.8 of their five-word shingles alike) the document with the smallest doc_id stays."""
+    found = near_copies(docs)
     return _by_id(docs, found.where("doc_id = component_id"))
 
 

@@ -77,31 +77,27 @@ def xxh64_slices(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int
     return out
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """The bits set in over half of ``hashes``."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> list[int]:
-    """The unsigned 64-bit fingerprint of each whole text."""
-    out = [0] * len(texts)
+def shingle_hashes(texts: list[str | None], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, hashes) of each text with words: XXH64 of all its shingles, texts hashed together in blocks."""
     block: list[bytes] = []
     spans: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
-    def flush() -> None:
-        nonlocal size
-        if spans:
-            hashes = xxh64_slices(b"".join(block), np.concatenate([x[1] for x in spans]), np.concatenate([x[2] for x in spans]))
-            at = 0
-            for i, starts, _ in spans:
-                out[i] = _majority(hashes[at : at + len(starts)])
-                at += len(starts)
-        block.clear()
-        spans.clear()
-        size = 0
+    def hashed() -> Iterator[tuple[int, np.ndarray]]:
+        if not spans:
+            return
+        hashes = xxh64_slices(b"".join(block), np.concatenate([x[1] for x in spans]), np.concatenate([x[2] for x in spans]))
+        at = 0
+        for i, starts, _ in spans:
+            yield i, hashes[at : at + len(starts)]
+            at += len(starts)
 
     for i, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower() changes A-Z only
@@ -116,8 +112,18 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> list[int]:
         spans.append((i, starts[:n] + size, last - starts[:n]))
         size += len(joined)
         if size >= BLOCK_BYTES:
-            flush()
-    flush()
+            yield from hashed()
+            block.clear()
+            spans.clear()
+            size = 0
+    yield from hashed()
+
+
+def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> list[int]:
+    """The unsigned 64-bit fingerprint of each whole text; zero without words."""
+    out = [0] * len(texts)
+    for i, hashes in shingle_hashes(texts, shingle):
+        out[i] = majority(hashes)
     return out
 
 
