@@ -80,7 +80,7 @@ def band_links(distinct: DataFrame, similarity: float) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", width * i + 1, width)) for i in range(BANDS)))
     rows = store(distinct.select("rep", F.explode(keys).alias("key")), "bands")
     leaders = [F.min("rep").alias("l0")] + [F.min_by("rep", F.xxhash64(F.lit(k), "rep")).alias(f"l{k}") for k in range(1, ORDERS + 1)]
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1").drop("n")
+    groups = store(rows.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1").drop("n"), "groups")
     met = rows.join(groups, "key").select("rep", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(ORDERS + 1))))).alias("leader")).where("rep <> leader")
     pairs = met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
     both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
@@ -93,13 +93,12 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     docs: doc_id, text. Texts without words form one group; a null doc_id has a
     null component. Repeated rows each return. Empty table: empty result.
     """
-    marked = store(with_sketches(docs, shingle), "sketches")
-    own = marked.where("doc_id IS NOT NULL")
-    by_fp = store(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    by_sketch = store(own.where("sketch IS NOT NULL").groupBy("sketch").agg(F.min("doc_id").alias("rep")), "distinct")
-    same_fp = own.join(by_fp, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    same_sketch = own.join(by_sketch, "sketch").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = near_links(by_fp, radius=radius).unionByName(band_links(by_sketch, similarity)).unionByName(same_fp).unionByName(same_sketch)
-    groups = components(links)
-    joined = marked.join(groups, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    marked = store(with_sketches(docs, shingle).withColumn("sketch", F.coalesce("sketch", F.lit(b""))), "sketches")
+    units = store(marked.where("doc_id IS NOT NULL").groupBy("fp", "sketch").agg(F.min("doc_id").alias("unit")), "units")  # equal texts are one
+    by_fp = store(units.groupBy("fp").agg(F.min("unit").alias("rep")), "distinct")
+    by_sketch = store(units.where("sketch <> X''").groupBy("sketch").agg(F.min("unit").alias("rep")), "distinct")
+    same_fp = units.join(by_fp, "fp").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
+    same_sketch = units.join(by_sketch, "sketch").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
+    groups = components(near_links(by_fp, radius=radius).unionByName(band_links(by_sketch, similarity)).unionByName(same_fp).unionByName(same_sketch))
+    labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "unit").alias("component_id"))
+    return marked.join(store(labels, "labels"), ["fp", "sketch"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
