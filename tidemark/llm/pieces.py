@@ -21,7 +21,7 @@ SPACE = "▁"
 BLOCK_BYTES = 32 << 20
 #: Text bytes (about) of one packed row.
 ROW_BYTES = 4 << 20
-#: Words of this many characters or more are folded in Python from the same lattice: the native fold is quadratic in them.
+#: Words of this many characters or more are folded in Python also under unigram models: the native fold is quadratic in them.
 NATIVE_CHARS = 32
 #: A larger vocabulary is refused, as its pieces are broadcast.
 MOST_PIECES = 1_000_000
@@ -48,6 +48,7 @@ class Model:
         normal = self.normal()
         if any(SPACE in text.lstrip(SPACE) for text, _, _ in normal):
             raise ValueError("pieces across words aren't supported")
+        self.bridges = frozenset(text[i : i + 2] for text, _, _ in normal for i in range(len(text) - 1))
         self.order = [i for _, _, i in sorted(normal, key=lambda x: -x[1])]  # ids, best score first
         self.longest = max((len(text) for text, _, _ in normal), default=1)
         if self.longest > 255:
@@ -101,6 +102,13 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
+def atoms(word: str, bridges: frozenset[str]) -> list[str]:
+    """A word, with its first space mark, cut wherever no piece holds the two characters side by side: no merge crosses there."""
+    chars = SPACE + word
+    cuts = [i for i in range(1, len(chars)) if chars[i - 1 : i + 1] not in bridges]
+    return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True)]
+
+
 def _by_bucket(words: set[str], buckets: int) -> list[list[str]]:
     dealt: list[list[str]] = [[] for _ in range(buckets)]
     for w in words:
@@ -125,8 +133,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield task << 24 | number, held
 
 
-def block_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, words): the distinct words of each block, dealt into buckets by their hash."""
+def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """(block, bucket, words): the distinct atoms of each block's words, dealt into buckets by their hash."""
+    bridges = model.bridges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in _blocks(batches):
@@ -134,14 +143,15 @@ def block_words(docs: DataFrame, buckets: int) -> DataFrame:
             for part in parts:
                 for text in part.column(1).to_pylist():
                     seen.update(words_of(text))
-            own = [(i, " ".join(x)) for i, x in enumerate(_by_bucket(seen, buckets)) if x]
+            parts = {a for w in seen for a in atoms(w, bridges)}
+            own = [(i, " ".join(x)) for i, x in enumerate(_by_bucket(parts, buckets)) if x]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.string())], names=["block", "bucket", "words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "block bigint, bucket int, words string")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) -> DataFrame:
-    """words (``by``, word) with edges: all pieces that a word's substrings equal, and its characters without a piece.
+    """words (``by``, word: an atom) with edges: all pieces that a word's substrings equal, and its characters without a piece.
 
     Substrings of bounded length are exploded, joined to the piece table and
     grouped by word. ``pieces``: piece, rank (0 for the best score). An edge is
@@ -149,13 +159,14 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) ->
     edges come best first, then leftmost; the rank of a character without a
     piece is NO_PIECE.
     """
-    marked = words.withColumn("chars", F.concat(F.lit(SPACE), F.col("word"))).withColumn("size", F.char_length("chars"))
+    marked = words.withColumn("size", F.char_length("word")).withColumn("mark", F.xxhash64("word"))
     starts = marked.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))))
-    spans = spans.select(*by, "word", "start", "n", F.col("chars").substr(F.col("start") + 1, F.col("n")).alias("piece"))
+    spans = spans.select(*by, "mark", "word", "start", "n", F.col("word").substr(F.col("start") + 1, F.col("n")).alias("piece"))
     met = spans.join(F.broadcast(pieces), "piece", "left").where("rank IS NOT NULL OR n = 1")
     edge = F.coalesce("rank", F.lit(NO_PIECE)).cast("bigint") * F.lit(1 << 32) + F.col("start").cast("bigint") * F.lit(1 << 8) + F.col("n")
-    return met.select(*by, "word", edge.alias("edge")).groupBy(*by, "word").agg(F.collect_list("edge").alias("edges"))
+    # Grouping by the hash first lets the sort compare numbers, not words.
+    return met.select("mark", "word", *by, edge.alias("edge")).groupBy("mark", "word", *by).agg(F.collect_list("edge").alias("edges"))
 
 
 def _rank(edge: Column) -> Column:
@@ -170,8 +181,9 @@ def _length(edge: Column) -> Column:
     return edge.bitwiseAND(F.lit(0xFF)).cast("int")
 
 
-def _shl(value: Column, n: Column) -> Column:
-    return F.call_function("shiftleft", value, n)
+def _with(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _with(value: Column, body) -> Column:
@@ -187,28 +199,6 @@ def _masked(edge: Column) -> Column:
     return F.struct(ends.alias("ends"), span.alias("span"), edge.alias("edge"))
 
 
-def _alive(cuts: Column, e: Column, n: int) -> Column:
-    """Both ends of ``e`` are cuts and ``n`` cuts lie from one to the other."""
-    return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["span"])) == n)
-
-
-def _merged(edges: Column, size: Column) -> Column:
-    """BPE as a fold over at most ``size`` merges: the best adjacent pair that is a piece (the leftmost of equals) loses its inner cut.
-
-    The state is the set of cuts as bits; the result are the edges left.
-    """
-    one = F.lit(1).cast("bigint")
-    masked = F.transform(F.sort_array(edges), _masked)
-
-    def left(all_edges: Column) -> Column:
-        pairs = F.filter(all_edges, lambda e: _length(e["edge"]) > 1)
-        step = lambda pairs, cuts: _with(F.get(F.filter(pairs, lambda e: _alive(cuts, e, 3)), F.lit(0)), lambda e: F.when(e.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))))
-        cuts = _with(pairs, lambda p: F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), _shl(one, size + 1) - 1, lambda c, _: step(p, c)))
-        return _with(cuts, lambda c: F.filter(all_edges, lambda e: _alive(c, e, 2)))
-
-    return _with(masked, lambda x: F.transform(left(x), lambda e: e["edge"]))
-
-
 def _viterbi(edges: Column, size: Column, scores: Column, unknown: float) -> Column:
     """The edges of the best path: a fold over positions that keeps the best (score, start, edge) up to each."""
 
@@ -234,13 +224,10 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def fold(model: Model, word: Column) -> Column:
-    """The ids of a word from its ``edges``."""
-    chars, edges = F.concat(F.lit(SPACE), word), F.col("edges")
+    """The ids of a word from its ``edges`` under a unigram model: the best path, by Viterbi."""
+    chars, edges = word, F.col("edges")
     size = F.char_length(chars)
-    if model.kind == BPE:
-        chosen = _merged(edges, size)
-    else:
-        chosen = _viterbi(edges, size, _literal([model.pieces[i][1] for i in model.order], "double"), model.worst - UNKNOWN_PENALTY)
+    chosen = _viterbi(edges, size, _literal([model.pieces[i][1] for i in model.order], "double"), model.worst - UNKNOWN_PENALTY)
     by_start = F.array_sort(chosen, lambda a, b: _start(a) - _start(b))
     ids = _literal(model.order, "int")
     byte_ids = _literal(model.bytes_at or [0], "int")
@@ -256,9 +243,13 @@ def fold(model: Model, word: Column) -> Column:
     return _with(by_start, lambda c: F.when(F.exists(c, bare), mixed(c)).otherwise(F.transform(c, lambda e: F.get(ids, _rank(e)))))
 
 
-def fold_long(model: Model, word: str, edges: list[int]) -> list[int]:
-    """The same ids as ``fold``, in time near linear in a long word."""
-    chars = SPACE + word
+def fold_edges(model: Model, word: str, edges: list[int]) -> list[int]:
+    """The ids of a word from its edges in plain Python, in time near linear in the word.
+
+    BPE: the best-ranked adjacent pair that is a piece is merged, the leftmost of
+    equals, until none is left. Unigram: the same path as ``fold``.
+    """
+    chars = word
     known = {}
     for e in edges:
         rank, start, size = e >> 32, e >> 8 & 0xFFFFFF, e & 0xFF
@@ -301,11 +292,14 @@ def fold_long(model: Model, word: str, edges: list[int]) -> list[int]:
 
 
 def word_ids(model: Model, words: DataFrame, by: list[str]) -> DataFrame:
-    """(``by``, word, ids, edges) of distinct words; a long word has its edges instead of ids."""
+    """(``by``, word, ids, edges) of distinct words: ids under a unigram model; a long word, and all under a BPE model, have edges instead."""
     ranks = [(model.pieces[i][0], rank) for rank, i in enumerate(model.order)]
     pieces = words.sparkSession.createDataFrame(ranks, "piece string, rank int")
+    found = lattice(words, pieces, model.longest, by)
+    if model.kind == BPE:
+        return found.select(*by, "word", F.lit(None).cast("array<int>").alias("ids"), "edges")
     short = F.char_length("word") < NATIVE_CHARS
-    return lattice(words, pieces, model.longest, by).select(*by, "word", F.when(short, fold(model, F.col("word"))).alias("ids"), F.when(~short, F.col("edges")).alias("edges"))
+    return found.select(*by, "word", F.when(short, fold(model, F.col("word"))).alias("ids"), F.when(~short, F.col("edges")).alias("edges"))
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
@@ -317,10 +311,10 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     ids. Repeated rows each return. An empty table gives an empty result.
 
     1. Blocks of documents list their distinct words, packed by hash bucket.
-    2. Per bucket, the distinct words' substrings are joined to the pieces,
-       grouped by word and folded natively: by merges for BPE models, whose
-       scores are merge ranks (a Viterbi path over them isn't what the library
-       gives), by Viterbi for unigram models.
+    2. Per bucket, the distinct words' substrings are joined to the pieces and
+       grouped by word. Unigram models fold Viterbi natively. The scores of
+       BPE models are merge ranks, over which a Viterbi path isn't what the
+       library gives: their words are merged in Python from the same edges.
     3. Each block gets the ids of its words back, in the order of its lists,
        and its documents are put together. A word list that differs from the
        first pass (an unstable input) is an error, never a wrong id.
@@ -329,15 +323,15 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     is a word or a document, so no frequent word or source fills a task.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = store(block_words(docs, buckets), "words").repartition("bucket")
+    buckets, bridges = int(spark.conf.get("spark.sql.shuffle.partitions")), model.bridges
+    listed = store(block_words(docs, model, buckets), "words").repartition("bucket")
     words = listed.select("bucket", F.explode(F.split("words", " ")).alias("word")).distinct()
     known = word_ids(model, words, ["bucket"]).withColumnRenamed("bucket", "own_bucket")
 
     def answer(lists: pa.Table, found: pa.Table) -> pa.Table:
         ids: dict[str, list[int]] = {}
         for word, own, edges in zip(*(found.column(x).to_pylist() for x in ("word", "ids", "edges")), strict=True):
-            ids[word] = own if own is not None else fold_long(model, word, edges)
+            ids[word] = own if own is not None else fold_edges(model, word, edges)
         packed = []
         for text in lists.column("words").to_pylist():
             own = [ids[w] for w in text.split(" ")]
@@ -372,7 +366,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             for text in part.column(1).to_pylist():
                 seen.update(words_of(text))
-        dealt = _by_bucket(seen, buckets)
+        cut = {w: atoms(w, bridges) for w in seen}
+        dealt = _by_bucket({a for own in cut.values() for a in own}, buckets)
         ids: dict[str, np.ndarray] = {}
         packed = dict(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist(), strict=True))
         for i, own in enumerate(dealt):
@@ -384,10 +379,11 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 raise RuntimeError("the documents of a block changed between two passes; store them first")
             ends = np.cumsum(np.frombuffer(body, "<i4", n, 16))
             ids.update(zip(own, np.split(np.frombuffer(body, "<i4", offset=16 + 4 * n), ends[:-1]), strict=True))
+        whole = {w: ids[own[0]] if len(own) == 1 else np.concatenate([ids[a] for a in own]) for w, own in cut.items()}
         out = []
         for part in parts:
             for batch in part.to_batches(max_chunksize=256):
-                lists = [[ids[w] for w in words_of(text)] for text in batch.column(1).to_pylist()]
+                lists = [[whole[w] for w in words_of(text)] for text in batch.column(1).to_pylist()]
                 flat = [np.concatenate(x) if x else np.zeros(0, "<i4") for x in lists]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
                 values = np.concatenate(flat) if flat else np.zeros(0, "<i4")
