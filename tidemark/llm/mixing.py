@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import store, table
+
 #: One draw covers a mean of at most this much; larger means are sums of several draws, as exp(-mean) would underflow.
 MEAN_PER_DRAW = 500.0
 SEED = 20
@@ -67,6 +69,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, alpha: flo
     docs = docs.drop("mix_copy", "mix_key")
     per_draw = F.ceil(F.greatest(F.col("rate"), F.lit(1e-9)) / F.lit(MEAN_PER_DRAW)).cast("int")
     plan = rates(docs, weights, alpha, epochs).where("rate > 0").select(F.col("source").alias("_mix_source"), per_draw.alias("_mix_draws"), _cdf(F.col("rate") / per_draw).alias("_mix_cdf"))
+    plan = store(plan, "plan")  # one row per source: read from files its size is known, and the documents aren't shuffled to meet it if it is small
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     uniforms = F.transform(F.sequence(F.lit(1), F.col("_mix_draws")), lambda j: _uniform(F.lit(str(seed)), ident, j.cast("string")))
@@ -78,8 +81,6 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, alpha: flo
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import table
-
     return poisson_mix(table(spark, sf_dir, "documents"))
 
 
