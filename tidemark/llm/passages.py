@@ -73,6 +73,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     rank = (F.coalesce("doc_id", F.lit(_LAST_DOC)).cast(RANK) * F.lit(_UNITS).cast("decimal(11,0)") + F.col("unit")).cast(RANK)
     rows = store(with_units(docs).withColumn("rank", rank), "units")
     firsts = rows.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
+    firsts = store(firsts, "firsts")  # joined from files, both sides are exchanged, and a frequent digest's partition can be split
     hits = rows.join(firsts, "digest").where("rank > first")
     of_doc = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     island = F.col("unit") - F.dense_rank().over(of_doc)
