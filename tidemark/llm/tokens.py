@@ -148,7 +148,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text")
     fresh = found.mapInArrow(_counted(tokenizer), "digest binary, n_tokens bigint")
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
-    counts = cached_counts(spark, cache, version)
+    counts = store(cached_counts(spark, cache, version), "counts")  # from files, so that a frequent digest's partition can be split
     joined = keyed.join(counts, "digest")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
