@@ -23,7 +23,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 #: A signature of BANDS * ROWS values tells a similarity to 0.037 (one standard deviation at 0.8); pairs are taken from so much below.
-SLACK = 0.04
+SLACK = 0.06
 #: Members of a band group that the others are compared with: the first by doc_id, and the first in as many orders by hash.
 ORDERS = 4
 SEED = 5

@@ -6,6 +6,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from tidemark.llm.common import store, table
 
 SPACE = "▁"
 #: Text bytes (about) whose distinct words are looked up together.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: Text bytes (about) of one packed row.
 ROW_BYTES = 4 << 20
 #: Words of this many characters or more are folded in Python also under unigram models: the native fold is quadratic in them.
@@ -105,7 +106,9 @@ def words_of(text: str | None) -> list[str]:
 def atoms(word: str, bridges: frozenset[str]) -> list[str]:
     """A word, with its first space mark, cut wherever no piece holds the two characters side by side: no merge crosses there."""
     chars = SPACE + word
-    cuts = [i for i in range(1, len(chars)) if chars[i - 1 : i + 1] not in bridges]
+    cuts = [i for i, pair in enumerate(map(add, chars, chars[1:]), 1) if pair not in bridges]
+    if not cuts:
+        return [chars]
     return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True)]
 
 
@@ -378,7 +381,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 seen.update(words_of(text))
         cut = {w: atoms(w, bridges) for w in seen}
         dealt = _by_bucket({a for own in cut.values() for a in own}, buckets)
-        ids: dict[str, np.ndarray] = {}
+        ids: dict[str, bytes] = {}  # of little-endian 32-bit numbers: small, and quick to join
         packed = dict(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist(), strict=True))
         for i, own in enumerate(dealt):
             if not own:
@@ -387,17 +390,19 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
             n, mark = np.frombuffer(body, "<i8", 2).tolist()
             if n != len(own) or mark != zlib.crc32(" ".join(own).encode("utf-8", "surrogatepass")):
                 raise RuntimeError("the documents of a block changed between two passes; store them first")
-            ends = np.cumsum(np.frombuffer(body, "<i4", n, 16))
-            ids.update(zip(own, np.split(np.frombuffer(body, "<i4", offset=16 + 4 * n), ends[:-1]), strict=True))
-        whole = {w: ids[own[0]] if len(own) == 1 else np.concatenate([ids[a] for a in own]) for w, own in cut.items()}
+            at = 16 + 4 * n
+            for atom, size in zip(own, np.frombuffer(body, "<i4", n, 16).tolist(), strict=True):
+                ids[atom] = body[at : at + 4 * size]
+                at += 4 * size
+        whole = {w: ids[own[0]] if len(own) == 1 else b"".join([ids[a] for a in own]) for w, own in cut.items()}
+        ids.clear()
+        cut.clear()
         out = []
         for part in parts:
             for batch in part.to_batches(max_chunksize=256):
-                lists = [[whole[w] for w in words_of(text)] for text in batch.column(1).to_pylist()]
-                flat = [np.concatenate(x) if x else np.zeros(0, "<i4") for x in lists]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
-                values = np.concatenate(flat) if flat else np.zeros(0, "<i4")
-                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+                flat = [b"".join([whole[w] for w in words_of(text)]) for text in batch.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
+                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))
                 out.append(pa.RecordBatch.from_arrays([batch.column(0), array], names=["doc_id", "ids"]))
         return pa.Table.from_batches(out)
 
