@@ -147,6 +147,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
     wanted = misses.select("digest", F.col("doc_id").alias("_want"))
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text")
     fresh = found.mapInArrow(_counted(tokenizer), "digest binary, n_tokens bigint")
+    fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a repeated row is encoded with its twin, but stored once
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
     counts = store(cached_counts(spark, cache, version), "counts")  # from files, so that a frequent digest's partition can be split
     joined = keyed.join(counts, "digest")
