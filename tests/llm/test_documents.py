@@ -178,6 +178,39 @@ def test_passages(spark, odd, tmp_path):
     assert passages.remove_passages(odd).count() == len(ODD)
 
 
+def slow_windows(docs, size):
+    """The words of each document within a run of ``size`` words that comes earlier."""
+    seen, out = set(), {i: set() for i, _ in docs}
+    for i, t in docs:
+        w = t.lower().split()
+        for k in range(len(w) - size + 1):
+            run = tuple(w[k : k + size])
+            if run in seen:
+                out[i].update(range(k, k + size))
+            seen.add(run)
+    return out
+
+
+def test_passages_that_start_and_end_inside_sentences(spark, tmp_path):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(6)) + rng.choice(["", "", "", "", "", "", "", "", "", "", "", "", ".", "\n"])
+    docs = [(i, " ".join(word() for _ in range(rng.randint(30, 300)))) for i in range(10)]
+    for i in range(10, 60):  # parts of earlier documents, also of those that are parts themselves, between new words
+        text = [word() for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(docs)[1].split(" ")
+            at = rng.randrange(len(w))
+            text += [x.upper() for x in w[at : at + rng.choice([20, 49, 50, 51, 75, 120])]] + [word() for _ in range(rng.randint(1, 30))]
+        docs.append((i, " ".join(text)))
+    docs.append((60, "a b c d e f g h " * 20))
+    want, texts, got = slow_windows(docs, 50), dict(docs), {i: set() for i, _ in docs}
+    for r in passages.repeated_passages(frame(spark, docs, tmp_path / "w"), min_words=10**6).collect():
+        before = len(texts[r.doc_id][: r.start].split())
+        assert len(texts[r.doc_id][r.start : r.end].split()) == r.n_words and r.first_doc_id <= r.doc_id
+        got[r.doc_id].update(range(before, before + r.n_words))
+    assert sum(map(bool, want.values())) > 30 and got == want
+
+
 def test_mixing_counts_follow_the_rates(spark, tmp_path):
     rows = [(i, f"t{i}", "en", "big" if i % 4 else "small", 1, 1, 1, "k", "d", "c") for i in range(4000)]
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -4,38 +4,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store, table
+from tidemark.llm.common import release, store, table
 
-#: Least words of a run of repeated units that is removed. A repeated passage of
-#: 50 words may begin and end inside sentences; what lies between still has so many.
+#: Least words of a run of whole repeated units that is removed.
 MIN_WORDS = 30
+#: Every passage of so many words that comes earlier is removed, wherever in its sentences it starts and ends.
+PASSAGE = 50
+#: Words of an anchor: of the runs of so many words in a passage, the one with the least hash.
+ANCHOR = 20
 _BREAK = re.compile(r"[.!?]+\s+|\n+")
 _UNITS = 2**32
 _LAST_DOC = 2**63 - 1
 RANK = "decimal(38,0)"
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Word hashes that a worker keeps at most.
+_KNOWN_WORDS = 1 << 16
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each sentence; lines end sentences too. Offsets count code points."""
+def units(text: str) -> list[tuple[int, int, int, int, bytes]]:
+    """(start, end, word, words, digest) of each sentence; lines end sentences too. Offsets count code points, ``word`` counts words before it."""
     found = []
-    start = 0
+    start = before = 0
     for stop, following in [(m.start() + len(m[0].rstrip()), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]:
         words = text[start:stop].lower().split()
         if words:
-            found.append((start, stop, len(words), xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+            found.append((start, stop, before, len(words), xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+            before += len(words)
         start = following
     return found
 
 
 def with_units(docs: DataFrame) -> DataFrame:
-    """One row per unit: doc_id, text_hash, unit, start, end, words, digest."""
-    schema = docs.select("doc_id").schema.add("text_hash", "long").add("unit", "integer").add("start", "integer").add("end", "integer").add("words", "integer").add("digest", "binary")
+    """One row per unit: doc_id, text_hash, unit, start, end, word, words, digest."""
+    schema = docs.select("doc_id").schema.add("text_hash", "long").add("unit", "integer").add("start", "integer").add("end", "integer").add("word", "integer").add("words", "integer").add("digest", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,45 +57,225 @@ def with_units(docs: DataFrame) -> DataFrame:
                     rest += [(k, *u) for k, u in enumerate(own)]
                 if rest:
                     places = pa.array(row, pa.int64())
-                    unit, start, end, words, digest = zip(*rest, strict=True)
-                    numbers = [pa.array(x, pa.int32()) for x in (unit, start, end, words)]
+                    unit, start, end, word, words, digest = zip(*rest, strict=True)
+                    numbers = [pa.array(x, pa.int32()) for x in (unit, start, end, word, words)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), *numbers, pa.array(digest, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
+class _Hashes(dict):
+    """XXH64 of words, kept while there are few."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < _KNOWN_WORDS:
+            self[word] = value
+        return value
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(8)
+def _powers(size: int, base: np.uint64) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]))
+
+
+def _rolling(words: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """A polynomial hash of each run of ``size`` words, by differences of one running sum."""
+    room = max(1 << 16, 1 << len(words).bit_length())
+    back = np.uint64(pow(int(base), -1, 2**64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(room, base)[: len(words)])])
+    return _mixed((total[size:] - total[:-size]) * _powers(room, back)[: len(words) - size + 1])
+
+
+@lru_cache(1)
+def _spaces() -> np.ndarray:
+    return np.array([chr(c).isspace() for c in range(0x3100)])
+
+
+def _words(text: str, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words; offsets count code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.ones(len(points) + 2, np.bool_)
+    np.take(_spaces(), points, out=space[1:-1], mode="clip")
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return np.fromiter(map(known.__getitem__, text.lower().split()), np.uint64, len(starts)), starts, ends
+
+
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, context, word, n) of each anchor: it is the one of n passages, the first of which starts at ``word``.
+
+    Equal passages have equal anchors at equal places, so a passage whose anchor
+    comes once in all documents is repeated nowhere. ``context`` hashes all words
+    that passages with this anchor can hold: where it is equal, all n passages are.
+    """
+    hashes = _rolling(words, ANCHOR, _BASES[0])
+    # The least upper half counts, the first of equal ones; doubling spans give the minimum of each PASSAGE - ANCHOR + 1.
+    least = hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64)
+    left, span = PASSAGE - ANCHOR, 1
+    while left:
+        step = min(span, left)
+        least = np.minimum(least[:-step], least[step:])
+        left, span = left - step, span + step
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    word = np.flatnonzero(np.diff(at, prepend=-1))
+    at, n = at[word], np.diff(word, append=len(at))
+    # Zeros stand for what lies beyond the text.
+    padding = np.zeros(PASSAGE - ANCHOR, np.uint64)
+    context = _rolling(np.concatenate([padding, words, padding]), 2 * PASSAGE - ANCHOR, _BASES[1])[at]
+    return hashes[at], context, word, n
+
+
+def with_anchors(docs: DataFrame) -> DataFrame:
+    """One row per anchor: doc_id, text_hash, anchor, context, word, n, start, end (of its n passages together)."""
+    schema = docs.select("doc_id").schema.add("text_hash", "long").add("anchor", "long").add("context", "long").add("word", "integer").add("n", "integer").add("start", "integer").add("end", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, found = [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    words, starts, ends = _words(text or "", known)
+                    if len(words) >= PASSAGE:
+                        anchor, context, word, n = _anchors(words)
+                        numbers = (word, n, starts[word], ends[word + n + PASSAGE - 2])
+                        found.append((anchor.view(np.int64), context.view(np.int64), *(x.astype(np.int32) for x in numbers)))
+                        row.append(np.full(len(anchor), i))
+                if row:
+                    places = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=schema.names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+
+
+def with_windows(docs: DataFrame) -> DataFrame:
+    """One row per passage of PASSAGE words in ``ranges``, (word, n) each: doc_id, text_hash, word, start, end, h1, h2.
+
+    docs: doc_id, text_hash, text, ranges.
+    """
+    schema = docs.select("doc_id", "text_hash").schema.add("word", "integer").add("start", "integer").add("end", "integer").add("h1", "long").add("h2", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, starts, ends = _words(batch.column(2)[i].as_py(), known)
+                first, n = (batch.column(3)[i].values.field(k).to_numpy() for k in (0, 1))
+                own = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                both = [_rolling(w, PASSAGE, b)[own].view(np.int64) for w, b in ((words, _BASES[0]), (_mixed(words), _BASES[1]))]
+                numbers = [x.astype(np.int32) for x in (own, starts[own], ends[own + PASSAGE - 1])]
+                at = pa.array(np.full(len(own), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, (*numbers, *both))], names=schema.names)
+
+    return docs.select("doc_id", "text_hash", "text", "ranges").mapInArrow(run, schema)
+
+
+def _rank(place: str) -> Column:
+    return (F.coalesce("doc_id", F.lit(_LAST_DOC)).cast(RANK) * F.lit(_UNITS).cast("decimal(11,0)") + F.col(place)).cast(RANK)
+
+
+def _with_first(rows: DataFrame, key: list[str], place: str) -> DataFrame:
+    """The rows whose key comes at several ranks, and ``first``, the least of them."""
+    firsts = rows.groupBy(*key).agg(F.min(_rank(place)).alias("first"), F.max(_rank(place)).alias("last")).where("first < last").drop("last")
+    return rows.join(store(firsts, "firsts"), key)  # joined from files, both sides are exchanged, and a frequent key's partition can be split
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """Runs of passages of PASSAGE words that each equal an earlier one: doc_id, text_hash, word, stop, start, end, first.
+
+    Anchors whose context came before are settled by one row each; the passages
+    of the first of each context are hashed one by one, where their anchor has
+    several contexts.
+    """
+    anchors = store(with_anchors(docs), "anchors")
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("_n"), (F.min("context") < F.max("context")).alias("several")).where("_n > 1").drop("_n")
+    shared = store(anchors.join(store(often, "often"), "anchor"), "shared")
+    release(anchors)
+    firsts = store(shared.groupBy("anchor", "context").agg(F.min(_rank("word")).alias("first")), "firsts")
+    met = store(shared.join(firsts, ["anchor", "context"]).drop("anchor", "context"), "met")
+    release(shared)
+    release(firsts)
+    place = ["doc_id", "text_hash", "word"]
+    later = met.where(_rank("word") > F.col("first")).select(*place, (F.col("word") + F.col("n") + PASSAGE - 1).alias("stop"), "start", "end", "first")
+    ranges = met.where(F.col("several") & (_rank("word") == F.col("first"))).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_set(F.struct("word", "n")).alias("ranges"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(store(ranges, "ranges"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    single = _with_first(store(with_windows(texts), "windows"), ["h1", "h2"], "word").where(_rank("word") > F.col("first"))
+    return later.unionByName(single.select(*place, (F.col("word") + PASSAGE).alias("stop"), "start", "end", "first"))
+
+
+def _joined(hits: list[np.ndarray], min_words: int) -> tuple[np.ndarray, ...]:
+    """(start, end, n_units, n_words, first) of each passage to remove from one text; ``first`` is a place in hits.
+
+    hits: word, stop, start, end, unit; unit is -1 for runs of windows.
+    """
+    word, stop, start, end, unit = hits
+    units = np.argsort(unit, kind="stable")
+    units = units[np.searchsorted(unit[units], 0) :]
+    cut = np.flatnonzero(unit < 0)
+    if len(units):
+        runs = np.flatnonzero(np.diff(unit[units], prepend=-9) != 1)
+        words = np.add.reduceat((stop - word)[units], runs)
+        cut = np.concatenate([cut, units[np.repeat(words >= min_words, np.diff(runs, append=len(units)))]])
+    cut = cut[np.lexsort((unit[cut], word[cut]))]
+    reached = np.maximum.accumulate(stop[cut])
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(cut)), np.bool_), word[cut][1:] > reached[:-1]]))
+    last = np.append(at[1:], len(cut))[: len(at)] - 1
+    first = cut[at]
+    within = np.searchsorted(word[first], word[units], side="right") - 1
+    within = within[(within >= 0) & (stop[units] <= np.append(reached[last], -1)[within])]
+    return start[first], np.maximum.accumulate(end[cut])[last], np.bincount(within, minlength=len(at)), reached[last] - word[first], first
+
+
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per passage to remove: doc_id, text_hash, start, end, n_units, n_words, first_doc_id.
 
-    docs: doc_id, text (more columns are ignored). Units are sentences and
-    lines, compared lower-cased with white space collapsed. A unit repeats if
-    an equal one comes earlier by (doc_id, position); runs of adjacent repeated
-    units with ``min_words`` words or more are returned, with code point offsets
-    into the original text; first_doc_id holds the earliest occurrence of the
-    run's first unit. Shorter runs (a licence line, a common phrase) stay.
+    docs: doc_id, text (more columns are ignored). Words are compared lower-cased
+    with white space collapsed. Two things are removed, joined where they touch:
+    each run of PASSAGE words that equals an earlier run by (doc_id, position),
+    whether or not it starts or ends a sentence, and runs of adjacent repeated
+    units (sentences and lines) with ``min_words`` words or more. Offsets are in
+    code points of the original text; n_units counts the repeated units wholly
+    within; first_doc_id holds the earliest occurrence of what the passage
+    starts with. Shorter repeats (a licence line, a common phrase) stay.
 
     A null text has no units. Documents without doc_id come last; units of
     equal rank (repeated rows) do not precede each other. Digests are counted
     with map-side combine, and a digest's occurrences are joined back, which
     splits where one is frequent. An empty table gives an empty result.
     """
-    rank = (F.coalesce("doc_id", F.lit(_LAST_DOC)).cast(RANK) * F.lit(_UNITS).cast("decimal(11,0)") + F.col("unit")).cast(RANK)
-    rows = store(with_units(docs).withColumn("rank", rank), "units")
-    firsts = rows.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    firsts = store(firsts, "firsts")  # joined from files, both sides are exchanged, and a frequent digest's partition can be split
-    hits = rows.join(firsts, "digest").where("rank > first")
-    of_doc = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
-    island = F.col("unit") - F.dense_rank().over(of_doc)
-    runs = hits.withColumn("island", island).groupBy("doc_id", "text_hash", "island")
-    passages = runs.agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.count_distinct("unit").alias("n_units"),
-        F.sum("words").alias("n_words"),
-        F.min_by("first", "unit").alias("first"),
-    ).where(F.col("n_words") >= min_words)
+    rows = store(with_units(docs), "units")
+    hits = _with_first(rows, ["digest"], "unit").where(_rank("unit") > F.col("first"))
+    hits = store(hits.select("doc_id", "text_hash", "word", (F.col("word") + F.col("words")).alias("stop"), "start", "end", "first", "unit"), "hits")
+    release(rows)
+    hits = hits.unionByName(repeated_windows(docs).withColumn("unit", F.lit(-1)))
     doc = F.floor(F.col("first") / F.lit(_UNITS).cast("decimal(11,0)"))
-    return passages.select("doc_id", "text_hash", "start", "end", "n_units", "n_words", F.when(doc < _LAST_DOC, doc.cast("bigint")).alias("first_doc_id"))
+    hit = F.struct("word", "stop", "start", "end", "unit", F.when(doc < _LAST_DOC, doc.cast("bigint")).alias("first_doc_id"))
+    of_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(hit).alias("hits"))
+    schema = docs.select("doc_id").schema.add("text_hash", "long").add("start", "integer").add("end", "integer").add("n_units", "long").add("n_words", "long").add("first_doc_id", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, rest, firsts = [], [], []
+            for i in range(batch.num_rows):
+                own = batch.column(2)[i].values
+                found = _joined([own.field(k).to_numpy() for k in range(5)], min_words)
+                if len(found[0]):
+                    row.append(np.full(len(found[0]), i))
+                    rest.append(found[:4])
+                    firsts.append(own.field(5).take(pa.array(found[4])))
+            if rest:
+                places = pa.array(np.concatenate(row))
+                columns = [pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(zip(*rest, strict=True), (np.int32, np.int32, np.int64, np.int64), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), *columns, pa.concat_arrays(firsts)], names=schema.names)
+
+    return of_doc.mapInArrow(run, schema)
 
 
 def remove_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
