@@ -318,6 +318,26 @@ def test_near_copies_link_at_the_stated_similarity(spark, tmp_path):
                 assert out[i] == out[j], (i, j)
 
 
+def exact_components(docs, k=5):
+    w = {i: t.split() for i, t in docs}
+    sets = [{tuple(x[j : j + k]) for j in range(len(x) - k + 1)} for x in w.values()]
+    n = len(sets)
+    links = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    ids = list(w)
+    return {ids[i]: ids[c] for i, c in enumerate(components_of(n, links))}
+
+
+def test_near_copies_are_decided_by_their_shingle_sets(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(5))
+    docs = []
+    for k in range(60):  # pairs 0.79 to 0.66 alike: a signature takes some for 0.74 and more
+        own = [word() for _ in range(300)]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 265 - k // 2] + [word() for _ in range(35 + k // 2)]))]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame(spark, docs, tmp_path / "j")).collect()}
+    assert got == exact_components(docs)
+
+
 def test_token_counts_and_cache(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,10 +1,10 @@
-"""Near copies at a stated similarity: SimHash links by vantage-point trees, and MinHash bands where 64 bits are too coarse.
+"""Near copies at a stated similarity: candidates by SimHash trees and MinHash bands, each decided on the shingle sets.
 
 Two texts whose word-shingle sets are 0.8 alike differ in about ten of 64
 SimHash bits, where unrelated texts differ in 32 give or take 4: no tree prunes at
-such a radius. The tree finds all pairs within a few bits, exactly; below that, the
-shingles' MinHash signatures are banded, and pairs that share a band are verified
-on the whole signature.
+such a radius. The tree finds pairs within a few bits; below that, the shingles'
+MinHash signatures are banded. Neither accepts a pair: the exact Jaccard
+similarity of the two shingle sets does.
 """
 
 from __future__ import annotations
@@ -13,17 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, store
+from tidemark.llm.common import components, release, store
 from tidemark.llm.simhash import RADIUS, shingle_hashes, majority, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
-#: A signature of BANDS * ROWS values tells a similarity to 0.037 (one standard deviation at 0.8); pairs are taken from so much below.
-SLACK = 0.06
+#: Pairs whose signatures are so much less alike than asked aren't compared: eight standard deviations (0.037 each) at 0.8.
+SLACK = 0.3
 #: Members of a band group that the others are compared with: the first by doc_id, and the first in as many orders by hash.
 ORDERS = 4
 SEED = 5
@@ -47,17 +48,59 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def with_sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, sketch): SimHash fingerprint and MinHash signature; sketch is null for texts without words."""
+    """(doc_id, fp, sketch, digest, size): SimHash fingerprint, MinHash signature, and digest and size of the shingle set; sketch and digest are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = np.zeros(batch.num_rows, np.uint64), [None] * batch.num_rows
+            fps, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
+            sketches, digests = [None] * batch.num_rows, [None] * batch.num_rows
             for i, hashes in shingle_hashes(batch.column(1).to_pylist(), shingle):
                 fps[i] = majority(hashes)
                 sketches[i] = signature(hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
+                own = np.unique(hashes)
+                sizes[i], digests[i] = len(own), xxhash.xxh128_digest(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes)], names=["doc_id", "fp", "sketch", "digest", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long").add("sketch", "binary"))
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long").add("sketch", "binary").add("digest", "binary").add("size", "integer"))
+
+
+def with_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(unit, digest, shingles): the sorted shingle set of each text with words. docs: unit, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, sets = [], []
+                for i, hashes in shingle_hashes(part.column(1).to_pylist(), shingle):
+                    row.append(i)
+                    sets.append(np.unique(hashes).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["unit", "digest", "shingles"])
+
+    return docs.select("unit", "text").mapInArrow(run, "unit bigint, digest binary, shingles binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, similarity: float, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) of units whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    pairs = store(pairs, "pairs")
+    asked = store(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "digest"), "unit"), "asked")
+    texts = docs.select(F.col("doc_id").alias("unit"), "text").join(asked.select("unit").distinct(), "unit", "left_semi")
+    sets = with_shingles(texts, shingle).join(asked, ["unit", "digest"]).dropDuplicates(["unit", "digest"])
+    sets = store(sets, "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, np.bool_)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit[i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit)) for c in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
+    links = store(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    release(sets)
+    return links
 
 
 def _alike(least: float):
@@ -70,21 +113,24 @@ def _alike(least: float):
     return run
 
 
-def band_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) among ``rep`` of distinct sketches (sketch, rep).
-
-    A group of a band is never paired with itself: each member meets a few
-    leaders of it, so links grow with the members.
-    """
+def band_rows(units: DataFrame) -> DataFrame:
+    """(rep, key): one row per band of each unit with words."""
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", width * i + 1, width)) for i in range(BANDS)))
-    rows = store(distinct.select("rep", F.explode(keys).alias("key")), "bands")
+    return store(units.where("sketch <> X''").select(F.col("unit").alias("rep"), "size", F.explode(keys).alias("key")), "bands")
+
+
+def _candidates(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    both = pairs.join(units.select(F.col("unit").alias("a"), F.col("sketch").alias("x")), "a").join(units.select(F.col("unit").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity - SLACK), "a bigint, b bigint")
+
+
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a band group with a few leaders of it, so that groups of copies link by as many pairs as members."""
     leaders = [F.min("rep").alias("l0")] + [F.min_by("rep", F.xxhash64(F.lit(k), "rep")).alias(f"l{k}") for k in range(1, ORDERS + 1)]
     groups = store(rows.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1").drop("n"), "groups")
     met = rows.join(groups, "key").select("rep", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(ORDERS + 1))))).alias("leader")).where("rep <> leader")
-    pairs = met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-    both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity - SLACK), "a bigint, b bigint")
+    return met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -93,12 +139,15 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     docs: doc_id, text. Texts without words form one group; a null doc_id has a
     null component. Repeated rows each return. Empty table: empty result.
     """
-    marked = store(with_sketches(docs, shingle).withColumn("sketch", F.coalesce("sketch", F.lit(b""))), "sketches")
-    units = store(marked.where("doc_id IS NOT NULL").groupBy("fp", "sketch").agg(F.min("doc_id").alias("unit")), "units")  # equal texts are one
-    by_fp = store(units.groupBy("fp").agg(F.min("unit").alias("rep")), "distinct")
-    by_sketch = store(units.where("sketch <> X''").groupBy("sketch").agg(F.min("unit").alias("rep")), "distinct")
-    same_fp = units.join(by_fp, "fp").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
-    same_sketch = units.join(by_sketch, "sketch").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
-    groups = components(near_links(by_fp, radius=radius).unionByName(band_links(by_sketch, similarity)).unionByName(same_fp).unionByName(same_sketch))
-    labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "unit").alias("component_id"))
-    return marked.join(store(labels, "labels"), ["fp", "sketch"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    marked = with_sketches(docs, shingle).withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("sketch", "digest")})
+    marked = store(marked, "sketches")
+    units = store(marked.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("unit"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("size").alias("size")), "units")  # equal sets are one
+    worded = units.where("sketch <> X''")
+    by_fp = store(worded.groupBy("fp").agg(F.min("unit").alias("rep")), "distinct")
+    same_fp = worded.join(by_fp, "fp").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
+    rows = band_rows(units)
+    led = _candidates(leader_pairs(rows), units, similarity)
+    links = verified(near_links(by_fp, radius=radius).unionByName(same_fp).unionByName(led).distinct(), docs, units, similarity, shingle)
+    groups = components(links)
+    labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
+    return marked.join(store(labels, "labels"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
