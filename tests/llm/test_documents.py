@@ -338,6 +338,17 @@ def test_near_copies_are_decided_by_their_shingle_sets(spark, tmp_path):
     assert got == exact_components(docs)
 
 
+def test_near_copies_that_are_alike_no_leader(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(5))
+    shared, docs = [word() for _ in range(300)], []
+    for k in range(150):  # twins 0.9 alike, all others 0.6
+        own = shared + [word() for _ in range(100)]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-10] + [word() for _ in range(10)]))]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame(spark, docs, tmp_path / "k")).collect()}
+    assert got == exact_components(docs)
+
+
 def test_token_counts_and_cache(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

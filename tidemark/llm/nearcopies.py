@@ -148,6 +148,13 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     rows = band_rows(units)
     led = _candidates(leader_pairs(rows), units, similarity)
     links = verified(near_links(by_fp, radius=radius).unionByName(same_fp).unionByName(led).distinct(), docs, units, similarity, shingle)
-    groups = components(links)
+    # Pairs of a band group that aren't one component yet are all decided; sets whose sizes differ more can't be so alike.
+    labels = components(links).withColumnRenamed("node", "rep")
+    placed = store(rows.join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part")), "placed")
+    mixed = store(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"), "mixed")
+    open_ = store(placed.join(mixed, "key"), "open")
+    x, y = open_.toDF("key", "a", "m", "p"), open_.toDF("key", "b", "n", "q")
+    rest = x.join(y, "key").where((F.col("b") < F.col("a")) & (F.col("p") != F.col("q")) & (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))).select("a", "b").distinct()
+    groups = components(links.unionByName(verified(_candidates(rest, units, similarity), docs, units, similarity, shingle)))
     labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
     return marked.join(store(labels, "labels"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
