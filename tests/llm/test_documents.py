@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -384,11 +385,37 @@ def test_pieces_equal_the_library(spark, tmp_path):
         assert out[i].decoded == (t or "").replace("▁", " ")
 
 
+def test_pieces_of_rows_that_share_an_id(odd):
+    model = pieces.default_model()
+    out = sorted(((r.doc_id, r.ids) for r in pieces.encode(odd, model).collect()), key=repr)
+    whole = lambda t: [i for a in pieces.Cutter(model.bridges, 3).cut(pa.array([t], pa.string()))[0].to_pylist() for i in pieces.fold_text(model, a)]
+    assert out == sorted(((i, whole(t)) for i, t in ODD), key=repr)
+
+
+@pytest.mark.parametrize("char", [" ", "a", "7", "-"])
+def test_a_word_of_a_million_characters(char):
+    import public_tokenizers
+    import sentencepiece
+
+    model, text = pieces.default_model(), char * 1_000_000
+    atoms = pieces.Cutter(model.bridges, 3).cut(pa.array([text]))[0].to_pylist()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert [i for a in atoms for i in pieces.fold_text(model, a)] == library.encode(text)
+
+
+def test_native_and_python_folds_agree(spark):
+    """Random words over few letters hold many ties and overlaps; the native fold must give what merging gives."""
+    model, rng = pieces.default_model(), random.Random(13)
+    words = list({"".join(rng.choice(rng.choice(["etaonx", "ab", " e", "éß中a"])) for _ in range(rng.randint(1, 47))) for _ in range(1500)})
+    got = {r.word: r.ids for r in pieces.word_ids(model, spark.createDataFrame([(w,) for w in words], "word string"), []).collect()}
+    assert got == {w: pieces.fold_text(model, w) for w in words}
+
+
 def test_viterbi_finds_the_best_path(spark):
-    model = pieces.Model(pieces.UNIGRAM, [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("▁a", -2.2, 1), ("bab", -3.3, 1), ("aa", -4.5, 1)], 0, [])
+    model = pieces.Model(pieces.UNIGRAM, [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("▁a", -2.2, 1), ("bab", -3.3, 1), ("aa", -4.0, 1)], 0, [])
     rng = random.Random(9)
-    words = {"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(40)}
-    score = {t: s for t, s, kind in model.pieces if kind == 1}
+    words = {" " + "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(40)} | {" aaaaaa"}
+    score = {t.replace("▁", " "): s for t, s, kind in model.pieces if kind == 1}
     unknown = model.worst - pieces.UNKNOWN_PENALTY
 
     def best(chars):
@@ -401,3 +428,4 @@ def test_viterbi_finds_the_best_path(spark):
     for w in words:
         total = sum(model.pieces[i][1] if i else unknown for i in got[w])
         assert total == pytest.approx(best(w)), w
+        assert got[w] == pieces.fold_text(model, w)  # also where scores tie: aa = a a

@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding over a relational lattice of distinct words."""
+"""SentencePiece encoding and decoding over a relational lattice of distinct word parts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import store, table
 
 SPACE = "▁"
-#: Text bytes (about) whose distinct words are looked up together.
-BLOCK_BYTES = 12 << 20
+#: Text bytes (about) whose distinct atoms are looked up together.
+BLOCK_BYTES = 16 << 20
 #: Text bytes (about) of one packed row.
 ROW_BYTES = 4 << 20
-#: Words of this many characters or more are folded in Python also under unigram models: the native fold is quadratic in them.
-NATIVE_CHARS = 32
+#: Input bytes (about) for each bucket of atoms.
+BUCKET_BYTES = 4 << 20
+#: Atoms of so many characters or more are folded in Python, to the same ids: the native fold is quadratic in them.
+NATIVE_CHARS = 48
+#: Longest piece, in characters, that an edge has bits for; models with longer ones are folded in Python.
+NATIVE_PIECE = 16
 #: A larger vocabulary is refused, as its pieces are broadcast.
 MOST_PIECES = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -31,7 +35,9 @@ UNIGRAM, BPE = 1, 2
 #: A character without a piece costs so much more than the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
 #: The rank of an edge that is a character without a piece.
-NO_PIECE = (1 << 20) - 1
+NO_PIECE = (1 << 17) - 1
+#: Bits of an edge, from the lowest: right spine, left spine, split, length less one, start, rank.
+_LEFT, _SPLIT, _LENGTH, _START, _RANK = 15, 30, 34, 38, 44
 
 
 @dataclass
@@ -52,13 +58,47 @@ class Model:
         self.bridges = frozenset(text[i : i + 2] for text, _, _ in normal for i in range(len(text) - 1))
         self.order = [i for _, _, i in sorted(normal, key=lambda x: -x[1])]  # ids, best score first
         self.longest = max((len(text) for text, _, _ in normal), default=1)
-        if self.longest > 255:
-            raise ValueError("pieces of over 255 characters aren't supported")
         self.worst = min((score for _, score, _ in normal), default=0.0)
+        #: Spelling (with plain spaces) to rank.
+        self.ranks = {self.pieces[i][0].replace(SPACE, " "): rank for rank, i in enumerate(self.order)}
+        self.codes, ordered = self._codes()
+        self.native = ordered and self.longest <= NATIVE_PIECE and len(self.order) < NO_PIECE
 
     def normal(self) -> list[tuple[str, float, int]]:
         return [(text, score, i) for i, (text, score, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)]
 
+    def _codes(self) -> tuple[dict[str, int], bool]:
+        """Spelling to an edge at start 0, and whether every merge ranks behind the merges that make its parts.
+
+        Under BPE, a piece that its own characters don't merge to can't occur in
+        any text and has no edge. ``split`` is where the last merge of a piece
+        joins its parts; the spines are the lengths of all the parts at its left
+        and right end, over all its merges.
+        """
+        if self.kind != BPE:
+            return {text: rank << _RANK | (len(text) - 1) << _LENGTH for text, rank in self.ranks.items()}, True
+        spines: dict[str, tuple[int, int, int]] = {}
+        ordered = True
+        for text in sorted(self.ranks, key=len):
+            parts, split = list(text), 0
+            while len(parts) > 1:
+                ways = [(self.ranks.get(a + b, NO_PIECE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+                rank, i = min(ways)
+                if rank == NO_PIECE:
+                    break
+                split = len(parts[0])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) > 1:
+                continue
+            left = right = 0
+            if split:
+                a, b = text[:split], text[split:]
+                left = 1 << (len(a) - 1) | spines.get(a, (0, 0, 0))[1]
+                right = 1 << (len(b) - 1) | spines.get(b, (0, 0, 0))[2]
+                ordered &= all(len(x) == 1 or self.ranks[x] < self.ranks[text] for x in (a, b))
+            spines[text] = (split, left, right)
+        return {text: self.ranks[text] << _RANK | (len(text) - 1) << _LENGTH | split << _SPLIT | left << _LEFT | right for text, (split, left, right) in spines.items()}, ordered
+
     @classmethod
     def read(cls, path: str) -> Model:
         from sentencepiece import sentencepiece_model_pb2
@@ -80,45 +120,73 @@ class Model:
         return [self.bytes_at[b] for b in char.encode("utf-8", "replace")] if self.bytes_at else [self.unknown]
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text: each a run of spaces and what follows up to the next space.
+class Cutter:
+    """Cuts texts into atoms, and deals a block's distinct atoms into buckets.
 
-    No piece holds a space mark after another character, so words are encoded
-    apart. The text is led by one space; a word is written without its first space
-    mark, and further ones as marks, so it holds no space.
+    An atom is a run of characters in which each two neighbours stand side by
+    side in some piece: no piece, so no path of the lattice, crosses its ends.
+    Texts are led by a space; marks of spaces are written as spaces.
     """
-    if not text:
-        return []
-    parts = text.replace(SPACE, " ").split(" ")
-    if "" not in parts:
-        return parts
-    found, marks = [], 0
-    for p in parts[:-1]:
-        if p:
-            found.append(SPACE * marks + p)
-            marks = 0
-        else:
-            marks += 1
-    found.append(SPACE * marks + parts[-1])
-    return found
-
-
-def atoms(word: str, bridges: frozenset[str]) -> list[str]:
-    """A word, with its first space mark, cut wherever no piece holds the two characters side by side: no merge crosses there."""
-    chars = SPACE + word
-    cuts = [i for i, pair in enumerate(map(add, chars, chars[1:]), 1) if pair not in bridges]
-    if not cuts:
-        return [chars]
-    return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True)]
-
-
-def _by_bucket(words: set[str], buckets: int) -> list[list[str]]:
-    dealt: list[list[str]] = [[] for _ in range(buckets)]
-    for w in words:
-        dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-    for own in dealt:
-        own.sort()
-    return dealt
+
+    #: Places of the table of neighbours. Two pairs that share a place only make atoms longer.
+    PLACES = 1 << 24
+
+    def __init__(self, bridges: frozenset[str], buckets: int) -> None:
+        bridges = {b.replace(SPACE, " ") for b in bridges}
+        chars = sorted({c for pair in bridges for c in pair})
+        self.kinds = np.zeros(0x110000, np.uint32)
+        self.kinds[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width, self.buckets = len(chars) + 1, buckets
+        self.joined = np.zeros(min(self.width**2, self.PLACES), bool)
+        for a, b in bridges:
+            self.joined[(int(self.kinds[ord(a)]) * self.width + int(self.kinds[ord(b)])) % len(self.joined)] = True
+
+    def cut(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+        """The atoms of all texts in order, and how many each text has."""
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), SPACE, " ")
+        lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ")
+        texts = pc.binary_join_element_wise(lead, texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].tobytes()
+        offsets = offsets - offsets[0]
+        kinds = self.kinds[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
+        at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80).astype(np.int32)
+        cuts = np.ones(len(at), bool)
+        if len(at):
+            cuts[1:] = ~self.joined[(kinds[:-1] * np.uint32(self.width) + kinds[1:]) % np.uint32(len(self.joined))]
+            cuts[np.searchsorted(at, offsets[:-1][offsets[:-1] < len(raw)])] = True
+        starts = at[cuts]
+        atoms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, np.int32(len(raw))).astype(np.int32)), pa.py_buffer(raw))
+        return atoms, np.diff(np.searchsorted(starts, offsets))
+
+    def code(self, texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct atoms in order of bucket, their buckets, the atoms of all texts by their places, and each array's counts.
+
+        Long atoms have buckets of their own, from ``buckets`` on. The character
+        of code 0 has bucket -1.
+        """
+        cut = [self.cut(x) for x in texts]
+        coded = pa.chunked_array([a for a, _ in cut], pa.string()).combine_chunks().dictionary_encode()
+        words = coded.dictionary
+        bucket = self._bucket(words)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return words.take(pa.array(order)), bucket[order], place[np.asarray(coded.indices)], [n for _, n in cut]
+
+    def _bucket(self, words: pa.StringArray) -> np.ndarray:
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1] if len(offsets) else 0].astype(np.uint64)
+        base = 0x9E3779B97F4A7C15
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate([[1], np.full(len(raw), base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            back = np.cumprod(np.concatenate([[1], np.full(len(raw), pow(base, -1, 1 << 64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            total = np.concatenate([[0], np.cumsum((raw + np.uint64(1)) * power[:-1], dtype=np.uint64)]).astype(np.uint64)
+            mixed = (total[offsets[1:]] - total[offsets[:-1]]) * back[offsets[:-1]] * np.uint64(0xC2B2AE3D27D4EB4F)
+        bucket = ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+        bucket += self.buckets * (np.asarray(pc.utf8_length(words)) >= NATIVE_CHARS)
+        bucket[np.asarray(pc.equal(words, "\0"))] = -1
+        return bucket
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -136,52 +204,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield task << 24 | number, held
 
 
+def _lists(words: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The buckets, and the atoms of each, joined by the character of code 0 (which is no part of an atom but its own)."""
+    names, first = np.unique(bucket, return_index=True)
+    offsets = pa.array(np.append(first, len(bucket)).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, words), "\0")
+    return names[names >= 0], joined.filter(pa.array(names >= 0))
+
+
 def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """(block, bucket, words): the distinct atoms of each block's words, dealt into buckets by their hash."""
+    """(block, bucket, words): the distinct atoms of each block, dealt into buckets by their hash."""
     bridges = model.bridges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(bridges, buckets)
         for block, parts in _blocks(batches):
-            seen: set[str] = set()
-            for part in parts:
-                for text in part.column(1).to_pylist():
-                    seen.update(words_of(text))
-            parts = {a for w in seen for a in atoms(w, bridges)}
-            own = [(i, " ".join(x)) for i, x in enumerate(_by_bucket(parts, buckets)) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([i for i, _ in own], pa.int32()), pa.array([x for _, x in own], pa.string())], names=["block", "bucket", "words"])
+            words, bucket, _, _ = cutter.code([x.column(1) for x in parts])
+            names, joined = _lists(words, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), pa.array(names.astype(np.int32)), joined], names=["block", "bucket", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block bigint, bucket int, words string")
+    return docs.mapInArrow(run, "block bigint, bucket int, words string")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) -> DataFrame:
     """words (``by``, word: an atom) with edges: all pieces that a word's substrings equal, and its characters without a piece.
 
     Substrings of bounded length are exploded, joined to the piece table and
-    grouped by word. ``pieces``: piece, rank (0 for the best score). An edge is
-    one number, rank, start and length from the highest bits on, so that sorted
-    edges come best first, then leftmost; the rank of a character without a
-    piece is NO_PIECE.
+    grouped by word. ``pieces``: piece, code (an edge at start 0). An edge is one
+    number: rank (0 for the best score; NO_PIECE for a character without a
+    piece), start, length, and how the piece is made by merges.
     """
     marked = words.withColumn("size", F.char_length("word")).withColumn("mark", F.xxhash64("word"))
     starts = marked.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))))
     spans = spans.select(*by, "mark", "word", "start", "n", F.col("word").substr(F.col("start") + 1, F.col("n")).alias("piece"))
-    met = spans.join(F.broadcast(pieces), "piece", "left").where("rank IS NOT NULL OR n = 1")
-    edge = F.coalesce("rank", F.lit(NO_PIECE)).cast("bigint") * F.lit(1 << 32) + F.col("start").cast("bigint") * F.lit(1 << 8) + F.col("n")
+    met = spans.join(F.broadcast(pieces), "piece", "left").where("code IS NOT NULL OR n = 1")
+    edge = F.coalesce("code", F.lit(NO_PIECE << _RANK)) + F.shiftleft(F.col("start").cast("bigint"), _START)
     # Grouping by the hash first lets the sort compare numbers, not words.
     return met.select("mark", "word", *by, edge.alias("edge")).groupBy("mark", "word", *by).agg(F.collect_list("edge").alias("edges"))
 
 
+def _bits(edge: Column, at: int, n: int) -> Column:
+    return F.shiftright(edge, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+
+
 def _rank(edge: Column) -> Column:
-    return F.shiftright(edge, 32).cast("int")
+    return F.shiftright(edge, _RANK).cast("int")
 
 
 def _start(edge: Column) -> Column:
-    return F.shiftright(edge, 8).bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    return _bits(edge, _START, 6)
 
 
-def _length(edge: Column) -> Column:
-    return edge.bitwiseAND(F.lit(0xFF)).cast("int")
+def _end(edge: Column) -> Column:
+    return _start(edge) + _bits(edge, _LENGTH, 4) + 1
 
 
 def _with(value: Column, body) -> Column:
@@ -189,47 +265,71 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _with(value: Column, body) -> Column:
-    """body(value), with value computed once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _path(best: Column, size: Column) -> Column:
+    """The edges chosen, from the last backwards: ``best`` has at each position the edge that ends there."""
+    start = F.struct(size.alias("at"), F.array().cast("array<bigint>").alias("path"))
+    back = lambda s, _: F.when(s["at"] <= 0, s).otherwise(F.struct(F.get(best, s["at"])["start"].alias("at"), F.array_prepend(s["path"], F.get(best, s["at"])["edge"]).alias("path")))
+    return F.aggregate(F.sequence(F.lit(1), size), start, back, lambda s: s["path"])
 
 
-def _with(value: Column, body) -> Column:
-    """body(value), with value computed once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _best_scores(edges: Column, size: Column, scores: Column, unknown: float) -> Column:
+    """Viterbi: a fold over positions that keeps the best (score, start, edge) up to each."""
 
+    def step(best: Column, at: Column) -> Column:
+        ending = F.filter(edges, lambda e: _end(e) == at)
+        score = lambda e: F.when(_rank(e) == NO_PIECE, F.lit(unknown)).otherwise(F.get(scores, _rank(e)))
+        ways = F.transform(ending, lambda e: F.struct((F.get(best, _start(e))["score"] + score(e)).alias("score"), _start(e).alias("start"), e.alias("edge")))
+        return F.array_append(best, F.array_max(ways))
 
-def _with(value: Column, body) -> Column:
-    """body(value), with value computed once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(-1).cast("bigint").alias("edge")))
+    return _with(F.aggregate(F.sequence(F.lit(1), size), first, step), lambda best: _path(best, size))
 
 
-def _masked(edge: Column) -> Column:
-    """An edge with its cuts as bits: ``ends`` both, ``span`` all from one to the other."""
-    one = F.lit(1).cast("bigint")
-    ends = _shl(one, _start(edge)).bitwiseOR(_shl(one, _start(edge) + _length(edge)))
-    span = _shl(_shl(one, _length(edge) + 1) - 1, _start(edge))
-    return F.struct(ends.alias("ends"), span.alias("span"), edge.alias("edge"))
+def _best_merges(edges: Column, size: Column) -> Column:
+    """Viterbi over merges: a fold over positions that keeps the one edge that merging the text up to there would end with.
 
+    Merging a text gives the one path whose neighbours each stay as they are when
+    the two are merged alone. So the edge at a position is the one that its
+    start's edge suffers as a neighbour. Two neighbours don't stay if some piece
+    whose last merge joins a part at the right end of the first to a part at the
+    left end of the second ranks before the merges that would use up either part;
+    with equal ranks the merge further left comes first. ``crossing`` holds the
+    pieces that the first neighbour leaves possible.
+    """
+    one = F.lit(1)
+    cols = lambda e: F.struct(_start(e).alias("s"), _end(e).alias("t"), F.when(_bits(e, _SPLIT, 4) > 0, _start(e) + _bits(e, _SPLIT, 4)).otherwise(-1).alias("p"), _rank(e).alias("r"), e.alias("e"))
 
-def _viterbi(edges: Column, size: Column, scores: Column, unknown: float) -> Column:
-    """The edges of the best path: a fold over positions that keeps the best (score, start, edge) up to each."""
+    def folded(every: Column) -> Column:
+        def rank_at(s: Column, t: Column) -> Column:
+            return F.get(F.filter(every, lambda y: (y["s"] == s) & (y["t"] == t)), F.lit(0))["r"]
 
-    def step(best: Column, at: Column) -> Column:
-        ending = F.filter(edges, lambda e: _start(e) + _length(e) == at)
-        score = lambda e: F.when(_rank(e) == NO_PIECE, F.lit(unknown)).otherwise(F.get(scores, _rank(e)))
-        ways = F.transform(ending, lambda e: F.struct((F.get(best, _start(e))["score"] + score(e)).alias("score"), _start(e).alias("start"), e.alias("edge")))
-        return F.array_append(best, F.array_max(ways))
+        def used_up(spine: Column, k: Column, whole: Column, of) -> Column:
+            """The rank that uses up the part of length k: the next longer part's, or the whole edge's."""
+            above = F.call_function("shiftright", spine, k)
+            more = k + one + F.bit_count(above.bitwiseAND(-above) - one).cast("int")
+            return F.when(above == 0, whole).otherwise(of(more))
 
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(-1).cast("bigint").alias("edge")))
-    best = F.aggregate(F.sequence(F.lit(1), size), first, step)
+        def lasts_left(c: Column, x: Column) -> Column:
+            k, spine = c["t"] - x["s"], _bits(x["e"], _LEFT, 15)
+            part = F.call_function("shiftright", spine, k - one).bitwiseAND(one) == 1
+            return (c["t"] == x["t"]) | (part & (c["r"] <= used_up(spine, k, x["r"], lambda n: rank_at(x["s"], x["s"] + n))))
 
-    def path(best: Column) -> Column:
-        start = F.struct(size.alias("at"), F.array().cast("array<bigint>").alias("path"))
-        back = lambda s, _: F.when(s["at"] <= 0, s).otherwise(F.struct(F.get(best, s["at"])["start"].alias("at"), F.array_prepend(s["path"], F.get(best, s["at"])["edge"]).alias("path")))
-        return F.aggregate(F.sequence(F.lit(1), size), start, back, lambda s: s["path"])
+        def lasts_right(c: Column, x: Column) -> Column:
+            k, spine = x["t"] - c["s"], _bits(x["e"], 0, 15)
+            part = F.call_function("shiftright", spine, k - one).bitwiseAND(one) == 1
+            return (c["s"] == x["s"]) | (part & (c["r"] < used_up(spine, k, x["r"], lambda n: rank_at(x["t"] - n, x["t"]))))
 
-    return _with(best, path)
+        def step(best: Column, at: Column) -> Column:
+            stays = lambda x: (x["t"] == at) & ~F.exists(F.get(best, x["s"])["crossing"], lambda c: (c["t"] <= at) & lasts_left(c, x))
+            chosen = F.get(F.filter(every, stays), F.lit(0))
+            crossing = lambda x: F.filter(every, lambda c: (c["p"] == at) & (c["s"] >= x["s"]) & lasts_right(c, x))
+            return F.array_append(best, _with(chosen, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("edge"), crossing(x).alias("crossing"))))
+
+        none = F.filter(every, lambda _: F.lit(False))
+        first = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).cast("bigint").alias("edge"), none.alias("crossing")))
+        return _with(F.aggregate(F.sequence(one, size), first, step), lambda best: _path(best, size))
+
+    return _with(F.transform(edges, cols), folded)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -237,123 +337,154 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def fold(model: Model, word: Column) -> Column:
-    """The ids of a word from its ``edges`` under a unigram model: the best path, by Viterbi."""
-    chars, edges = word, F.col("edges")
-    size = F.char_length(chars)
-    chosen = _viterbi(edges, size, _literal([model.pieces[i][1] for i in model.order], "double"), model.worst - UNKNOWN_PENALTY)
-    by_start = F.array_sort(chosen, lambda a, b: _start(a) - _start(b))
+    """The ids of a word from its ``edges``: the best path, by Viterbi, in the order of the text."""
+    edges, size = F.col("edges"), F.char_length(word)
+    if model.kind == BPE:
+        chosen = _best_merges(edges, size)
+    else:
+        chosen = _best_scores(edges, size, _literal([model.pieces[i][1] for i in model.order], "double"), model.worst - UNKNOWN_PENALTY)
     ids = _literal(model.order, "int")
     byte_ids = _literal(model.bytes_at or [0], "int")
 
     def spelled(e: Column) -> Column:
         if not model.bytes_at:
             return F.array(F.lit(model.unknown))
-        code = F.hex(F.encode(chars.substr(_start(e) + 1, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(word.substr(_start(e) + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(byte_ids, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
 
     bare = lambda e: _rank(e) == NO_PIECE
     mixed = lambda c: F.flatten(F.transform(c, lambda e: F.when(bare(e), spelled(e)).otherwise(F.array(F.get(ids, _rank(e))))))
-    return _with(by_start, lambda c: F.when(F.exists(c, bare), mixed(c)).otherwise(F.transform(c, lambda e: F.get(ids, _rank(e)))))
+    return _with(chosen, lambda c: F.when(F.exists(c, bare), mixed(c)).otherwise(F.transform(c, lambda e: F.get(ids, _rank(e)))))
 
 
-def fold_edges(model: Model, word: str, edges: list[int]) -> list[int]:
-    """The ids of a word from its edges in plain Python, in time near linear in the word.
+def fold_text(model: Model, text: str) -> list[int]:
+    """The ids of an atom of any length in plain Python, in time near linear in it: the same as ``fold``.
 
     BPE: the best-ranked adjacent pair that is a piece is merged, the leftmost of
-    equals, until none is left. Unigram: the same path as ``fold``.
+    equals, until none is left. Unigram: the best path; of equal scores the one
+    whose last piece is shortest.
     """
-    chars = word
-    known = {}
-    for e in edges:
-        rank, start, size = e >> 32, e >> 8 & 0xFFFFFF, e & 0xFF
-        if rank != NO_PIECE:
-            known[start, start + size] = rank
-    n = len(chars)
+    ranks, n = model.ranks, len(text)
     if model.kind == BPE:
-        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-        heap = [(known[s, s + 2], s, s + 2) for s in range(n - 1) if (s, s + 2) in known]
+        after = np.arange(1, n + 2, dtype=np.int32)  # the end of the piece that starts here
+        before = np.arange(-1, n, dtype=np.int32)  # the start of the piece before the one that starts here
+        alive = np.ones(n + 1, bool)
+        heap = [rank << 32 | s for s in range(n - 1) if (rank := ranks.get(text[s : s + 2])) is not None]
         heapq.heapify(heap)
-        alive = [True] * (n + 1)
         while heap:
-            _, s, e = heapq.heappop(heap)
-            if not (alive[s] and alive[e]) or after[s] == e or after[after[s]] != e:
+            top = heapq.heappop(heap)
+            rank, s = top >> 32, top & 0xFFFFFFFF
+            if not alive[s] or (m := int(after[s])) >= n:
+                continue
+            e = int(after[m])
+            if ranks.get(text[s:e]) != rank:
                 continue
-            alive[after[s]] = False
-            after[s], before[e] = e, s
-            for a, b in ((before[s], e), (s, after[e])):
-                if a >= 0 and b <= n and (a, b) in known:
-                    heapq.heappush(heap, (known[a, b], a, b))
-        cuts = [i for i in range(n + 1) if alive[i]]
+            alive[m] = False
+            after[s] = e
+            if e < n:
+                before[e] = s
+                if (r := ranks.get(text[s : after[e]])) is not None:
+                    heapq.heappush(heap, r << 32 | s)
+            if s and (r := ranks.get(text[(b := int(before[s])) : e])) is not None:
+                heapq.heappush(heap, r << 32 | b)
+        cuts = np.flatnonzero(alive).tolist()
     else:
-        best = [(0.0, -1)] + [(-np.inf, -1)] * n
-        ending: list[list[int]] = [[] for _ in range(n + 1)]
-        for s, e in known:
-            ending[e].append(s)
+        best = np.zeros(n + 1)
+        come = np.zeros(n + 1, np.int32)
         for e in range(1, n + 1):
-            ways = [(best[s][0] + model.pieces[model.order[known[s, e]]][1], s) for s in ending[e]]
-            if (e - 1, e) not in known:
-                ways.append((best[e - 1][0] + model.worst - UNKNOWN_PENALTY, e - 1))
-            best[e] = max(ways)
+            ways = [(best[s] + model.pieces[model.order[rank]][1], s) for s in range(max(0, e - model.longest), e) if (rank := ranks.get(text[s:e])) is not None]
+            if text[e - 1] not in ranks:
+                ways.append((best[e - 1] + model.worst - UNKNOWN_PENALTY, e - 1))
+            best[e], come[e] = max(ways)
         cuts = [n]
         while cuts[-1] > 0:
-            cuts.append(best[cuts[-1]][1])
+            cuts.append(int(come[cuts[-1]]))
         cuts.reverse()
     out: list[int] = []
     for s, e in zip(cuts, cuts[1:], strict=False):
-        out += [model.order[known[s, e]]] if (s, e) in known else model.fallback(chars[s:e])
+        rank = ranks.get(text[s:e])
+        out += model.fallback(text[s:e]) if rank is None else [model.order[rank]]
     return out
 
 
 def word_ids(model: Model, words: DataFrame, by: list[str]) -> DataFrame:
-    """(``by``, word, ids, edges) of distinct words: ids under a unigram model; a long word, and all under a BPE model, have edges instead."""
-    ranks = [(model.pieces[i][0], rank) for rank, i in enumerate(model.order)]
-    pieces = words.sparkSession.createDataFrame(ranks, "piece string, rank int")
-    found = lattice(words, pieces, model.longest, by)
-    if model.kind == BPE:
-        return found.select(*by, "word", F.lit(None).cast("array<int>").alias("ids"), "edges")
-    short = F.char_length("word") < NATIVE_CHARS
-    return found.select(*by, "word", F.when(short, fold(model, F.col("word"))).alias("ids"), F.when(~short, F.col("edges")).alias("edges"))
+    """(``by``, word, ids) of distinct atoms of under NATIVE_CHARS characters, by lattice and native fold."""
+    pieces = words.sparkSession.createDataFrame(list(model.codes.items()), "piece string, code bigint")
+    return lattice(words, pieces, model.longest, by).select(*by, "word", fold(model, F.col("word")).alias("ids"))
+
+
+def long_ids(model: Model, words: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, word, ids) of distinct atoms of any length, folded in Python one by one."""
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [fold_text(model, w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in by), batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=[*by, "word", "ids"])
+
+    return words.select(*by, "word").mapInArrow(run, ", ".join(f"{x} {kinds[x]}" for x in by) + ", word string, ids array<int>")
+
+
+def _ints(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of an array of lists of numbers."""
+    return np.asarray(pc.list_value_length(lists)).astype("<i4"), np.asarray(lists.flatten()).astype("<i4")
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, ids (array of int), as the SentencePiece library gives them without begin and end marks.
 
-    docs: doc_id, text (more columns are ignored), read from files, whose splits
-    give the same rows in the same order when a task runs again; a document
-    set that is computed should be stored first. A null or empty text has no
-    ids. Repeated rows each return. An empty table gives an empty result.
-
-    1. Blocks of documents list their distinct words, packed by hash bucket.
-    2. Per bucket, the distinct words' substrings are joined to the pieces and
-       grouped by word. Unigram models fold Viterbi natively. The scores of
-       BPE models are merge ranks, over which a Viterbi path isn't what the
-       library gives: their words are merged in Python from the same edges.
-    3. Each block gets the ids of its words back, in the order of its lists,
-       and its documents are put together. A word list that differs from the
-       first pass (an unstable input) is an error, never a wrong id.
-
-    What is shuffled are texts once, packed, and each block's word lists. No key
-    is a word or a document, so no frequent word or source fills a task.
+    docs: doc_id, text (more columns, whatever their names, are ignored), read
+    from files, whose splits give the same rows in the same order when a task
+    runs again; a document set that is computed should be stored first. A null
+    or empty text has no ids; bytes that aren't UTF-8 count as U+FFFD. Repeated
+    rows, and rows with one or no doc_id, each return. An empty table gives an
+    empty result. Words and texts may have any length under 2 GB.
+
+    1. Blocks of documents list their distinct atoms (word parts that no piece
+       reaches across), packed by hash bucket. Buckets are as many as the input's
+       size asks for.
+    2. Per bucket, the distinct atoms' substrings are joined to the pieces,
+       grouped by atom, and folded with ``aggregate``: a Viterbi over scores
+       under a unigram model, over merges under a BPE model (``_best_merges``).
+       Atoms of NATIVE_CHARS characters or more, and all under models that an
+       edge has no bits for, are folded in Python to the same ids.
+    3. Each block gets the ids of its atoms back, in the order of its lists, and
+       its documents are put together. A list that differs from the first pass
+       (an unstable input) is an error, never a wrong id.
+
+    What is shuffled are texts once, packed, and each block's atom lists. No key
+    is a word or a document, so no frequent word or source fills a task. A task
+    holds one block, or one bucket of all blocks, as Arrow arrays.
     """
     spark = docs.sparkSession
-    buckets, bridges = int(spark.conf.get("spark.sql.shuffle.partitions")), model.bridges
-    listed = store(block_words(docs, model, buckets), "words").repartition("bucket")
-    words = listed.select("bucket", F.explode(F.split("words", " ")).alias("word")).distinct()
-    known = word_ids(model, words, ["bucket"]).withColumnRenamed("bucket", "own_bucket")
+    docs = docs.select("doc_id", F.make_valid_utf8("text").alias("text"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), 1 << 20)
+    bridges, zero = model.bridges, np.array(model.fallback("\0"), "<i4")
+    listed = store(block_words(docs, model, buckets), "words")
+
+    def words(which: str) -> DataFrame:
+        dealt = listed.where(which).repartition("bucket")
+        return dealt.select("bucket", F.explode(F.split("words", "\0")).alias("word")).distinct()
+
+    if model.native:
+        known = word_ids(model, words(f"bucket < {buckets}"), ["bucket"]).unionByName(long_ids(model, words(f"bucket >= {buckets}"), ["bucket"]))
+    else:
+        known = long_ids(model, words("true"), ["bucket"])
 
     def answer(lists: pa.Table, found: pa.Table) -> pa.Table:
-        ids: dict[str, list[int]] = {}
-        for word, own, edges in zip(*(found.column(x).to_pylist() for x in ("word", "ids", "edges")), strict=True):
-            ids[word] = own if own is not None else fold_edges(model, word, edges)
         packed = []
+        names, own = found.column("word").combine_chunks(), found.column("ids").combine_chunks()
         for text in lists.column("words").to_pylist():
-            own = [ids[w] for w in text.split(" ")]
-            sizes = np.array([len(x) for x in own], "<i4")
-            body = np.array([sizes.size, zlib.crc32(text.encode("utf-8", "surrogatepass"))], "<i8").tobytes() + sizes.tobytes() + np.array([i for x in own for i in x], "<i4").tobytes()
-            packed.append(zstandard.compress(body, 3))
+            at = pc.index_in(pa.array(text.split("\0"), pa.string()), value_set=names)
+            if at.null_count:
+                raise RuntimeError("an atom has no ids")
+            sizes, values = _ints(own.take(at))
+            head = np.array([len(sizes), len(values), zlib.crc32(text.encode())], "<i8")
+            packed.append(zstandard.compress(head.tobytes() + sizes.tobytes() + values.tobytes(), 1))
         return pa.table({"block": lists.column("block"), "bucket": lists.column("bucket"), "packed": pa.array(packed, pa.binary())})
 
-    answers = listed.groupBy("bucket").cogroup(known.groupBy("own_bucket")).applyInArrow(answer, "block bigint, bucket int, packed binary")
+    answers = listed.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "own_bucket").groupBy("own_bucket")).applyInArrow(answer, "block bigint, bucket int, packed binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in _blocks(batches):
@@ -371,39 +502,30 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"])
                     held, size = [], 0
 
-    texts = docs.select("doc_id", "text").mapInArrow(pack, "block bigint, body binary")
+    texts = docs.mapInArrow(pack, "block bigint, body binary")
 
     def assemble(rows: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in rows.column("body").to_pylist()]
-        seen: set[str] = set()
-        for part in parts:
-            for text in part.column(1).to_pylist():
-                seen.update(words_of(text))
-        cut = {w: atoms(w, bridges) for w in seen}
-        dealt = _by_bucket({a for own in cut.values() for a in own}, buckets)
-        ids: dict[str, bytes] = {}  # of little-endian 32-bit numbers: small, and quick to join
-        packed = dict(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist(), strict=True))
-        for i, own in enumerate(dealt):
-            if not own:
-                continue
-            body = zstandard.decompress(packed[i])
-            n, mark = np.frombuffer(body, "<i8", 2).tolist()
-            if n != len(own) or mark != zlib.crc32(" ".join(own).encode("utf-8", "surrogatepass")):
+        parts = [x for body in rows.column("body").to_pylist() for x in pa.ipc.open_stream(zstandard.decompress(body)).read_all().to_batches()]
+        names, bucket, codes, counts = Cutter(bridges, buckets).code([x.column(1) for x in parts])
+        given = dict(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist(), strict=True))
+        sizes, values = ([np.array([len(zero)], "<i4")], [zero]) if len(bucket) and bucket[0] < 0 else ([], [])
+        for name, text in zip(*_lists(names, bucket), strict=True):
+            body = zstandard.decompress(given.pop(int(name), None) or b"")
+            n, m, mark = np.frombuffer(body, "<i8", 3).tolist()
+            if mark != zlib.crc32(text.as_py().encode()):
                 raise RuntimeError("the documents of a block changed between two passes; store them first")
-            at = 16 + 4 * n
-            for atom, size in zip(own, np.frombuffer(body, "<i4", n, 16).tolist(), strict=True):
-                ids[atom] = body[at : at + 4 * size]
-                at += 4 * size
-        whole = {w: ids[own[0]] if len(own) == 1 else b"".join([ids[a] for a in own]) for w, own in cut.items()}
-        ids.clear()
-        cut.clear()
-        out = []
-        for part in parts:
-            for batch in part.to_batches(max_chunksize=256):
-                flat = [b"".join([whole[w] for w in words_of(text)]) for text in batch.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
-                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))
-                out.append(pa.RecordBatch.from_arrays([batch.column(0), array], names=["doc_id", "ids"]))
+            sizes.append(np.frombuffer(body, "<i4", n, 24))
+            values.append(np.frombuffer(body, "<i4", m, 24 + 4 * n))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, "<i4")]))]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, "<i4")]).astype(np.int32)))
+        out, at = [], 0
+        for part, own in zip(parts, counts, strict=True):
+            n = int(own.sum())
+            found = ids.take(pa.array(codes[at : at + n]))
+            at += n
+            ends = np.concatenate([[0], np.cumsum(own)])
+            lists = pa.ListArray.from_arrays(pa.array(np.asarray(found.offsets)[ends].astype(np.int32)), found.values)
+            out.append(pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"]))
         return pa.Table.from_batches(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
