@@ -36,8 +36,9 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: The rank of an edge that is a character without a piece.
 NO_PIECE = (1 << 17) - 1
-#: Bits of an edge, from the lowest: right spine, left spine, split, length less one, start, rank.
-_LEFT, _SPLIT, _LENGTH, _START, _RANK = 15, 30, 34, 38, 44
+#: Bits of an edge, from the lowest: right spine, left spine, length less one, place of the last merge (0 if none), rank, end.
+#: So sorted edges are in order of where they end.
+_LEFT, _LENGTH, _SPLIT, _RANK, _END = 15, 30, 34, 40, 57
 
 
 @dataclass
@@ -68,7 +69,7 @@ class Model:
         return [(text, score, i) for i, (text, score, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)]
 
     def _codes(self) -> tuple[dict[str, int], bool]:
-        """Spelling to an edge at start 0, and whether every merge ranks behind the merges that make its parts.
+        """Spelling to its edge but for the end, its last merge counted from its start, and whether every merge ranks behind the merges that make its parts.
 
         Under BPE, a piece that its own characters don't merge to can't occur in
         any text and has no edge. ``split`` is where the last merge of a piece
@@ -99,6 +100,11 @@ class Model:
             spines[text] = (split, left, right)
         return {text: self.ranks[text] << _RANK | (len(text) - 1) << _LENGTH | split << _SPLIT | left << _LEFT | right for text, (split, left, right) in spines.items()}, ordered
 
+    @property
+    def edges(self) -> list[tuple[str, int, bool]]:
+        """Spelling, its edge as at the start of a word, and whether it has a merge."""
+        return [(text, len(text) << _END | code, bool(code >> _SPLIT & 63)) for text, code in self.codes.items()]
+
     @classmethod
     def read(cls, path: str) -> Model:
         from sentencepiece import sentencepiece_model_pb2
@@ -230,16 +236,17 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) ->
     """words (``by``, word: an atom) with edges: all pieces that a word's substrings equal, and its characters without a piece.
 
     Substrings of bounded length are exploded, joined to the piece table and
-    grouped by word. ``pieces``: piece, code (an edge at start 0). An edge is one
-    number: rank (0 for the best score; NO_PIECE for a character without a
-    piece), start, length, and how the piece is made by merges.
+    grouped by word. ``pieces``: piece, code (its edge at the start of a word),
+    merged. An edge is one number: where it ends, rank (0 for the best score;
+    NO_PIECE for a character without a piece), length, and how the piece is made by merges.
     """
     marked = words.withColumn("size", F.char_length("word")).withColumn("mark", F.xxhash64("word"))
     starts = marked.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))))
     spans = spans.select(*by, "mark", "word", "start", "n", F.col("word").substr(F.col("start") + 1, F.col("n")).alias("piece"))
     met = spans.join(F.broadcast(pieces), "piece", "left").where("code IS NOT NULL OR n = 1")
-    edge = F.coalesce("code", F.lit(NO_PIECE << _RANK)) + F.shiftleft(F.col("start").cast("bigint"), _START)
+    moved = F.shiftleft(F.col("start").cast("bigint"), _END) + F.when(F.col("merged"), F.shiftleft(F.col("start").cast("bigint"), _SPLIT)).otherwise(0)
+    edge = F.coalesce("code", F.lit(1 << _END | NO_PIECE << _RANK)) + moved
     # Grouping by the hash first lets the sort compare numbers, not words.
     return met.select("mark", "word", *by, edge.alias("edge")).groupBy("mark", "word", *by).agg(F.collect_list("edge").alias("edges"))
 
@@ -249,15 +256,15 @@ def _bits(edge: Column, at: int, n: int) -> Column:
 
 
 def _rank(edge: Column) -> Column:
-    return F.shiftright(edge, _RANK).cast("int")
+    return _bits(edge, _RANK, 17)
 
 
-def _start(edge: Column) -> Column:
-    return _bits(edge, _START, 6)
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, _END).cast("int")
 
 
-def _end(edge: Column) -> Column:
-    return _start(edge) + _bits(edge, _LENGTH, 4) + 1
+def _start(edge: Column) -> Column:
+    return _end(edge) - _bits(edge, _LENGTH, 4) - 1
 
 
 def _with(value: Column, body) -> Column:
@@ -266,10 +273,14 @@ def _with(value: Column, body) -> Column:
 
 
 def _path(best: Column, size: Column) -> Column:
-    """The edges chosen, from the last backwards: ``best`` has at each position the edge that ends there."""
+    """The edges chosen, in order: ``best`` has at each position the ``edge`` that ends there."""
+
+    def back(s: Column, _: Column) -> Column:
+        edge = F.get(best, s["at"])["edge"]
+        return F.when(s["at"] <= 0, s).otherwise(_with(edge, lambda e: F.struct(_start(e).alias("at"), F.array_append(s["path"], e).alias("path"))))
+
     start = F.struct(size.alias("at"), F.array().cast("array<bigint>").alias("path"))
-    back = lambda s, _: F.when(s["at"] <= 0, s).otherwise(F.struct(F.get(best, s["at"])["start"].alias("at"), F.array_prepend(s["path"], F.get(best, s["at"])["edge"]).alias("path")))
-    return F.aggregate(F.sequence(F.lit(1), size), start, back, lambda s: s["path"])
+    return F.aggregate(F.sequence(F.lit(1), size), start, back, lambda s: F.reverse(s["path"]))
 
 
 def _best_scores(edges: Column, size: Column, scores: Column, unknown: float) -> Column:
@@ -286,50 +297,63 @@ def _best_scores(edges: Column, size: Column, scores: Column, unknown: float) ->
 
 
 def _best_merges(edges: Column, size: Column) -> Column:
-    """Viterbi over merges: a fold over positions that keeps the one edge that merging the text up to there would end with.
+    """Viterbi over merges: a fold that keeps for each position the one edge that merging the text up to there would end with.
 
     Merging a text gives the one path whose neighbours each stay as they are when
     the two are merged alone. So the edge at a position is the one that its
     start's edge suffers as a neighbour. Two neighbours don't stay if some piece
     whose last merge joins a part at the right end of the first to a part at the
     left end of the second ranks before the merges that would use up either part;
-    with equal ranks the merge further left comes first. ``crossing`` holds the
-    pieces that the first neighbour leaves possible.
+    with equal ranks the merge further left comes first.
+
+    The fold walks the edges in order of their ends. ``done`` has the edge at each
+    position but the newest, ``n``, whose edge is ``last``; ``crossing`` has
+    the pieces that an edge leaves possible across its end.
     """
     one = F.lit(1)
-    cols = lambda e: F.struct(_start(e).alias("s"), _end(e).alias("t"), F.when(_bits(e, _SPLIT, 4) > 0, _start(e) + _bits(e, _SPLIT, 4)).otherwise(-1).alias("p"), _rank(e).alias("r"), e.alias("e"))
-
-    def folded(every: Column) -> Column:
-        def rank_at(s: Column, t: Column) -> Column:
-            return F.get(F.filter(every, lambda y: (y["s"] == s) & (y["t"] == t)), F.lit(0))["r"]
-
-        def used_up(spine: Column, k: Column, whole: Column, of) -> Column:
-            """The rank that uses up the part of length k: the next longer part's, or the whole edge's."""
-            above = F.call_function("shiftright", spine, k)
-            more = k + one + F.bit_count(above.bitwiseAND(-above) - one).cast("int")
-            return F.when(above == 0, whole).otherwise(of(more))
-
-        def lasts_left(c: Column, x: Column) -> Column:
-            k, spine = c["t"] - x["s"], _bits(x["e"], _LEFT, 15)
-            part = F.call_function("shiftright", spine, k - one).bitwiseAND(one) == 1
-            return (c["t"] == x["t"]) | (part & (c["r"] <= used_up(spine, k, x["r"], lambda n: rank_at(x["s"], x["s"] + n))))
-
-        def lasts_right(c: Column, x: Column) -> Column:
-            k, spine = x["t"] - c["s"], _bits(x["e"], 0, 15)
-            part = F.call_function("shiftright", spine, k - one).bitwiseAND(one) == 1
-            return (c["s"] == x["s"]) | (part & (c["r"] < used_up(spine, k, x["r"], lambda n: rank_at(x["t"] - n, x["t"]))))
-
-        def step(best: Column, at: Column) -> Column:
-            stays = lambda x: (x["t"] == at) & ~F.exists(F.get(best, x["s"])["crossing"], lambda c: (c["t"] <= at) & lasts_left(c, x))
-            chosen = F.get(F.filter(every, stays), F.lit(0))
-            crossing = lambda x: F.filter(every, lambda c: (c["p"] == at) & (c["s"] >= x["s"]) & lasts_right(c, x))
-            return F.array_append(best, _with(chosen, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("edge"), crossing(x).alias("crossing"))))
-
-        none = F.filter(every, lambda _: F.lit(False))
-        first = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).cast("bigint").alias("edge"), none.alias("crossing")))
-        return _with(F.aggregate(F.sequence(one, size), first, step), lambda best: _path(best, size))
-
-    return _with(F.transform(edges, cols), folded)
+    held = "struct<edge:bigint,crossing:array<bigint>>"
+    none = F.array().cast("array<bigint>")
+    shifted = lambda x, n: F.call_function("shiftright", x, n)
+    joint = F.lit(63 << _SPLIT)
+
+    def rank_of(end: Column, n: Column) -> Column:
+        """The rank of the edge of length n that ends there; the key is computed once, not for each edge."""
+        key = F.shiftleft(end.cast("bigint"), _END).bitwiseOR(F.shiftleft((n - one).cast("bigint"), _LENGTH))
+        own = F.lit(63 << _END | 15 << _LENGTH)
+        return _with(key, lambda key: _rank(F.get(F.filter(edges, lambda y: y.bitwiseAND(own) == key), F.lit(0))))
+
+    def used_up(spine: Column, k: Column, whole: Column, of) -> Column:
+        """The rank that uses up the part of length k: the next longer part's, or the whole edge's."""
+        more = lambda above: k + one + F.bit_count(above.bitwiseAND(-above) - one).cast("int")
+        return _with(shifted(spine, k), lambda above: F.when(above == 0, _rank(whole)).otherwise(of(more(above))))
+
+    def lasts_left(c: Column, x: Column) -> Column:
+        """Whether the part of x at its left end that reaches to c's end is there when c is merged."""
+        k, spine = _end(c) - _start(x), _bits(x, _LEFT, 15)
+        part = shifted(spine, k - one).bitwiseAND(one) == 1
+        return (_end(c) == _end(x)) | (part & (_rank(c) <= used_up(spine, k, x, lambda n: rank_of(_start(x) + n, n))))
+
+    def lasts_right(c: Column, x: Column) -> Column:
+        """Whether the part of x at its right end that begins where c does is there when c is merged."""
+        k, spine = _end(x) - _start(c), _bits(x, 0, 15)
+        part = shifted(spine, k - one).bitwiseAND(one) == 1
+        return (_start(c) == _start(x)) | (part & (_rank(c) < used_up(spine, k, x, lambda n: rank_of(_end(x), n))))
+
+    def folded(merged: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            at = F.shiftright(x, _END)
+            before = lambda s: F.when(s == state["n"], state["last"]["crossing"]).otherwise(F.get(state["done"], s)["crossing"])
+            stays = ~F.exists(before(_start(x)), lambda c: (F.shiftright(c, _END) <= at) & lasts_left(c, x))
+            possible = lambda p: F.filter(merged, lambda c: (c.bitwiseAND(joint) == p) & (_start(c) >= _start(x)) & lasts_right(c, x))
+            last = F.struct(x.alias("edge"), _with(F.shiftleft(at, _SPLIT), possible).alias("crossing"))
+            onward = F.struct((state["n"] + one).alias("n"), F.array_append(state["done"], state["last"]).alias("done"), last.alias("last"))
+            return F.when((at > state["n"]) & stays, onward).otherwise(state)
+
+        nothing = F.struct(F.lit(-1).cast("bigint").alias("edge"), none.alias("crossing"))
+        first = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{held}>").alias("done"), nothing.alias("last"))
+        return _with(F.aggregate(F.sort_array(edges), first, step, lambda s: F.array_append(s["done"], s["last"])), lambda best: _path(best, size))
+
+    return _with(F.filter(edges, lambda e: e.bitwiseAND(joint) != 0), folded)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -409,7 +433,7 @@ def fold_text(model: Model, text: str) -> list[int]:
 
 def word_ids(model: Model, words: DataFrame, by: list[str]) -> DataFrame:
     """(``by``, word, ids) of distinct atoms of under NATIVE_CHARS characters, by lattice and native fold."""
-    pieces = words.sparkSession.createDataFrame(list(model.codes.items()), "piece string, code bigint")
+    pieces = words.sparkSession.createDataFrame(model.edges, "piece string, code bigint, merged boolean")
     return lattice(words, pieces, model.longest, by).select(*by, "word", fold(model, F.col("word")).alias("ids"))
 
 
@@ -459,12 +483,13 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.make_valid_utf8("text").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), 1 << 20)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(tasks, size // BUCKET_BYTES), 1 << 20)
     bridges, zero = model.bridges, np.array(model.fallback("\0"), "<i4")
     listed = store(block_words(docs, model, buckets), "words")
 
     def words(which: str) -> DataFrame:
-        dealt = listed.where(which).repartition("bucket")
+        dealt = listed.where(which).repartition(tasks, "bucket")  # a stated number isn't coalesced: little is read, but much made of it
         return dealt.select("bucket", F.explode(F.split("words", "\0")).alias("word")).distinct()
 
     if model.native:
