@@ -19,7 +19,7 @@ from tidemark.llm.common import store, table
 
 SPACE = "▁"
 #: Text bytes (about) whose distinct atoms are looked up together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes (about) of one packed row.
 ROW_BYTES = 4 << 20
 #: Input bytes (about) for each bucket of atoms.
@@ -181,18 +181,23 @@ class Cutter:
         return words.take(pa.array(order)), bucket[order], place[np.asarray(coded.indices)], [n for _, n in cut]
 
     def _bucket(self, words: pa.StringArray) -> np.ndarray:
+        bucket = np.concatenate([self._hash(words.slice(at, 1 << 14)) for at in range(0, len(words), 1 << 14)] or [np.zeros(0, np.int64)])
+        bucket += self.buckets * (np.asarray(pc.utf8_length(words)) >= NATIVE_CHARS)
+        bucket[np.asarray(pc.equal(words, "\0"))] = -1
+        return bucket
+
+    def _hash(self, words: pa.StringArray) -> np.ndarray:
+        """Differences of running sums of bytes times powers of an odd number, brought back to the word's start."""
         offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
-        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1] if len(offsets) else 0].astype(np.uint64)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        offsets -= offsets[0]
         base = 0x9E3779B97F4A7C15
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[1], np.full(len(raw), base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            back = np.cumprod(np.concatenate([[1], np.full(len(raw), pow(base, -1, 1 << 64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            total = np.concatenate([[0], np.cumsum((raw + np.uint64(1)) * power[:-1], dtype=np.uint64)]).astype(np.uint64)
+            power = np.cumprod(np.append(np.uint64(1), np.full(len(raw), base, np.uint64)), dtype=np.uint64)
+            back = np.cumprod(np.append(np.uint64(1), np.full(len(raw), pow(base, -1, 1 << 64), np.uint64)), dtype=np.uint64)
+            total = np.append(np.uint64(0), np.cumsum((raw + np.uint64(1)) * power[:-1], dtype=np.uint64))
             mixed = (total[offsets[1:]] - total[offsets[:-1]]) * back[offsets[:-1]] * np.uint64(0xC2B2AE3D27D4EB4F)
-        bucket = ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
-        bucket += self.buckets * (np.asarray(pc.utf8_length(words)) >= NATIVE_CHARS)
-        bucket[np.asarray(pc.equal(words, "\0"))] = -1
-        return bucket
+        return ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -206,6 +211,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
             if size >= BLOCK_BYTES:
                 yield task << 24 | number, held
                 number, held, size = number + 1, [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield task << 24 | number, held
 
@@ -219,7 +225,7 @@ def _lists(words: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """(block, bucket, words): the distinct atoms of each block, dealt into buckets by their hash."""
+    """(bucket, list): the distinct atoms of each block, dealt into buckets by their hash; ``list`` is the block's number and its atoms."""
     bridges = model.bridges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +233,9 @@ def block_words(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
         for block, parts in _blocks(batches):
             words, bucket, _, _ = cutter.code([x.column(1) for x in parts])
             names, joined = _lists(words, bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), pa.array(names.astype(np.int32)), joined], names=["block", "bucket", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pc.binary_join_element_wise(str(block), joined, "\0")], names=["bucket", "list"])
 
-    return docs.mapInArrow(run, "block bigint, bucket int, words string")
+    return docs.mapInArrow(run, "bucket int, list string")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) -> DataFrame:
@@ -486,28 +492,29 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(tasks, size // BUCKET_BYTES), 1 << 20)
     bridges, zero = model.bridges, np.array(model.fallback("\0"), "<i4")
-    listed = store(block_words(docs, model, buckets), "words")
-
-    def words(which: str) -> DataFrame:
-        dealt = listed.where(which).repartition(tasks, "bucket")  # a stated number isn't coalesced: little is read, but much made of it
-        return dealt.select("bucket", F.explode(F.split("words", "\0")).alias("word")).distinct()
-
+    # One exchange serves the atoms and the answers. A stated number of tasks isn't coalesced: little is read, but much made of it.
+    listed = store(block_words(docs, model, buckets), "words").repartition(tasks, "bucket")
+    atoms = F.split("list", "\0")
+    words = listed.select("bucket", F.explode(F.slice(atoms, F.lit(2), F.size(atoms) - 1)).alias("word")).distinct()
     if model.native:
-        known = word_ids(model, words(f"bucket < {buckets}"), ["bucket"]).unionByName(long_ids(model, words(f"bucket >= {buckets}"), ["bucket"]))
+        short = F.char_length("word") < NATIVE_CHARS
+        known = word_ids(model, words.where(short), ["bucket"]).unionByName(long_ids(model, words.where(~short), ["bucket"]))
     else:
-        known = long_ids(model, words("true"), ["bucket"])
+        known = long_ids(model, words, ["bucket"])
 
     def answer(lists: pa.Table, found: pa.Table) -> pa.Table:
-        packed = []
+        blocks, packed = [], []
         names, own = found.column("word").combine_chunks(), found.column("ids").combine_chunks()
-        for text in lists.column("words").to_pylist():
+        for text in lists.column("list").to_pylist():
+            block, _, text = text.partition("\0")
             at = pc.index_in(pa.array(text.split("\0"), pa.string()), value_set=names)
             if at.null_count:
                 raise RuntimeError("an atom has no ids")
             sizes, values = _ints(own.take(at))
             head = np.array([len(sizes), len(values), zlib.crc32(text.encode())], "<i8")
+            blocks.append(int(block))
             packed.append(zstandard.compress(head.tobytes() + sizes.tobytes() + values.tobytes(), 1))
-        return pa.table({"block": lists.column("block"), "bucket": lists.column("bucket"), "packed": pa.array(packed, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": lists.column("bucket"), "packed": pa.array(packed, pa.binary())})
 
     answers = listed.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "own_bucket").groupBy("own_bucket")).applyInArrow(answer, "block bigint, bucket int, packed binary")
 
