@@ -146,15 +146,32 @@ def test_user_sql_guards(spark):
     from tidemark.operators.relational import one, user_sql
 
     t = spark.range(3)
-    assert user_sql(spark, "SELECT id FROM tm_t WHERE id > ?", [0], tm_t=t).count() == 2
-    with pytest.raises(PermissionError):
-        user_sql(spark, "DROP TABLE tm_t")
+    t.limit(0).createOrReplaceTempView("tm_t")
+    assert user_sql(spark, "SELECT id FROM tm_t WHERE id > ? ORDER BY id -- all", [0], tm_t=t).count() == 2
+    assert user_sql(spark, "WITH x AS (SELECT id FROM tm_t) SELECT max(id) AS m FROM x", tm_t=t).first().m == 2
+    assert spark.table("tm_t").count() == 0  # views of the session stay
+    spark.range(0).write.mode("overwrite").saveAsTable("tm_kept")
+    writes = ["DROP TABLE tm_kept", "WITH x AS (SELECT 1 AS id) INSERT INTO tm_kept SELECT id FROM x", "FROM range(3) INSERT INTO tm_kept SELECT id", "SET a = 1", "INSERT INTO tm_kept VALUES (1)", "CREATE TABLE tm_made AS SELECT 1", "EXPLAIN SELECT 1"]
+    for text in writes:
+        with pytest.raises(PermissionError):
+            user_sql(spark, text, tm_t=t)
+    assert spark.table("tm_kept").count() == 0
     with pytest.raises(TypeError):
         user_sql(spark, "SELECT ?", [object()])
     with pytest.raises(ValueError):
         one(t)
 
 
+def test_user_sql_never_cuts_a_result(spark):
+    from tidemark.operators.relational import user_sql
+
+    t = spark.range(50)
+    assert user_sql(spark, "SELECT * FROM t", limit=50, t=t).count() == 50
+    for bounds in ({"limit": 49}, {"size": 100}):
+        with pytest.raises(Exception, match="more than"):
+            user_sql(spark, "SELECT * FROM t", t=t, **bounds).collect()
+
+
 def test_cron_rejects_bad_fields():
     from tidemark.functions.time import parse_cron
 

@@ -1,9 +1,9 @@
 """Every registered query against its SQL twin in DuckDB on the smallest data set."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark import catalog
@@ -21,7 +21,8 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    """A value as both engines give it: every null, NaN, NaT and NA is None."""
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     return int(v) if isinstance(v, float) and v == int(v) else str(v) if hasattr(v, "isoformat") else v
 

@@ -12,21 +12,26 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def fnv1a64(text: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes, as 16 hex digits; unsigned products need wrapping, hence an Arrow function."""
+    """FNV-1a of the UTF-8 bytes, as 16 hex digits.
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None:
-                return None
-            h = FNV_OFFSET
-            for b in s.encode():
-                h = (h ^ b) * FNV_PRIME & (2**64 - 1)
-            return f"{h:016x}"
+    The prime is 2^40 + 435, so a product modulo 2^64 is a shift and a small
+    product; it is carried as two halves of 32 bits, which never overflow.
+    """
+    half = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    raw = F.hex(F.encode(text, "UTF-8"))
+    count = F.octet_length(text)
+    codes = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    pair = lambda high, low: F.struct(high.cast("bigint").alias("h"), low.cast("bigint").alias("l"))
 
-        return values.map(one)
+    def step(s: Column, byte: Column) -> Column:
+        low = s["l"].bitwiseXOR(byte)
+        product = low * 435
+        high = s["h"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return pair(half(high), half(product))
 
-    return run(text)
+    start = pair(F.lit(FNV_OFFSET >> 32), F.lit(FNV_OFFSET & 0xFFFFFFFF))
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.when(text.isNotNull(), F.aggregate(codes, start, step, lambda s: F.concat(digits(s["h"]), digits(s["l"]))))
 
 
 def table_name(prefix: str, script: str, cls: str, table: str) -> str:
@@ -46,18 +51,32 @@ def traceparent(header: Column) -> Column:
     return F.when(valid, F.struct(trace.alias("trace_id"), span.alias("span_id"), (F.conv(flags, 16, 10).cast("int") % 2 == 1).alias("sampled")))
 
 
+def _name(pair: Column) -> Column:
+    return F.split_part(pair, F.lit("="), F.lit(1))
+
+
+def _value(pair: Column) -> Column:
+    """What follows the first = of a pair, or nothing."""
+    return F.when(F.contains(pair, F.lit("=")), F.substring(pair, F.length(_name(pair)) + 2, F.length(pair))).otherwise("")
+
+
 def query_values(url: Column, name: str) -> Column:
-    """All values of a query parameter, in order, decoded; + is a space."""
+    """All values of a query parameter, in order; names and values are decoded, + is a space."""
     query = F.split(F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit("")), "&")
-    own = F.filter(query, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name)
-    return F.transform(own, lambda p: F.try_url_decode(F.when(F.contains(p, F.lit("=")), F.substring_index(p, "=", -1)).otherwise("")))
+    return F.transform(F.filter(query, lambda p: F.try_url_decode(_name(p)) == name), lambda p: F.try_url_decode(_value(p)))
 
 
 def attributes(text: Column) -> Column:
-    """k=v,k2=v2 as a map, values percent-decoded; of equal keys the last wins."""
-    pairs = F.filter(F.split(text, ","), lambda p: F.contains(p, F.lit("=")))
-    entries = F.transform(pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.try_url_decode(F.trim(F.split_part(p, F.lit("="), F.lit(2)))).alias("v")))
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+    """k=v,k2=v2 as a map, values percent-decoded (+ stays); of equal keys the last wins.
+
+    Blank pairs are passed over. A pair without a name or without = makes the
+    whole list invalid: an error, as a list that is cut in silence would pass for another.
+    """
+    pairs = F.filter(F.split(text, ","), lambda p: F.trim(p) != "")
+    sound = F.forall(pairs, lambda p: F.contains(p, F.lit("=")) & (F.trim(_name(p)) != ""))
+    entry = lambda p: F.struct(F.trim(_name(p)).alias("k"), F.url_decode(F.replace(F.trim(_value(p)), F.lit("+"), F.lit("%2B"))).alias("v"))
+    merged = F.aggregate(F.transform(pairs, entry), F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+    return F.when(text.isNull() | sound, merged).otherwise(F.raise_error(F.concat(F.lit("not a list of attributes: "), text)))
 
 
 def scope_parts(scope: Column) -> Column:
@@ -109,8 +128,12 @@ def redirect(path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _escaped(value: str) -> str:
+    return value.replace("&", "&amp;").replace('"', "&quot;")
+
+
 class _Rewriter(HTMLParser):
-    """Streams HTML through, applying rules to the tags they select."""
+    """Streams HTML through, applying rules to the tags they select; what no rule touches leaves as it came."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -120,6 +143,8 @@ class _Rewriter(HTMLParser):
 
     def _fits(self, rule: dict, tag: str, attrs: dict) -> bool:
         selector = rule["select"]
+        if selector.startswith("!"):
+            return False
         name, _, cls = selector.partition(".")
         name, _, attr = name.partition("[")
         return (name in ("", "*", tag)) and (not cls or cls in (attrs.get("class") or "").split()) and (not attr or attr.rstrip("]") in attrs)
@@ -128,89 +153,149 @@ class _Rewriter(HTMLParser):
         if not self.muted:
             self.out.append(text)
 
-    def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        after, drop, unwrap, inner = [], False, False, None
+    def _open(self, tag: str, attrs: list, closed: bool) -> None:
+        values = dict(reversed(attrs))  # the first of equal names counts
+        values = {k: values[k] for k, _ in attrs}
+        before, after, first, last = [], [], [], []
+        change, drop, unwrap, inner, instead = False, False, False, None, None
         for rule in (r for r in self.rules if self._fits(r, tag, values)):
-            do = rule["do"]
+            do, text = rule["do"], rule.get("value", "")
             if do == "set":
-                values[rule["name"]] = rule["value"]
+                values[rule["name"]], change = text, True
             elif do == "unset":
-                values.pop(rule["name"], None)
-            elif do == "before":
-                self.emit(rule["value"])
-            elif do == "after":
-                after.append(rule["value"])
+                change |= values.pop(rule["name"], self) is not self
+            elif do in ("before", "after", "prepend", "append"):
+                {"before": before, "after": after, "prepend": first, "append": last}[do].append(text)
+            elif do == "replace":
+                instead = text
             elif do == "remove":
                 drop = True
             elif do == "unwrap":
                 unwrap = True
             elif do == "inner":
-                inner = rule["value"]
-        void = tag in self.VOID
-        if drop:
-            self.muted += 0 if void else 1
-        elif not unwrap:
-            shown = "".join(f" {k}" if v is None else f' {k}="{v}"' for k, v in values.items())
-            self.emit(f"<{tag}{shown}>")
-            if inner is not None and not void:
-                self.emit(inner)
-                self.muted += 1
-        if void:
-            for text in after:
+                inner = text
+        void, source = tag in self.VOID, self.get_starttag_text() or f"<{tag}>"
+        for text in before:
+            self.emit(text)
+        if instead is not None:
+            self.emit(instead)
+            drop = True
+        if not drop and not unwrap:
+            if change:
+                spelled = source[1 : 1 + len(tag)]
+                shown = "".join(f" {k}" if v is None else f' {k}="{_escaped(v)}"' for k, v in values.items())
+                source = f"<{spelled}{shown}{' /' if closed else ''}>"
+            self.emit(source)
+        if void or (closed and not first and not last and inner is None):
+            for text in reversed(after):
                 self.emit(text)
-        else:
-            self.stack.append((tag, drop, unwrap, inner is not None, after))
+            return
+        muted = drop or inner is not None
+        if not drop:
+            for text in reversed(first):
+                self.emit(text)
+            if inner is not None:
+                self.emit(inner)
+        self.muted += muted
+        self.stack.append((tag, muted, not (drop or unwrap), [] if drop else last, after))
+
+    def handle_starttag(self, tag, attrs):
+        self._open(tag, attrs, False)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in self.VOID:
-            self.handle_endtag(tag)
+        self._open(tag, attrs, True)
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _source(self, closer: str) -> str:
+        """What stands in the text from here up to ``closer``, or to the end."""
+        at = self._place()
+        end = self.text.find(closer, at)
+        return self.text[at:] if end < 0 else self.text[at : end + len(closer)]
 
     def handle_endtag(self, tag):
+        source = self._source(">")
         if tag not in [x[0] for x in self.stack]:
+            self.emit(source)  # closes nothing that is open
             return
         while self.stack:
-            own, drop, unwrap, inner, after = self.stack.pop()
-            if drop or inner:
-                self.muted -= 1
-            if not drop and not unwrap:
-                self.emit(f"</{own}>")
-            for text in after:
+            own, muted, shown, last, after = self.stack.pop()
+            self.muted -= muted
+            for text in last:
+                self.emit(text)
+            if shown and own == tag:
+                self.emit(source)
+            for text in reversed(after):
                 self.emit(text)
             if own == tag:
                 break
 
+    def _other(self, kind: str, text: str) -> None:
+        for rule in (r for r in self.rules if r["select"] == kind):
+            if rule["do"] == "remove":
+                return
+            if rule["do"] == "replace":
+                text = rule["value"]
+        self.emit(text)
+
+    def _reference(self, text: str) -> None:
+        self.emit(text + (";" if self.text.startswith(";", self._place() + len(text)) else ""))  # it may stand without
+
     def handle_data(self, data):
         self.emit(data)
 
     def handle_entityref(self, name):
-        self.emit(f"&{name};")
+        self._reference(f"&{name}")
 
     def handle_charref(self, name):
-        self.emit(f"&#{name};")
+        self._reference(f"&#{name}")
 
     def handle_comment(self, data):
-        if not any(r["select"] == "!comment" for r in self.rules):
-            self.emit(f"<!--{data}-->")
+        at = self._place()
+        proper = self.text.startswith("<!--", at)
+        self._other("!comment", self.text[at : at + 4] + data + self._closed(at + 4 + len(data)) if proper else self._source(">"))
+
+    def _closed(self, at: int) -> str:
+        return next((x for x in ("-->", "--!>", ">") if self.text.startswith(x, at)), "")
 
     def handle_decl(self, decl):
-        self.emit(f"<!{decl}>")
+        self._other("!doctype", self._source(">"))
+
+    def handle_pi(self, data):
+        self.emit(self._source(">"))
+
+    def unknown_decl(self, data):
+        at = self._place()
+        rest = self.text[at + 3 + len(data) :]
+        self.emit(self.text[at : at + 3 + len(data)] + next((x for x in ("]]>", "]>", ">") if rest.startswith(x)), ""))
+
+    def run(self, text: str) -> str:
+        self.text, self.lines = text, [0]
+        for at, c in enumerate(text):
+            if c == "\n":
+                self.lines.append(at + 1)
+        self.feed(text)
+        self.close()
+        return self.finish()
+
+    def finish(self) -> str:
+        for rule in (r for r in self.rules if r["select"] == "!end"):
+            self.emit(rule["value"])
+        return "".join(self.out)
 
 
 def rewrite_html(html: Column, rules: list[dict]) -> Column:
-    """HTML with rules applied: {"select": tag, .class, tag[attr] or !comment, "do": set, unset, before, after, remove, unwrap or inner, ...}."""
+    """HTML with rules applied; tags, text and references that no rule touches leave as they came.
+
+    A rule: {"select", "do", "value", "name"}. It selects a tag, .class,
+    tag[attr], !comment, !doctype or !end. It may set or unset an attribute, put
+    text before, after, prepend or append it, replace, remove, unwrap, or replace what is inner.
+    """
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            parser = _Rewriter(rules)
-            parser.feed(text)
-            parser.close()
-            return "".join(parser.out)
-
-        return pages.map(one)
+        return pages.map(lambda text: None if text is None else _Rewriter(rules).run(text))
 
     return run(html)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.relational import asof_join, range_join
+from tidemark.operators.walks import walk
+
 OBJECT = r"^cells/([^/]+)/ltx/e(\d+)/ltx/(\d)/([0-9a-f]{16})-([0-9a-f]{16})\.ltx$"
 
 
@@ -21,44 +25,52 @@ def restorable_cuts(files: DataFrame) -> DataFrame:
     """Per (scope, epoch) all txids reached by contiguous ranges from 0: scope, epoch, txid.
 
     Ranges in order of (hi, lo) extend what is reached when some reached txid
-    lies in [lo - 1, hi); the order matters, so each (scope, epoch), the files of
-    one cell's epoch, is walked as a group.
+    lies in [lo - 1, hi). Ranges that begin at 0, or end before they begin, count for nothing.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        reached = [0]
-        for lo, hi in sorted(set(zip(group["lo"], group["hi"], strict=True)), key=lambda x: (x[1], x[0])):
-            if hi > reached[-1] >= lo - 1:  # reached ascends, and all before hi are below it
-                reached.append(hi)
-        head = group.iloc[0]
-        return pd.DataFrame({"scope": head["scope"], "epoch": head["epoch"], "txid": reached[1:]})
+    def visit(key: tuple, ranges: Iterator[tuple]) -> Iterator[tuple]:
+        reached = 0  # what is reached ascends, and all before hi are below it
+        for lo, hi in ranges:
+            if hi > reached >= lo - 1:
+                reached = hi
+                yield (*key, hi)
 
-    return files.groupBy("scope", "epoch").applyInPandas(walk, "scope string, epoch bigint, txid bigint")
+    sound = files.where("lo > 0 AND hi >= lo").select("scope", "epoch", "lo", "hi").distinct()
+    return walk(sound, by=["scope", "epoch"], order=["hi", "lo"], take=["lo", "hi"], visit=visit, schema="scope string, epoch bigint, txid bigint")
 
 
 def restore_plan(files: DataFrame, targets: DataFrame) -> DataFrame:
     """The files to restore a (scope, epoch) to a txid: the newest snapshot not past it, then greedily the file that reaches furthest.
 
-    Returns scope, epoch, step, lo, hi; no rows where the target can't be reached.
+    Returns scope, epoch, step, lo, hi; no rows where the target can't be
+    reached. Snapshots come first, then files by their start: one pass keeps the
+    furthest reaching of those that start early enough.
     """
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        target = int(group["target"].iloc[0])
-        rows = list(zip(group["level"], group["lo"], group["hi"], strict=True))
-        snaps = [(hi, lo) for level, lo, hi in rows if level == 9 and hi <= target]
-        steps = [max(snaps)[::-1]] if snaps else []
-        at = steps[-1][1] if steps else 0
-        while at < target:
-            ways = [(hi, lo) for level, lo, hi in rows if level != 9 and lo <= at + 1 and at < hi <= target]
-            if not ways:
-                return pd.DataFrame(columns=["scope", "epoch", "step", "lo", "hi"])
-            hi, lo = max(ways, key=lambda w: (w[0], -w[1]))
-            steps.append((lo, hi))
-            at = hi
-        head = group.iloc[0]
-        return pd.DataFrame({"scope": head["scope"], "epoch": head["epoch"], "step": range(len(steps)), "lo": [s[0] for s in steps], "hi": [s[1] for s in steps]})
-
-    return files.join(targets, ["scope", "epoch"]).groupBy("scope", "epoch").applyInPandas(plan, "scope string, epoch bigint, step int, lo bigint, hi bigint")
+    def visit(key: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        steps: list[tuple[int, int]] = []
+        at, best, target = 0, None, None
+        for target, snapshot, lo, hi in found:
+            if snapshot:
+                if not steps or (hi, lo) > steps[0][::-1]:
+                    steps, at = [(lo, hi)], hi
+                continue
+            while at < target and lo > at + 1 and best and best[0] > at:
+                steps.append((best[1], best[0]))
+                at = best[0]
+            if lo > at + 1:
+                break
+            if best is None or hi > best[0]:
+                best = (hi, lo)
+        while target is not None and at < target and best and best[0] > at:
+            steps.append((best[1], best[0]))
+            at = best[0]
+        if target is not None and at == target:
+            yield from ((*key, i, lo, hi) for i, (lo, hi) in enumerate(steps))
+
+    snapshot = F.col("level") == 9
+    fit = files.join(targets, ["scope", "epoch"]).where("hi <= target").select("scope", "epoch", "target", snapshot.alias("snapshot"), "lo", "hi").distinct()
+    return walk(fit, by=["scope", "epoch"], order=[F.desc("snapshot"), "lo", "hi"], take=["target", "snapshot", "lo", "hi"], visit=visit, schema="scope string, epoch bigint, step int, lo bigint, hi bigint")
 
 
 def epoch_spans(heads: DataFrame) -> DataFrame:
@@ -67,16 +79,17 @@ def epoch_spans(heads: DataFrame) -> DataFrame:
     return heads.withColumn("served_to", F.coalesce(following - 1, F.col("hi")))
 
 
-def oldest_holding(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """When each wanted (scope, epoch, txid) was first stored: an interval join within equal keys."""
-    held = (F.col("txid") >= F.col("lo")) & (F.col("txid") <= F.col("hi"))
-    return wanted.join(files, ["scope", "epoch"]).where(held).groupBy("scope", "epoch", "txid").agg(F.min("modified_ms").alias("stored_ms"))
+def oldest_holding(files: DataFrame, wanted: DataFrame, *, width: int = 64) -> DataFrame:
+    """When each wanted (scope, epoch, txid) was first stored: a range join on bins of ``width`` txids."""
+    ranges = files.where("hi >= lo").select("scope", "epoch", "lo", (F.col("hi") + 1).alias("end"), "modified_ms")
+    held = range_join(wanted, ranges, by=["scope", "epoch"], at="txid", low="lo", high="end", width=width)
+    return held.groupBy("scope", "epoch", "txid").agg(F.min("modified_ms").alias("stored_ms"))
 
 
 def choose_cut(cuts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first restorable txid at or after each wanted one; null if none."""
-    joined = wanted.join(cuts.withColumnRenamed("txid", "cut"), ["scope", "epoch"], "left")
-    return joined.groupBy("scope", "epoch", "txid").agg(F.min(F.when(F.col("cut") >= F.col("txid"), F.col("cut"))).alias("cut"))
+    """The first restorable txid at or after each wanted one; null if none: an as-of join backwards."""
+    behind = cuts.select("scope", "epoch", (-F.col("txid")).alias("_back"), F.col("txid").alias("cut"))
+    return asof_join(wanted.withColumn("_back", -F.col("txid")), behind, by=["scope", "epoch"], at="_back", keep=["cut"]).drop("_back")
 
 
 def reconcile(heads: DataFrame, streams: DataFrame, *, now_ms: int, settle_ms: int) -> DataFrame:

@@ -8,9 +8,13 @@ set of records alone, never on the order of arrival.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.walks import walk
+
 STREAM = ["script", "class", "cell", "facet", "incarnation"]
 POSITION = ["epoch", "txid", "commit"]
 TABLE = ["table_name", "generation"]
@@ -33,9 +37,27 @@ def origin_rank() -> Column:
     return F.when(F.col("origin") == "repair", 2).when(F.col("origin") == "snapshot", 1).otherwise(0)
 
 
-def record_key() -> list[str]:
-    """What makes two deliveries the same record; a fragment adds its own number."""
-    return [*STREAM, *POSITION, "kind", "origin", *TABLE, "snapshot_id"]
+#: What makes two deliveries the same record; ``_target`` and ``_bulk`` come with ``keyed``.
+RECORD_KEY = [*STREAM, *POSITION, "kind", "origin", *TABLE, "snapshot_id", "_target", "_bulk"]
+#: Kinds of records that may come in fragments.
+SPLITTABLE = ("rows", "snapshot")
+
+
+def _has(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """Records with the parts of their key that only some kinds have.
+
+    ``_target``: the stream that a deletion names, when not its own, so that two
+    facet deletions of one commit stay two. ``_bulk``: the tables that a bulk
+    record marks (``bulk_tables``, an array of texts, in any order).
+    """
+    incarnation = F.coalesce(_has(records, "target_incarnation", "string"), _has(records, "through_incarnation", "string"), F.lit("0"))
+    target = F.when((F.col("kind") == "deleted") & _has(records, "target_facet", "string").isNotNull(), F.concat_ws("\0", _has(records, "target_facet", "string"), incarnation))
+    bulk = F.when(F.col("kind") == "bulk", F.array_join(F.array_sort(_has(records, "bulk_tables", "array<string>")), "\0"))
+    return records.withColumns({"_target": target, "_bulk": bulk})
 
 
 def first_deliveries(records: DataFrame) -> DataFrame:
@@ -44,14 +66,58 @@ def first_deliveries(records: DataFrame) -> DataFrame:
     Deliveries of one fragment are equal but for where and when they landed,
     so whichever comes is taken: an aggregate with map-side combine.
     """
-    return records.dropDuplicates([*record_key(), "fragment", "fragments"])
+    return keyed(records).dropDuplicates([*RECORD_KEY, "fragment", "fragments"]).drop("_target", "_bulk")
+
+
+def _judged(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Single records, fragments with ``_fault`` and ``_here``, and single records out of range; each once.
+
+    The exchange is by record key, which serves the removal of repeats and the
+    window over a record's fragments alike; records of one fragment, nearly all,
+    never enter the window.
+    """
+    once = keyed(records).repartition(*RECORD_KEY).dropDuplicates([*RECORD_KEY, "fragment", "fragments"])
+    off = ~(F.col("fragment").between(1, F.col("fragments")))
+    single = once.where("fragments = 1 AND fragment = 1")
+    stray = once.where(off).withColumn("_fault", F.lit("out_of_range"))
+    parts = once.where((F.col("fragments") > 1) & ~off)
+    head = F.xxhash64(F.col("fragments"), *(F.col(c).cast("string") for c in ("cell_name", "committed_at", "node") if c in records.columns), *([F.get_json_object("body", "$.columns"), F.get_json_object("body", "$.key_columns")] if "body" in records.columns else []))
+    own = Window.partitionBy(*RECORD_KEY)
+    fault = F.when(~F.col("kind").isin(*SPLITTABLE), "not_splittable").when(F.min("_head").over(own) != F.max("_head").over(own), "inconsistent")
+    judged = parts.withColumn("_head", head).withColumns({"_fault": fault, "_here": F.count("*").over(own)}).drop("_head")
+    return single, judged, stray
 
 
 def whole_records(records: DataFrame) -> DataFrame:
-    """Fragments of records of which all have come; incomplete records go."""
-    unique = first_deliveries(records)
-    here = F.count("*").over(Window.partitionBy(*record_key(), "fragments"))
-    return unique.withColumn("_here", here).where("_here = fragments AND fragment BETWEEN 1 AND fragments").drop("_here")
+    """Fragments of records of which all have come; incomplete and faulty records go.
+
+    A fragment number outside 1 to ``fragments`` is set aside before anything is
+    counted. Fragments that disagree on anything but their number and rows, and
+    fragments of kinds that are never split, make the record faulty: see
+    ``quarantined``. Nulls in fragment or fragments are out of range.
+    """
+    single, judged, _ = _judged(records)
+    whole = judged.where("_fault IS NULL AND _here = fragments").drop("_fault", "_here")
+    return single.unionByName(whole).drop("_target", "_bulk")
+
+
+def quarantined(records: DataFrame) -> DataFrame:
+    """Fragments that no record can be made of, once each, with ``fault``: out_of_range, not_splittable or inconsistent."""
+    _, judged, stray = _judged(records)
+    return judged.where("_fault IS NOT NULL").drop("_here").unionByName(stray).withColumnRenamed("_fault", "fault").drop("_target", "_bulk")
+
+
+def reassembled(whole: DataFrame) -> DataFrame:
+    """Whole fragments joined into records of one fragment: the rows of all, in the order of the fragments."""
+    key = [c for c in RECORD_KEY if not c.startswith("_")]
+    single, parts = whole.where("fragments = 1"), whole.where("fragments > 1")
+    rows = F.from_json(F.get_json_object("body", "$.rows"), "array<string>")
+    rest = [F.first(c).alias(c) for c in whole.columns if c not in {*key, "fragment", "fragments", "body"}]
+    joined = parts.withColumn("_rows", rows).groupBy(*key).agg(*rest, F.min_by("body", "fragment").alias("body"), F.array_sort(F.collect_list(F.struct("fragment", "_rows"))).alias("_parts"))
+    texts = F.array_join(F.flatten(F.transform("_parts", lambda p: p["_rows"])), ",")
+    body = F.concat(F.lit('{"columns":'), F.get_json_object("body", "$.columns"), F.lit(',"key_columns":'), F.get_json_object("body", "$.key_columns"), F.lit(',"rows":['), texts, F.lit("]}"))
+    one = joined.withColumns({"body": body, "fragment": F.lit(1).cast(whole.schema["fragment"].dataType), "fragments": F.lit(1).cast(whole.schema["fragments"].dataType)}).drop("_parts")
+    return single.unionByName(one.select(*whole.columns))
 
 
 def deletion_cuts(meta: DataFrame) -> DataFrame:
@@ -221,13 +287,15 @@ def certified_heads(sent: DataFrame, marks: DataFrame) -> DataFrame:
     sent: STREAM, POSITION of live records; marks: STREAM, epoch, from_txid and
     from_commit (null in the first), txid, commit, commits, records. A mark
     holds if (from, through] has as many records and distinct positions as it
-    says; heads follow holding marks from the first without a gap.
+    says; heads follow holding marks from -> through, from the first on. Repeated
+    marks count once; of several that hold from one position the nearest is followed.
 
     Counts come from running totals over the union of records and marks, so
     the range join becomes one sort per (stream, epoch) of counts, one row per
     position: records at a position are pre-aggregated.
     """
     keys = [*STREAM, "epoch"]
+    marks = marks.select(*keys, "from_txid", "from_commit", "txid", "commit", "commits", "records").distinct()
     points = sent.groupBy(*keys, "txid", "commit").agg(F.count("*").alias("n")).select(*keys, "txid", "commit", "n", F.lit(1).alias("p"))
     ends = marks.select(*keys, "txid", "commit").union(marks.where("from_txid IS NOT NULL").select(*keys, "from_txid", "from_commit")).distinct()
     both = points.unionByName(ends.select(*keys, "txid", "commit", F.lit(0).alias("n"), F.lit(0).alias("p")))
@@ -238,15 +306,32 @@ def certified_heads(sent: DataFrame, marks: DataFrame) -> DataFrame:
     start = totals.select(*keys, F.col("txid").alias("from_txid"), F.col("commit").alias("from_commit"), F.col("tn").alias("fn"), F.col("tp").alias("fp"))
     judged = through.join(start, [*keys, "from_txid", "from_commit"], "left")
     holds = (F.col("tn") - F.coalesce("fn", F.lit(0)) == F.col("records")) & (F.col("tp") - F.coalesce("fp", F.lit(0)) == F.col("commits"))
-    good = judged.where(holds)
-    # Follow the chain: in an epoch, marks that hold are linked from -> through; the head is
-    # before the first that doesn't start where the one before it ended.
-    order = Window.partitionBy(*keys).orderBy("txid", "commit")
-    linked = good.withColumn("_at", F.lag(F.struct("txid", "commit")).over(order))
-    first = F.col("from_txid").isNull() & F.col("_at").isNull()
-    joins = first | F.coalesce(F.col("_at") == F.struct(F.col("from_txid").alias("txid"), F.col("from_commit").alias("commit")), F.lit(False))
-    whole = linked.withColumn("_ok", F.min(joins.cast("int")).over(order)).where("_ok = 1")
-    return whole.groupBy(*keys).agg(F.max(F.struct("txid", "commit")).alias("h")).select(*keys, "h.txid", "h.commit")
+    later = F.col("from_txid").isNull() | (F.struct("txid", "commit") > F.struct(F.col("from_txid").alias("txid"), F.col("from_commit").alias("commit")))
+    good = judged.where(holds & later)
+    # Of holding marks that start at one position the nearest is followed, so a position has one successor.
+    onward = good.groupBy(*keys, "from_txid", "from_commit").agg(F.min(F.struct("txid", "commit")).alias("to"))
+    return _followed(onward.select(*keys, "from_txid", "from_commit", "to.txid", "to.commit"), keys)
+
+
+def _followed(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """The end of each key's chain of marks from -> (txid, commit), begun by the one without ``from``: keys, txid, commit.
+
+    Ends ascend along a chain, so one pass over a key's marks in order of their
+    ends finds it, whatever marks lie between that belong to no chain. A task
+    reads its sorted rows as a stream and holds one position.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in marks.schema}
+
+    def visit(key: tuple, ends: Iterator[tuple]) -> Iterator[tuple]:
+        at = (None, None)
+        for *source, txid, commit in ends:
+            if tuple(source) == at:
+                at = (txid, commit)
+        if at[0] is not None:
+            yield (*key, *at)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "txid", "commit"])
+    return walk(marks, by=keys, order=["txid", "commit"], take=["from_txid", "from_commit", "txid", "commit"], visit=visit, schema=schema)
 
 
 def recovered_applied(recovered: DataFrame, streams: DataFrame) -> DataFrame:
@@ -269,32 +354,65 @@ def state_at(records: DataFrame, epoch: int, txid: int, commit: int) -> DataFram
     return records.where(upto | ((F.col("kind") == "recovered") & (F.col("script") == "")))
 
 
-def stream_summary(records: DataFrame) -> DataFrame:
-    """Per stream: records, live nodes, first and last position key, last commit time."""
+def stream_summary(records: DataFrame, whole: DataFrame, certified: DataFrame) -> DataFrame:
+    """Per stream: records, nodes, first and last position key, last commit time, certified, snapshot_at, deleted_at.
+
+    nodes: per epoch the nodes that sent its live records; certified: per epoch
+    the position up to which it is complete; both maps in order of the epoch.
+    snapshot_at: the complete stream snapshot that its state starts from;
+    deleted_at: where it was deleted by itself. Both are position keys.
+    """
     live = (F.col("origin") == "live") & (F.col("kind") != "recovered")
-    return records.groupBy(*STREAM).agg(
-        F.count("*").alias("records"),
-        F.count_distinct(F.when(live, F.col("node"))).alias("nodes"),
-        F.min(position_key()).alias("first_key"),
-        F.max(position_key()).alias("last_key"),
-        F.max("committed_at").alias("last_committed_at"),
+    base = records.groupBy(*STREAM, "epoch").agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_set(F.when(live, F.col("node")))).alias("sent"),
+        F.min(position_key()).alias("lo"),
+        F.max(position_key()).alias("hi"),
+        F.max("committed_at").alias("last"),
+    )
+    summary = base.groupBy(*STREAM).agg(
+        F.sum("n").alias("records"),
+        F.array_sort(F.collect_list(F.when(F.size("sent") > 0, F.struct("epoch", "sent")))).alias("nodes"),
+        F.min("lo").alias("first_key"),
+        F.max("hi").alias("last_key"),
+        F.max("last").alias("last_committed_at"),
     )
+    ends = certified.groupBy(*STREAM).agg(F.array_sort(F.collect_list(F.struct("epoch", "txid", "commit"))).alias("certified"))
+    cut = winning_cuts(snapshot_cuts(above_deletions(whole, whole))).where("scope = 'stream'").select(*STREAM, F.struct(*(F.col(f"cut.position.{p}").alias(p) for p in POSITION)).alias("snapshot_at"))
+    gone = deletion_cuts(whole).withColumnRenamed("cut", "deleted_at")
+    joined = summary.join(ends, STREAM, "left").join(cut, STREAM, "left").join(gone, STREAM, "left")
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(".", *(F.lpad(F.col(f"{c}.{p}").cast("string"), 20, "0") for p in POSITION)))
+    return joined.withColumns({"snapshot_at": key("snapshot_at"), "deleted_at": key("deleted_at")})
 
 
-def export_gaps(meta: DataFrame, cuts: DataFrame, certified: DataFrame) -> DataFrame:
-    """What is missing: STREAM, gap_kind, epoch, txid.
+def export_gaps(meta: DataFrame, cuts: DataFrame, certified: DataFrame, uncertain: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """What is missing: STREAM, gap_kind, POSITION of the record that says so, bound_epoch, bound_txid, certified_txid, TABLE, reason.
 
     gap: a declared gap whose end no stream snapshot covers. link: a link whose
     predecessor lies beyond what is certified of its epoch and isn't covered.
-    bulk: bulk loads, each a gap until a snapshot passes it.
+    recovered: a recovery whose head does, or that lost changes and lies before
+    what is certified, until a snapshot passes both. bulk: uncertain tables
+    (``generations``). reconciler: open findings (STREAM, finding, head_epoch, head_txid).
+    The bound is where a repair snapshot must reach.
+
+    meta has to_epoch and to_txid on gaps, prev_epoch and prev_txid on links,
+    head_epoch, head_txid and loss on recoveries, and reason.
     """
     covered = winning_cuts(cuts).where("scope = 'stream'").select(*STREAM, F.struct("cut.position.epoch", "cut.position.txid").alias("upto"))
-    heads = certified.select(*STREAM, F.col("epoch").alias("prev_epoch"), F.col("txid").alias("head"))
-    open_at = lambda e, t: F.col("upto").isNull() | (F.struct(F.col(e).alias("epoch"), F.col(t).alias("txid")) > F.col("upto"))
-    with_cut = meta.join(covered, STREAM, "left")
-    gaps = with_cut.where((F.col("kind") == "gap") & open_at("epoch", "to_txid")).select(*STREAM, F.lit("gap").alias("gap_kind"), "epoch", F.col("to_txid").alias("txid"))
-    links = with_cut.where("kind = 'link' AND prev_epoch IS NOT NULL").join(heads, [*STREAM, "prev_epoch"], "left")
-    beyond = (F.col("prev_txid") > F.coalesce("head", F.lit(0))) & open_at("prev_epoch", "prev_txid")
-    links = links.where(beyond).select(*STREAM, F.lit("link").alias("gap_kind"), F.col("prev_epoch").alias("epoch"), F.col("prev_txid").alias("txid"))
-    bulk = with_cut.where((F.col("kind") == "bulk") & open_at("epoch", "txid")).select(*STREAM, F.lit("bulk").alias("gap_kind"), "epoch", "txid")
-    return gaps.unionByName(links).unionByName(bulk).distinct()
+    heads = certified.select(*STREAM, F.col("epoch").alias("bound_epoch"), F.col("txid").alias("certified_txid"))
+    of = lambda gap, link, recovered: F.when(F.col("kind") == "gap", F.col(gap)).when(F.col("kind") == "link", F.col(link)).otherwise(F.col(recovered))
+    bounded = meta.where("kind IN ('gap', 'link', 'recovered')").withColumns({"bound_epoch": of("to_epoch", "prev_epoch", "head_epoch"), "bound_txid": of("to_txid", "prev_txid", "head_txid")})
+    known = bounded.where("bound_epoch IS NOT NULL AND bound_txid IS NOT NULL").join(heads, [*STREAM, "bound_epoch"], "left").join(covered, STREAM, "left")
+    lost = (F.col("kind") == "recovered") & F.coalesce("loss", F.lit(False))
+    ahead = lost & F.coalesce(F.col("certified_txid") > F.col("bound_txid"), F.lit(False))
+    short = F.col("bound_txid") > F.coalesce("certified_txid", F.lit(0))
+    known = known.where((F.col("kind") == "gap") | short | ahead).withColumn("bound_txid", F.when(lost, F.greatest("bound_txid", "certified_txid")).otherwise(F.col("bound_txid")))
+    known = known.where(F.col("upto").isNull() | (F.struct(F.col("bound_epoch").alias("epoch"), F.col("bound_txid").alias("txid")) > F.col("upto")))
+    null = lambda kind: F.lit(None).cast(kind)
+    first = known.select(*STREAM, F.col("kind").alias("gap_kind"), *POSITION, "bound_epoch", "bound_txid", "certified_txid", null("string").alias("table_name"), null("bigint").alias("generation"), F.col("reason").cast("string").alias("reason"))
+    none = [null("bigint").alias(c) for c in (*POSITION, "bound_epoch", "bound_txid", "certified_txid")]
+    bulk = uncertain.select(*STREAM, F.lit("bulk").alias("gap_kind"), *none, *TABLE, F.lit("bulk").alias("reason"))
+    found = first.unionByName(bulk)
+    if findings is not None:
+        found = found.unionByName(findings.select(*STREAM, F.lit("reconciler").alias("gap_kind"), *none[:3], F.col("head_epoch").alias("bound_epoch"), F.col("head_txid").alias("bound_txid"), *none[5:], null("string").alias("table_name"), null("bigint").alias("generation"), F.col("finding").alias("reason")))
+    return found.distinct()

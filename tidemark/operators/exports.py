@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.relational import range_join
+from tidemark.operators.walks import walk
+
 #: Tables that are never exported by prefix, and those exported in spite of it.
 HIDDEN_PREFIXES = ("sqlite_", "_litestream_", "_cf_")
 EXPORTED_ANYWAY = ("_cf_kv", "__kv_meta")
@@ -64,9 +68,13 @@ def delivered(commits: DataFrame, by: list[str]) -> DataFrame:
 
 
 def recovered_sessions(recovered: DataFrame) -> DataFrame:
-    """Per (epoch, session): cells expected, streams held (facets counted apart), whether any was lost, and whether it fell short."""
-    stream = F.struct("cell", "facet")
-    out = recovered.groupBy("epoch", "session").agg(F.max("expected").alias("expected"), F.count_distinct(stream).alias("held"), F.bool_or("loss").alias("loss"))
+    """Per session: records expected, streams held, whether any was lost, and whether it fell short.
+
+    A stream held is a (cell, facet, epoch of its head); how many were sent is
+    the most that any record of the session says, 0 if none says.
+    """
+    stream = F.struct("cell", "facet", "epoch")
+    out = recovered.groupBy("session").agg(F.coalesce(F.max("expected"), F.lit(0)).alias("expected"), F.count_distinct(stream).alias("held"), F.bool_or("loss").alias("loss"))
     return out.withColumn("short", F.col("held") < F.col("expected"))
 
 
@@ -138,18 +146,21 @@ def byte_range(data: Column, *, offset: int | None = None, length: int | None =
 def delivery_batches(messages: DataFrame, *, size: int, wait_ms: int) -> DataFrame:
     """Batches per queue in order of readiness: one closes when full, or when its oldest message has waited; queue, batch, n, first_at.
 
-    Where a batch ends depends on where the one before it did, so a queue is walked in order.
+    Where a batch ends depends on where the one before it did, so a queue is walked in order, as a stream.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for at in sorted(group["ready_at"]):
-            if not out or out[-1][0] >= size or at >= out[-1][1] + wait_ms:
-                out.append([0, at])
-            out[-1][0] += 1
-        return pd.DataFrame({"queue": group["queue"].iloc[0], "batch": range(len(out)), "n": [x[0] for x in out], "first_at": [x[1] for x in out]})
+    def visit(key: tuple, times: Iterator[tuple]) -> Iterator[tuple]:
+        number, n, first = 0, 0, 0
+        for (at,) in times:
+            if n and (n >= size or at >= first + wait_ms):
+                yield (*key, number, n, first)
+                number, n = number + 1, 0
+            first = first if n else at
+            n += 1
+        if n:
+            yield (*key, number, n, first)
 
-    return messages.groupBy("queue").applyInPandas(walk, "queue string, batch int, n bigint, first_at bigint")
+    return walk(messages, by=["queue"], order=["ready_at"], take=["ready_at"], visit=visit, schema="queue string, batch int, n bigint, first_at bigint")
 
 
 def slow_members(medians: DataFrame, *, factor: float) -> DataFrame:
@@ -160,8 +171,9 @@ def slow_members(medians: DataFrame, *, factor: float) -> DataFrame:
     return ranked.where(F.col("median") > rest * factor).select("group", "member", "median")
 
 
-def attribute_commits(commits: DataFrame, captures: DataFrame, by: list[str]) -> DataFrame:
+def attribute_commits(commits: DataFrame, captures: DataFrame, by: list[str], *, width: int = 256) -> DataFrame:
     """Each commit with the first capture that contains its last log frame; null where none does, never a guess."""
-    joined = commits.join(captures, by, "left")
-    holds = (F.col("from_frame") <= F.col("last_frame")) & (F.col("last_frame") <= F.col("to_frame"))
-    return joined.groupBy(*by, "commit").agg(F.min(F.when(holds, F.col("capture"))).alias("capture"))
+    ranges = captures.select(*by, "capture", "from_frame", (F.col("to_frame") + 1).alias("_end"))
+    held = range_join(commits, ranges, by=by, at="last_frame", low="from_frame", high="_end", width=width)
+    first = held.groupBy(*by, "commit").agg(F.min("capture").alias("capture"))
+    return commits.select(*by, "commit").distinct().join(first, [*by, "commit"], "left")

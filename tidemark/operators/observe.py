@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.walks import walk
+
 MAX_SCALE = 20
 MAX_BUCKETS = 160
 
@@ -63,22 +66,33 @@ def sampled(spans: DataFrame, ratio: float, *, parent: Column | None = None) ->
     return spans.where(own if parent is None else F.coalesce(parent, own))
 
 
-def rebalance(peers: DataFrame, *, now: int, room: float) -> DataFrame:
-    """Weighted targets: node, owned, target, surplus, room; no rows unless every live peer is fresh and unpaused.
+#: A receiver fills to so many hundredths below its target.
+DEADBAND_PERCENT = 2
+
+
+def rebalance(peers: DataFrame, *, now: int, batch: int, max_age_ms: int = 60_000, since_ms: int = 0) -> DataFrame:
+    """Weighted targets: node, owned_cells, target, surplus, room; no rows unless every live peer is fresh, paced and unpaused.
 
-    target = ceil(owned in all * weight / weights in all); draining nodes have no
-    target. One row per node: a global window over the fleet.
+    target = ceil(owned in all * weight / weights in all), weights being 1 at
+    least. room is what a node can take before it comes within the deadband
+    below its target; draining and restoring nodes have none. Only the densest
+    node gives (of equals the first by name): what it owns beyond its target, but no
+    more than the others' room or ``batch``. One row per node: global windows over the fleet.
     """
-    live = peers.where(F.col("expires_ms") > now)
-    whole = Window.partitionBy()
-    weight = F.when(F.col("draining"), 0).otherwise(F.col("placement_weight"))
-    ready = F.min((~F.col("paused") & (F.col("sampled_ms") + 60_000 > now)).cast("int")).over(whole)
-    owned, weights = F.sum("owned_cells").over(whole), F.sum(weight).over(whole)
-    target = F.ceil(owned * weight / F.nullif(weights, F.lit(0))).cast("bigint")
-    planned = live.select("node", "owned_cells", target.alias("target"), ready.alias("_ready")).where("_ready = 1")
-    surplus = F.greatest(F.col("owned_cells") - F.col("target"), F.lit(0))
-    space = F.greatest(F.floor(F.col("target") * (1 + room)) - F.col("owned_cells"), F.lit(0))
-    return planned.select("node", "owned_cells", "target", surplus.alias("surplus"), space.alias("room"))
+    live = peers.where(F.col("expires_ms") > now).withColumn("_w", F.greatest("placement_weight", F.lit(1)))
+    whole = Window.partitionBy(F.lit(0))
+    fresh = (F.col("sampled_ms") > since_ms) & (F.col("sampled_ms") + max_age_ms >= now)
+    ready = fresh & F.col("paced") & ~F.col("paused") & F.col("owned_cells").isNotNull() & F.col("placement_weight").isNotNull()
+    summed = live.withColumns({"_ready": F.min(ready.cast("int")).over(whole), "_owned": F.sum("owned_cells").over(whole), "_all": F.sum("_w").over(whole)})
+    planned = summed.where("_ready = 1").withColumn("target", F.expr("(_owned * _w + _all - 1) DIV _all"))
+    takes = ~F.col("draining") & (F.col("restoring") == 0)
+    space = F.greatest(F.col("target") - F.expr(f"(target * {DEADBAND_PERCENT} + 99) DIV 100") - F.col("owned_cells"), F.lit(0))
+    planned = planned.withColumn("room", F.when(takes, space).otherwise(0))
+    density = F.col("owned_cells") / F.col("_w")
+    donor = F.row_number().over(whole.orderBy(F.desc(density), "node")) == 1
+    others = F.sum("room").over(whole) - F.col("room")
+    surplus = F.greatest(F.least(F.col("owned_cells") - F.col("target"), others, F.lit(batch)), F.lit(0))
+    return planned.withColumn("_donor", donor).select("node", "owned_cells", "target", F.when(F.col("_donor"), surplus).otherwise(0).alias("surplus"), "room")
 
 
 def shared_heap(isolates: DataFrame) -> DataFrame:
@@ -96,19 +110,17 @@ def gauges(states: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
 def eviction_plan(entries: DataFrame, *, budget: int) -> DataFrame:
     """Per cache, newest first, what stays: an entry stays if it still fits, so a small old one may stay where a large newer one went.
 
-    The choice depends on all choices before it; a cache's index is walked as one group.
+    The choice depends on all choices before it; a cache's index is walked in order, as a stream.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        used, kept = 0, []
-        ordered = group.sort_values(["used_at", "key"], ascending=[False, True])
-        for size in ordered["size"]:
+    def visit(key: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        used = 0
+        for name, size in found:
             stays = used + size <= budget
             used += size if stays else 0
-            kept.append(bool(stays))
-        return pd.DataFrame({"cache": ordered["cache"], "key": ordered["key"], "stays": kept})
+            yield (*key, name, stays)
 
-    return entries.groupBy("cache").applyInPandas(walk, "cache string, key bigint, stays boolean")
+    return walk(entries, by=["cache"], order=[F.desc("used_at"), "key"], take=["key", "size"], visit=visit, schema="cache string, key bigint, stays boolean")
 
 
 def due(alarms: DataFrame, *, now_minute: str) -> DataFrame:

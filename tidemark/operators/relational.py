@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_SQL_BYTES, MAX_BINDS, MAX_ROWS = 100_000, 100, 100_000
-#: Statements that read; others need a table format that can be written in place.
-READING = ("select", "with", "values", "from", "table", "explain", "describe", "show")
+#: Bounds of a user's statement and of its result.
+MAX_SQL_BYTES, MAX_BINDS, MAX_ROWS, MAX_RESULT_BYTES = 100_000, 100, 100_000, 32 << 20
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], at: str, keep: list[str]) -> DataFrame:
@@ -25,11 +26,13 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], at: str, keep
     return carried.select(*left.columns, *(F.col(f"_last.{c}").alias(c) for c in keep))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the ranges [low, high) that hold them: an equi-join on bins of ``width``, with the bounds as residual."""
-    bins = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+def range_join(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:
+    """Points with the ranges [low, high) of their key that hold them: an equi-join on key and bins of ``width``, with the bounds as residual."""
+    by = by or []
+    sound = ranges.where(F.col(high) > F.col(low))
+    bins = sound.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     hit = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(bins, "_bin").where(hit).drop("_bin")
+    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(bins, [*by, "_bin"]).where(hit).drop("_bin")
 
 
 def gaps_and_islands(rows: DataFrame, *, by: list[str], at: str, gap: Column | int) -> DataFrame:
@@ -40,25 +43,69 @@ def gaps_and_islands(rows: DataFrame, *, by: list[str], at: str, gap: Column | i
     return marked.groupBy(*by, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def user_sql(spark: SparkSession, text: str, args: list | None = None, *, limit: int = MAX_ROWS, **tables: DataFrame) -> DataFrame:
-    """One reading statement with positional parameters over the given tables, at most ``limit`` rows.
+def _nodes(plan):
+    """A parsed plan and all below it, also what hangs beside it as a common table expression or a subquery."""
+    yield plan
+    for inner in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for i in range(inner.size()):
+            if inner.apply(i).getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical.") or hasattr(inner.apply(i), "multipartIdentifier"):
+                yield from _nodes(inner.apply(i))
+
+
+def check_reading(spark: SparkSession, text: str) -> None:
+    """Raise unless Spark parses ``text`` as one query: a command or a write at any place is refused."""
+    from pyspark.errors import ParseException
+
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ParseException(str(e)) if "ParseException" in str(e) else e from None
+    load = plan.getClass().getClassLoader().loadClass
+    kinds = [load(f"org.apache.spark.sql.catalyst.plans.logical.{x}") for x in ("Command", "ParsedStatement")]
+    if any(kind.isInstance(node) for node in _nodes(plan) for kind in kinds):
+        raise PermissionError("only queries are allowed")
+
+
+def bounded(rows: DataFrame, limit: int = MAX_ROWS, size: int = MAX_RESULT_BYTES) -> DataFrame:
+    """``rows``, which must be at most ``limit`` and ``size`` bytes of JSON: more is an error when they are read, never a cut.
+
+    Only limit + 1 rows are gathered to be counted, whatever the size of the result.
+    """
+    names = rows.columns
+    some = rows.limit(limit + 1).withColumn("_size", F.octet_length(F.to_json(F.struct(*(F.col(f"`{n}`") for n in names)))))
+    whole = Window.partitionBy(F.lit(0))
+    fault = F.when(F.count("*").over(whole) > limit, f"more than {limit} rows").when(F.sum("_size").over(whole) > size, f"more than {size} bytes")
+    judged = some.withColumn("_fault", fault)
+    return judged.where(F.col("_fault").isNull() | F.raise_error(F.col("_fault")).cast("boolean")).select(*(F.col(f"`{n}`") for n in names))
+
+
+def user_sql(spark: SparkSession, text: str, args: list | None = None, *, limit: int = MAX_ROWS, size: int = MAX_RESULT_BYTES, **tables: DataFrame) -> DataFrame:
+    """One query with positional parameters over the given tables; a result beyond ``limit`` rows or ``size`` bytes is an error.
 
-    Booleans bind as 0 and 1, bytes as binary; other types than numbers, text
-    and null are refused, as are other statements and over-long ones.
+    The statement is parsed, and refused if any part of it is a command or a
+    write. Booleans bind as 0 and 1, bytes as binary; other types than numbers,
+    text and null are refused, as are over-long statements. Tables are bound
+    under names of their own, so that no view of the session is replaced.
     """
     args = list(args or [])
     if len(text.encode()) > MAX_SQL_BYTES or len(args) > MAX_BINDS:
         raise ValueError("statement too large")
-    if text.lstrip().split(None, 1)[0].lower() not in READING:
-        raise PermissionError("only reading statements are allowed")
+    check_reading(spark, text)
     bound = []
     for a in args:
         if not (a is None or isinstance(a, (bool, int, float, str, bytes))):
             raise TypeError(f"can't bind {type(a).__name__}")
         bound.append(int(a) if isinstance(a, bool) else a)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args=bound).limit(limit)
+    own = {name: f"tidemark_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(own[name])
+        heads = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in own.items())
+        rows = spark.sql(f"WITH {heads} SELECT * FROM (\n{text}\n)" if own else text, args=bound)
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
+    return bounded(rows, limit, size)
 
 
 def one(rows: DataFrame) -> dict:

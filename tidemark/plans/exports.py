@@ -41,11 +41,14 @@ def sync_plan(s, d):
     return x.sync_plan(wanted, known)
 
 
+CAPTURES = "SELECT concat('c', user_id % 20) AS cell, event_id AS commit, event_id * 2 AS last_frame, event_id AS capture, event_id * 2 - 20 AS from_frame, CASE WHEN event_id % 3 = 0 THEN event_id * 2 - 30 ELSE event_id * 2 + 40 END AS to_frame FROM T"
+
+
 def attribution(s, d):
-    ev = read(s, d, "events").where("event_id % 3 = 0")
-    commits = ev.select(F.concat(F.lit("c"), F.col("user_id") % 20).alias("cell"), F.col("event_id").alias("commit"), (F.col("event_id") * 2).alias("last_frame"))
-    caps = read(s, d, "events").where("event_id % 50 = 0").select(F.concat(F.lit("c"), F.col("user_id") % 20).alias("cell"), F.col("event_id").alias("capture"), (F.col("event_id") * 2 - 60).alias("from_frame"), (F.col("event_id") * 2 + 300).alias("to_frame"))
-    return x.attribute_commits(commits, caps, ["cell"])
+    """Each event's commit among the captures that events make; one in three of them is empty, and one commit in seven lies between frames of others."""
+    both = _over("events", CAPTURES)(s, d)
+    commits = both.select("cell", "commit", F.when(F.col("commit") % 7 == 0, -F.col("last_frame")).otherwise(F.col("last_frame")).alias("last_frame"))
+    return x.attribute_commits(commits, both.select("cell", "capture", "from_frame", "to_frame"), ["cell"])
 
 
 QUERIES = {
@@ -83,7 +86,7 @@ UNION ALL SELECT o_custkey, 1, 1, 'bulk', '' FROM big WHERE big""",
     "exported_tables": f"SELECT name FROM ({_t(NAMES, 'part')}) WHERE name IN ('_cf_KV', '__queue_main', '__kv_meta', 'users') OR regexp_full_match(name, 't[0-9]+')",
     "exported_classes": f"SELECT name FROM ({_t(CLASSES, 'part')}) WHERE name IN ('__D1Database', '__KvNamespace') OR starts_with(name, 'App')",
     "delivered_positions": f"WITH c AS ({_t(COMMITS, 'events')}), b AS (SELECT cell, min(commit) FILTER (NOT acked) AS stop FROM c GROUP BY cell) SELECT cell, max(commit) FILTER (stop IS NULL OR commit < stop) AS delivered, bool_or(stop IS NOT NULL) AS frozen FROM c JOIN b USING (cell) GROUP BY cell",
-    "recovered_sessions": f"SELECT epoch, session, max(expected) AS expected, count(DISTINCT concat(cell, '|', facet)) AS held, bool_or(loss) AS loss, count(DISTINCT concat(cell, '|', facet)) < max(expected) AS short FROM ({_t(SESSIONS, 'events')}) GROUP BY ALL",
+    "recovered_sessions": f"SELECT session, max(expected) AS expected, count(DISTINCT concat(cell, '|', facet, '|', epoch)) AS held, bool_or(loss) AS loss, count(DISTINCT concat(cell, '|', facet, '|', epoch)) < max(expected) AS short FROM ({_t(SESSIONS, 'events')}) GROUP BY ALL",
     "schema_changes": f"""
 WITH b AS ({_t(CATALOG, 'nation')}), a AS ({_t(CATALOG2, 'nation')})
 SELECT a.name, CASE WHEN a.root = b.root THEN 'kept' ELSE 'opened' END AS change, CASE WHEN a.root = b.root THEN b.generation ELSE b.generation + 1 END AS generation, CAST(NULL AS VARCHAR) AS renamed_from FROM a JOIN b USING (name)
@@ -102,7 +105,7 @@ w AS (SELECT queue, k, 0 AS batch, 1 AS n, ready_at AS first_at FROM m WHERE k =
     CASE WHEN w.n >= 10 OR m.ready_at >= w.first_at + 300 THEN m.ready_at ELSE w.first_at END FROM w JOIN m ON m.queue = w.queue AND m.k = w.k + 1)
 SELECT queue, batch, CAST(max(n) AS BIGINT) AS n, first_at FROM w GROUP BY queue, batch, first_at""",
     "slow_members": f"WITH m AS ({_t(MEDIANS, 'nation')}) SELECT grp AS \"group\", member, median FROM m a WHERE median > 1.5 * (SELECT min(median) FROM m b WHERE b.grp = a.grp AND b.member <> a.member)",
-    "commit_attribution": """
-SELECT c.cell, c.commit, min(p.capture) FILTER (c.commit * 2 BETWEEN p.capture * 2 - 60 AND p.capture * 2 + 300) AS capture
-FROM (SELECT concat('c', user_id % 20) AS cell, event_id AS commit FROM events WHERE event_id % 3 = 0) c LEFT JOIN (SELECT concat('c', user_id % 20) AS cell, event_id AS capture FROM events WHERE event_id % 50 = 0) p USING (cell) GROUP BY ALL""",
+    "commit_attribution": f"""
+WITH e AS ({_t(CAPTURES, "events")})
+SELECT c.cell, c.commit, min(p.capture) AS capture FROM (SELECT cell, commit, CASE WHEN commit % 7 = 0 THEN -last_frame ELSE last_frame END AS f FROM e) c LEFT JOIN e p ON p.cell = c.cell AND c.f BETWEEN p.from_frame AND p.to_frame GROUP BY ALL""",
 }

@@ -9,7 +9,7 @@ from tidemark.plans.changes import read
 
 SPANS = """spans AS (SELECT concat('n', user_id % 4) AS node, md5(CAST(user_id AS STRING)) AS trace_id, substr(md5(CAST(event_id AS STRING)), 1, 16) AS span_id, event_type AS name,
   event_id * 1000000 AS start_unix_us, CAST(round(value * 1000) AS BIGINT) AS duration_us, event_type <> 'error' AS ok, CASE WHEN event_id % 10 = 0 THEN event_id % 20 = 0 END AS parent_sampled, event_id, user_id, value FROM EVENTS)"""
-PEERS = """peers AS (SELECT concat('p', user_id) AS node, count(*) AS owned_cells, 1 + user_id % 3 AS placement_weight, 100000 - user_id AS sampled_ms, 100000 + 10 * user_id - 5 AS expires_ms, user_id % 11 = 0 AS draining, FALSE AS paused FROM EVENTS GROUP BY user_id)"""
+PEERS = """peers AS (SELECT concat('p', user_id) AS node, count(*) AS owned_cells, 1 + user_id % 3 AS placement_weight, 100000 - user_id AS sampled_ms, 100000 + 10 * user_id - 5 AS expires_ms, user_id % 11 = 0 AS draining, user_id % 13 % 2 * (user_id % 13) AS restoring, TRUE AS paced, FALSE AS paused FROM EVENTS GROUP BY user_id)"""
 OBJECTS = """objects AS (SELECT concat('spans/n', o_custkey % 3, '/', CASE WHEN o_orderkey % 50 = 0 THEN 'junk' ELSE concat('2024/0', 1 + o_orderkey % 9, '/1', o_orderkey % 10, '/0', o_orderkey % 7) END, '/', o_orderkey, '-x.parquet') AS key, o_orderkey % 1000 AS size FROM ORDERS)"""
 
 
@@ -23,7 +23,7 @@ _spans, _peers, _objects = _made(SPANS, "spans"), _made(PEERS, "peers"), _made(O
 
 def log_span_join(s, d):
     spans = _spans(s, d)
-    logs = spans.where("event_id % 3 = 0").select("trace_id", "span_id", F.concat(F.lit("log "), "event_id").alias("body"))
+    logs = spans.select(F.when(F.col("event_id") % 4 != 1, F.col("trace_id")).alias("trace_id"), "span_id", F.concat(F.lit("log "), "event_id").alias("body"))
     return logs.join(spans.select("trace_id", "span_id", "name", "duration_us", "ok"), ["trace_id", "span_id"])
 
 
@@ -64,7 +64,7 @@ QUERIES = {
     "sustained_suspicion": sustained,
     "pressure_latch": lambda s, d: observe.latch(_spans(s, d), member="node", order=["event_id"], value="value", ceiling=50.0).groupBy("node").agg(F.count_if("engaged").alias("engaged"), F.count("*").alias("n")),
     "trace_sample": lambda s, d: observe.sampled(_spans(s, d), 0.3, parent=F.col("parent_sampled")).select("trace_id", "span_id"),
-    "rebalance_targets": lambda s, d: observe.rebalance(_peers(s, d), now=100_000, room=0.25),
+    "rebalance_targets": lambda s, d: observe.rebalance(_peers(s, d), now=100_000, batch=40),
     "shared_heap": lambda s, d: observe.shared_heap(_peers(s, d).select(F.col("node").alias("isolate"), (F.col("owned_cells") * 1000).alias("bytes"), F.col("placement_weight").alias("cells"))),
     "state_gauges": lambda s, d: observe.gauges(read(s, d, "events").select(F.col("event_id").alias("member"), "props"), "props", GAUGES),
     "eviction_plan": eviction,
@@ -81,7 +81,7 @@ def _sql(cte: str, select: str) -> str:
 
 
 SQL = {
-    "log_span_join": _sql(SPANS, "SELECT l.trace_id, l.span_id, concat('log ', l.event_id) AS body, s.name, s.duration_us, s.ok FROM spans l JOIN spans s USING (trace_id, span_id) WHERE l.event_id % 3 = 0"),
+    "log_span_join": _sql(SPANS, "SELECT l.trace_id, l.span_id, concat('log ', l.event_id) AS body, s.name, s.duration_us, s.ok FROM spans l JOIN spans s USING (trace_id, span_id) WHERE l.event_id % 4 <> 1"),
     "slowest_requests": _sql(SPANS, "SELECT trace_id, span_id, name, duration_us FROM spans WHERE ok ORDER BY duration_us DESC, span_id LIMIT 20"),
     "exp_histogram": _sql(SPANS, """
 , v AS (SELECT name, CASE WHEN event_id % 40 = 0 THEN 0 WHEN event_id % 41 = 0 THEN -1 ELSE value + 0.003 END AS v FROM spans),
@@ -101,9 +101,11 @@ SELECT node, min(event_id) AS since, max(event_id) AS until, count(*) AS n FROM
 SELECT node, count(*) FILTER (e) AS engaged, count(*) AS n FROM m GROUP BY node"""),
     "trace_sample": _sql(SPANS, "SELECT trace_id, span_id FROM spans WHERE coalesce(parent_sampled, substr(trace_id, 1, 16) < '4ccccccccccccc00')"),
     "rebalance_targets": _sql(PEERS, """
-, live AS (SELECT *, CASE WHEN draining THEN 0 ELSE placement_weight END AS w FROM peers WHERE expires_ms > 100000),
-t AS (SELECT node, owned_cells, CAST(ceil(sum(owned_cells) OVER () * w / sum(w) OVER ()) AS BIGINT) AS target, bool_and(NOT paused AND sampled_ms + 60000 > 100000) OVER () AS ready FROM live)
-SELECT node, owned_cells, target, greatest(owned_cells - target, 0) AS surplus, CAST(greatest(floor(target * 1.25) - owned_cells, 0) AS BIGINT) AS room FROM t WHERE ready"""),
+, live AS (SELECT *, greatest(placement_weight, 1) AS w FROM peers WHERE expires_ms > 100000),
+t AS (SELECT *, CAST((sum(owned_cells) OVER () * w + sum(w) OVER () - 1) // sum(w) OVER () AS BIGINT) AS target, bool_and(paced AND NOT paused AND sampled_ms > 0 AND sampled_ms + 60000 >= 100000) OVER () AS ready FROM live),
+r AS (SELECT *, CASE WHEN draining OR restoring > 0 THEN 0 ELSE greatest(target - (target * 2 + 99) // 100 - owned_cells, 0) END AS room FROM t WHERE ready),
+p AS (SELECT *, CAST(sum(room) OVER () AS BIGINT) - room AS others, row_number() OVER (ORDER BY owned_cells / w DESC, node) AS rank FROM r)
+SELECT node, owned_cells, target, CASE WHEN rank = 1 THEN greatest(least(owned_cells - target, others, 40), 0) ELSE 0 END AS surplus, room FROM p"""),
     "shared_heap": _sql(PEERS, "SELECT node AS isolate, owned_cells * 1000 // placement_weight AS bytes, CAST(unnest(range(1, placement_weight + 1)) AS INT) AS cell FROM peers"),
     "state_gauges": "SELECT event_id AS member, 'cells' AS gauge, CAST(props->>'$.k' AS DOUBLE) AS value FROM events WHERE props->>'$.k' IS NOT NULL",
     "eviction_plan": _sql(SPANS, """

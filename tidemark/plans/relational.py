@@ -13,24 +13,32 @@ def _r(s, d, *names):
     return [read(s, d, n) for n in names]
 
 
+def _exact(name):
+    """Money as decimals: a sum of doubles depends on the order of addition, and so does the digit it is rounded to."""
+    return F.col(name).cast("decimal(15,2)")
+
+
+def _revenue():
+    return F.sum(_exact("l_extendedprice") * (1 - _exact("l_discount"))).cast("double")
+
+
 def pricing_summary(s, d):
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     lines = read(s, d, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 3).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(_exact("l_quantity")).cast("double").alias("sum_qty"), _revenue().alias("sum_price"), F.round(F.sum(_exact("l_discount")).cast("double") / F.count("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
 def nation_revenue(s, d):
     """Five tables joined; the small ones are broadcast by their size."""
     region, nation, customer, orders, lines = _r(s, d, "region", "nation", "customer", "orders", "lineitem")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 3).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
+    return joined.groupBy("r_name", "n_name").agg(_revenue().alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
 def shipping_priority(s, d):
     customer, orders, lines = _r(s, d, "customer", "orders", "lineitem")
     late = lines.where("l_shipdate > TIMESTAMP_NTZ '1995-03-15'").join(orders.where("o_orderdate < TIMESTAMP_NTZ '1995-03-15'"), F.col("l_orderkey") == F.col("o_orderkey"))
     own = late.join(customer.where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
-    return own.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 3).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+    return own.groupBy("l_orderkey", "o_orderdate").agg(_revenue().alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
 def rollups(s, d, how):
@@ -40,7 +48,7 @@ def rollups(s, d, how):
 
 def ranks(s, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    out = read(s, d, "orders").select("o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.ntile(3).over(w).alias("third"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"), F.first_value("o_orderkey").over(w).alias("first"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last_three"))
+    out = read(s, d, "orders").select("o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.ntile(3).over(w).alias("third"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"), F.first_value("o_orderkey").over(w).alias("first"), F.sum(_exact("o_totalprice")).over(w.rowsBetween(-2, 0)).cast("double").alias("last_three"))
     return out
 
 
@@ -53,7 +61,7 @@ def asof(s, d):
 
 def ranges(s, d):
     parts = read(s, d, "part").select("p_partkey", "p_retailprice")
-    bands = parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
+    bands = parts.select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
     return relational.range_join(parts, bands, at="p_retailprice", low="lo", high="hi", width=25.0).groupBy("band").agg(F.count("*").alias("n"))
 
 
@@ -94,7 +102,7 @@ QUERIES = {
     "nation_revenue": nation_revenue,
     "shipping_priority": shipping_priority,
     "join_left": lambda s, d: read(s, d, "customer").join(read(s, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")),
-    "join_full": lambda s, d: read(s, d, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey", "s_nationkey").join(read(s, d, "nation").where("n_nationkey % 3 = 0"), F.col("s_nationkey") == F.col("n_nationkey"), "full_outer").select("s_suppkey", "n_name"),
+    "join_full": lambda s, d: read(s, d, "supplier").select("s_suppkey", "s_nationkey").join(read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey") + 9, "full_outer").select("s_suppkey", "n_name"),
     "join_semi": lambda s, d: read(s, d, "customer").join(read(s, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"),
     "join_anti": lambda s, d: read(s, d, "customer").join(read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "join_asof": asof,
@@ -115,21 +123,21 @@ QUERIES = {
 _W = "PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey"
 _PIVOT = "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1"
 SQL = {
-    "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 3) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
-    "nation_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 3) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
-    "shipping_priority": "SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 3) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_shipdate > TIMESTAMP '1995-03-15' AND o_orderdate < TIMESTAMP '1995-03-15' AND c_mktsegment = 'BUILDING' GROUP BY ALL ORDER BY revenue DESC, l_orderkey LIMIT 10",
+    "pricing_summary": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE) AS sum_price, round(CAST(sum(CAST(l_discount AS DECIMAL(15,2))) AS DOUBLE) / count(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
+    "nation_revenue": "SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
+    "shipping_priority": "SELECT l_orderkey, o_orderdate, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_shipdate > TIMESTAMP '1995-03-15' AND o_orderdate < TIMESTAMP '1995-03-15' AND c_mktsegment = 'BUILDING' GROUP BY ALL ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1",
-    "join_full": "SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) FULL JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) ON s_nationkey = n_nationkey",
+    "join_full": "SELECT s_suppkey, n_name FROM supplier FULL JOIN nation ON s_nationkey = n_nationkey + 9",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "join_asof": """
 WITH v AS (SELECT user_id, ts, max(row(event_id, value)) AS x FROM events WHERE event_type = 'view' GROUP BY 1, 2)
 SELECT b.event_id, v.x[1] AS view_id, v.x[2] AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts""",
-    "join_range": "SELECT b.p_partkey AS band, count(*) AS n FROM part p JOIN part b ON b.p_partkey % 20 = 0 AND p.p_retailprice >= b.p_retailprice AND p.p_retailprice < b.p_retailprice + 5 GROUP BY 1",
+    "join_range": "SELECT b.p_partkey AS band, count(*) AS n FROM part p JOIN part b ON p.p_retailprice >= b.p_retailprice AND p.p_retailprice < b.p_retailprice + 5 GROUP BY 1",
     "group_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "group_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "group_statistics": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS corr, quantile_cont(l_quantity, 0.9) AS p90, median(l_quantity) AS median, count(DISTINCT l_partkey) AS parts, max(row(l_extendedprice, l_orderkey))[2] AS dearest FROM lineitem GROUP BY 1",
-    "window_ranks": f"SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER w AS INT) AS rank, CAST(dense_rank() OVER w AS INT) AS dense, CAST(ntile(3) OVER w AS INT) AS third, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS first, round(sum(o_totalprice) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three FROM orders WINDOW w AS ({_W})",
+    "window_ranks": f"SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER w AS INT) AS rank, CAST(dense_rank() OVER w AS INT) AS dense, CAST(ntile(3) OVER w AS INT) AS third, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS first, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last_three FROM orders WINDOW w AS ({_W})",
     "window_sessions": """
 WITH t AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), m AS (SELECT *, CASE WHEN sec - lag(sec) OVER w <= 7200 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY user_id ORDER BY sec)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m)

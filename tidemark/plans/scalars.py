@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, time
+from tidemark.operators.vectors import nearest
 from tidemark.plans.changes import read
 
 CRON = "*/15 8-18 1,15,L * MON-FRI"
-NEXT = "30 6,18 * * 2#2"
+#: A week of a month, a day that most years lack, a step (which is a restriction) beside a weekday.
+NEXT = {"second_monday": "30 6,18 * * 2#2", "leap_day": "0 0 29 2 *", "step_or_monday": "0 0 */2 * MON"}
 
 
 def cron_matches(s, d):
@@ -17,8 +19,15 @@ def cron_matches(s, d):
 
 
 def cron_next(s, d):
-    ev = read(s, d, "events").where("event_id % 50 = 0")
-    return ev.select("event_id", time.cron_next(NEXT, F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("next_at"))
+    at = F.col("ts").cast("timestamp")
+    return read(s, d, "events").select("event_id", *(time.cron_next(x, at).cast("timestamp_ntz").alias(name) for name, x in NEXT.items()), time.cron_next_across(list(NEXT.values()), at).cast("timestamp_ntz").alias("next_across"))
+
+
+def cron_fanout(s, d):
+    """Which of several expressions a minute belongs to, and when to run again after it failed."""
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    again = time.cron_rearm(time.cron_next("0 * * * *", minute), minute + F.expr("make_dt_interval(0, 0, event_id % 90)"))
+    return read(s, d, "events").select("event_id", F.array_join(time.cron_matching(["*/2 * * * *", "* 0-11 * * *", "* * * * MON-FRI"], minute), ",").alias("matching"), again.cast("timestamp_ntz").alias("rearm_at"))
 
 
 def minute_buckets(s, d):
@@ -46,13 +55,9 @@ def trace_headers(s, d):
 
 
 def knn_topk(s, d):
-    """The five nearest vectors of each of ten stated queries, by Euclidean distance."""
+    """The five nearest vectors, by Euclidean distance, of every vector whose id is divisible by 50."""
     v = read(s, d, "embeddings").select("vec_id", "embedding")
-    queries = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # ten stated queries
-    pairs = v.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    best = pairs.select("query_id", "vec_id", scalar.l2_distance(F.col("q").cast("array<double>"), F.col("embedding").cast("array<double>")).alias("distance"))
-    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, 5).alias("top"))
-    return top.select("query_id", F.inline("top")).select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
+    return nearest(v, v.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
 def digests(s, d):
@@ -70,14 +75,15 @@ def json_values(s, d):
 
 def attribute_lists(s, d):
     ev = read(s, d, "events")
-    text = F.concat(F.lit("type="), "event_type", F.lit(",user="), "user_id", F.lit(",junk,note=a%20b,type=x"), F.col("event_id") % 3)
+    text = F.concat(F.lit("type="), "event_type", F.lit(",user="), "user_id", F.lit(", ,eq=a=b+c,note=a%20b,type=x"), F.col("event_id") % 3)
     m = scalar.attributes(text)
-    return ev.select("event_id", m["type"].alias("type"), m["user"].alias("user"), m["note"].alias("note"), F.size(m).alias("n"))
+    return ev.select("event_id", m["type"].alias("type"), m["user"].alias("user"), m["note"].alias("note"), m["eq"].alias("eq"), F.size(m).alias("n"))
 
 
 QUERIES = {
     "cron_matches": cron_matches,
     "cron_next": cron_next,
+    "cron_fanout": cron_fanout,
     "minute_buckets": minute_buckets,
     "page_urls": page_urls,
     "page_redirects": lambda s, d: page_urls(s, d).select("page_id", scalar.redirect(F.col("path"), RULES).alias("target")),
@@ -85,7 +91,7 @@ QUERIES = {
     "trace_headers": trace_headers,
     "knn_topk": knn_topk,
     "digests": digests,
-    "fnv_shards": lambda s, d: read(s, d, "nation").select("n_name", scalar.fnv1a64(F.col("n_name")).alias("fnv")),
+    "fnv_shards": lambda s, d: read(s, d, "customer").select("c_custkey", scalar.fnv1a64(F.col("c_name")).alias("fnv")),
     "json_values": json_values,
     "attribute_lists": attribute_lists,
     "truncated_texts": lambda s, d: read(s, d, "documents").select("doc_id", scalar.truncate_utf8(F.col("text"), 8192).alias("t")).select("doc_id", F.octet_length("t").alias("n_bytes"), F.length("t").alias("n_chars")),
@@ -97,8 +103,14 @@ SQL = {
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') AS minute FROM events
 WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 18 AND (day(ts) IN (1, 15) OR day(ts) = day(last_day(ts)) OR dayofweek(ts) BETWEEN 1 AND 5)""",
     "cron_next": """
-WITH m AS (SELECT t FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-06-01', INTERVAL 30 MINUTE) r(t) WHERE minute(t) = 30 AND hour(t) IN (6, 18) AND dayofweek(t) = 1 AND day(t) BETWEEN 8 AND 14)
-SELECT event_id, (SELECT min(t) FROM m WHERE t > ts) AS next_at FROM events WHERE event_id % 50 = 0""",
+WITH a AS (SELECT t FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-06-01', INTERVAL 30 MINUTE) r(t) WHERE minute(t) = 30 AND hour(t) IN (6, 18) AND dayofweek(t) = 1 AND day(t) BETWEEN 8 AND 14),
+b AS (SELECT t FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2040-01-01', INTERVAL 1 DAY) r(t) WHERE month(t) = 2 AND day(t) = 29),
+c AS (SELECT t FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-06-01', INTERVAL 1 DAY) r(t) WHERE day(t) % 2 = 1 OR dayofweek(t) = 1)
+SELECT event_id, a.t AS second_monday, b.t AS leap_day, c.t AS step_or_monday, least(a.t, b.t, c.t) AS next_across
+FROM events ASOF LEFT JOIN a ON a.t > ts ASOF LEFT JOIN b ON b.t > ts ASOF LEFT JOIN c ON c.t > ts""",
+    "cron_fanout": """
+SELECT event_id, array_to_string(list_filter([CASE WHEN minute(ts) % 2 = 0 THEN 0 END, CASE WHEN hour(ts) < 12 THEN 1 END, CASE WHEN dayofweek(ts) BETWEEN 1 AND 5 THEN 2 END], lambda x: x IS NOT NULL), ',') AS matching,
+  least(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('minute', ts) + to_minutes(CAST(event_id % 90 AS BIGINT))) AS rearm_at FROM events""",
     "minute_buckets": "SELECT strftime(ts, '%Y-%m-%dT%H:%M') AS minute, count(*) AS n FROM events GROUP BY 1",
     "page_urls": f"""
 SELECT page_id, regexp_extract(url, {_URL}, 1) AS host, regexp_extract(url, {_URL}, 2) AS path, nullif(regexp_extract(url, {_URL}, 4), '') AS fragment,
@@ -110,12 +122,15 @@ FROM (SELECT page_id, regexp_extract(url, {_URL}, 2) AS p FROM pages)""",
 SELECT event_id, md5(CAST(user_id AS VARCHAR)) AS trace_id, substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS span_id, event_id % 2 = 1 AS sampled FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0""",
     "knn_topk": """
 SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda x: pow(x[1] - x[2], 2)))), 5) AS distance
-FROM embeddings v JOIN embeddings q ON q.vec_id < 10 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) <= 5""",
+FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) <= 5""",
     "digests": """
 SELECT o_orderkey, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256, to_base64(encode(t)) AS base64, hex(encode(t)) AS hex, replace(url_encode(t), '%20', '+') AS url
 FROM (SELECT o_orderkey, concat(o_orderkey, '|', o_orderpriority) AS t FROM orders)""",
+    "fnv_shards": """
+SELECT c_custkey, printf('%016x', CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ascii(c_name[i])::HUGEINT)),
+  lambda h, b: (xor(h, b) * 435::HUGEINT + ((xor(h, b) % 16777216::HUGEINT) * 1099511627776::HUGEINT)) % 18446744073709551616::HUGEINT) AS UBIGINT)) AS fnv FROM customer""",
     "json_values": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN props ELSE props->>'$.k' END AS value FROM events",
-    "attribute_lists": "SELECT event_id, concat('x', event_id % 3) AS type, CAST(user_id AS VARCHAR) AS user, 'a b' AS note, 3 AS n FROM events",
+    "attribute_lists": "SELECT event_id, concat('x', event_id % 3) AS type, CAST(user_id AS VARCHAR) AS user, 'a b' AS note, 'a=b+c' AS eq, 4 AS n FROM events",
     "truncated_texts": """
 SELECT doc_id, CAST(strlen(t) AS INT) AS n_bytes, CAST(length(t) AS INT) AS n_chars FROM (
   SELECT doc_id, CASE WHEN strlen(text) <= 8192 THEN text ELSE left(text, CAST(list_max(list_filter(range(2040, 8193), lambda n: n <= length(text) AND strlen(left(text, CAST(n AS BIGINT))) <= 8192)) AS BIGINT)) END AS t FROM documents)""",

@@ -19,9 +19,9 @@ QUEUE = f"""q AS (SELECT o_orderkey AS seq, concat('m', o_orderkey) AS id, CAST(
   CASE WHEN o_orderkey % 5 = 0 THEN {NOW} + (o_orderkey % 3 - 1) * 1000 END AS leased_until, CASE WHEN o_orderkey % 17 = 0 THEN concat('dlq', o_orderkey % 3) END AS dlq_target,
   o_orderkey % 20 = 0 AS purge_on_settle, CASE WHEN o_orderkey % 19 = 0 THEN 'main' END AS dead_letter_source FROM ORDERS)"""
 
-#: Lines as stored transaction ranges of two epochs.
-FILES = f"""files AS (SELECT concat('Cell:', l_suppkey % 10) AS scope, 1 + l_partkey % 2 AS epoch, CAST(CASE WHEN l_orderkey % 50 = 0 THEN 9 ELSE l_linenumber % 4 END AS INT) AS level,
-  CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE l_orderkey % 97 + 1 END AS lo, l_orderkey % 97 + 1 + l_linenumber AS hi, 1000 + l_orderkey AS modified_ms FROM LINES WHERE l_orderkey % 40 < 3)"""
+#: Lines as stored transaction ranges of two epochs; some begin at 0 or end before they begin.
+FILES = f"""files AS (SELECT concat('Cell:', l_suppkey) AS scope, 1 + l_partkey % 2 AS epoch, CAST(CASE WHEN l_orderkey % 50 = 0 THEN 9 ELSE l_linenumber % 4 END AS INT) AS level,
+  CASE WHEN l_orderkey % 50 = 0 THEN 1 WHEN l_orderkey % 41 = 0 THEN 0 WHEN l_orderkey % 43 = 0 THEN l_orderkey % 97 + 20 ELSE l_orderkey % 97 + 1 END AS lo, l_orderkey % 97 + 1 + l_linenumber AS hi, 1000 + l_orderkey AS modified_ms FROM LINES)"""
 
 
 def _kv(spark, d):
@@ -146,7 +146,7 @@ SELECT name, size, expires_at, (SELECT count(*) FROM page) <= 50 AS list_complet
     "queue_redrive": _sql(QUEUE, f"SELECT seq, id, dead_letter_source, 0 AS attempts, {NOW} AS visible_at FROM q WHERE dead_letter_source IS NOT NULL AND lease_id IS NULL ORDER BY seq LIMIT 25"),
     "queue_backoff": _sql(QUEUE, "SELECT seq, CASE WHEN attempts + 1 < 6 THEN CAST(2000 * pow(2, least(attempts + 1, 6)) AS BIGINT) END AS alarm_ms, CAST(CASE seq % 3 WHEN 0 THEN 500 WHEN 1 THEN 500 * (attempts + 1) ELSE 500 * pow(2, attempts) END AS BIGINT) AS workflow_ms FROM q"),
     "object_inventory": _sql(FILES, "SELECT * FROM files"),
-    "restorable_cuts": _sql(f"""{FILES}, reach AS (SELECT DISTINCT scope, epoch, CAST(0 AS BIGINT) AS txid FROM files UNION SELECT f.scope, f.epoch, f.hi FROM reach r JOIN files f ON f.scope = r.scope AND f.epoch = r.epoch AND r.txid >= f.lo - 1 AND r.txid < f.hi)""", "SELECT * FROM reach WHERE txid > 0"),
+    "restorable_cuts": _sql(f"""{FILES}, reach AS (SELECT DISTINCT scope, epoch, CAST(0 AS BIGINT) AS txid FROM files UNION SELECT f.scope, f.epoch, f.hi FROM reach r JOIN files f ON f.scope = r.scope AND f.epoch = r.epoch AND r.txid >= f.lo - 1 AND r.txid < f.hi AND f.lo > 0 AND f.hi >= f.lo)""", "SELECT * FROM reach WHERE txid > 0"),
     "restore_plan": _sql(f"""{FILES},
 target AS (SELECT scope, epoch, max(hi) - epoch * 20 AS target FROM files GROUP BY scope, epoch),
 snap AS (SELECT t.scope, t.epoch, t.target, max(row(f.hi, f.lo)) AS s FROM target t LEFT JOIN files f ON f.scope = t.scope AND f.epoch = t.epoch AND level = 9 AND hi <= target GROUP BY ALL),

@@ -30,7 +30,7 @@ def deduplicated(s, d):
 def current(s, d):
     """The last emission per user: the newest event."""
     out = p.run_available(p.current_state(p.events_stream(s, d)), "update")
-    return out.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("v")).select("user_id", "v.*")
+    return out.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v")).select("user_id", "v.event_id", "v.event_type")
 
 
 def enriched(s, d):

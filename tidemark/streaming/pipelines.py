@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.storage import shared_dir
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for checkpoints and results: below spark.checkpoint.dir, or a local one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{at.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    """A folder of its own for a run's checkpoints and results, in the folder that all executors share."""
+    return f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +62,9 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """The newest event of each user, kept in state and emitted on change; late events never replace newer ones."""
-
-    def step(key: tuple, batches, state: GroupState):
-        at, event, kind = state.get if state.exists else (-1, -1, "")
-        for pdf in batches:
-            for row in pdf.itertuples():
-                if (row.us, row.event_id) > (at, event):
-                    at, event, kind = int(row.us), int(row.event_id), row.event_type
-        state.update((at, event, kind))
-        yield pd.DataFrame({"user_id": [key[0]], "event_id": [event], "event_type": [kind]})
-
-    plain = events.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
-    return plain.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, event_type string", "us bigint, event_id bigint, event_type string", "update", GroupStateTimeout.NoTimeout)
+    """The newest event of each user, for update mode: late events never replace newer ones."""
+    newest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v"))
+    return newest.select("user_id", "v.ts", "v.event_id", "v.event_type")
 
 
 def enriched(events: DataFrame, table: DataFrame, on: str) -> DataFrame:
