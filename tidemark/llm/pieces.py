@@ -20,8 +20,6 @@ from tidemark.llm.common import store, table
 SPACE = "▁"
 #: Text bytes (about) whose distinct atoms are looked up together.
 BLOCK_BYTES = 8 << 20
-#: Text bytes (about) of one packed row.
-ROW_BYTES = 4 << 20
 #: Input bytes (about) for each bucket of atoms.
 BUCKET_BYTES = 4 << 20
 #: Atoms of so many characters or more are folded in Python, to the same ids: the native fold is quadratic in them.
@@ -214,6 +212,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
                 pa.default_memory_pool().release_unused()
     if held:
         yield task << 24 | number, held
+        pa.default_memory_pool().release_unused()
 
 
 def _lists(words: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -460,6 +459,51 @@ def _ints(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(pc.list_value_length(lists)).astype("<i4"), np.asarray(lists.flatten()).astype("<i4")
 
 
+#: Atoms of a block, the most frequent, that a packed text names by one byte.
+_COMMON = 255
+
+
+def _packed(docs: pa.Table, counts: np.ndarray, codes: np.ndarray, words: pa.Array, bucket: np.ndarray) -> bytes:
+    """A block's documents with their texts as places of atoms: one byte for a common atom, or a mark and four bytes in planes."""
+    names, joined = _lists(words, bucket)
+    marks = [zlib.crc32(x.as_py().encode()) for x in joined]
+    if len(bucket) and bucket[0] < 0:
+        names, marks = np.append(-1, names), [0, *marks]
+    often = np.bincount(codes, minlength=len(words))
+    common = np.argsort(-often, kind="stable")[:_COMMON].astype("<i4")
+    byte = np.full(len(words), _COMMON, np.uint8)
+    byte[common] = np.arange(len(common), dtype=np.uint8)
+    byte = byte[codes]
+    rest = codes[byte == _COMMON].astype("<i4").view(np.uint8).reshape(-1, 4).T
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as out:
+        out.write_table(docs)
+    head = np.array([len(counts), len(codes), rest.shape[1], len(common), len(names)], "<i8")
+    arrays = (head, counts.astype("<i4"), common, names.astype("<i4"), np.array(marks, "<i8"), byte, rest)
+    return zstandard.compress(b"".join([x.tobytes() for x in arrays] + [sink.getvalue().to_pybytes()]), 3)
+
+
+def _unpacked(body: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, counts, codes, buckets, marks) of what ``_packed`` made."""
+    raw, at = zstandard.decompress(body), 0
+
+    def read(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(raw, kind, n, at)
+        at += found.nbytes
+        return found
+
+    docs, atoms, others, common, lists = read("<i8", 5).tolist()
+    counts, common = read("<i4", docs), read("<i4", common)
+    names, marks = read("<i4", lists), read("<i8", lists)
+    byte, rest = read("u1", atoms), read("u1", 4 * others).reshape(4, -1)
+    place = np.zeros(_COMMON + 1, np.int32)
+    place[: len(common)] = common
+    codes = place[byte]
+    codes[byte == _COMMON] = np.ascontiguousarray(rest.T).view("<i4").ravel()
+    return pa.ipc.open_stream(pa.py_buffer(raw).slice(at)).read_all(), counts, codes, names, marks
+
+
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, ids (array of int), as the SentencePiece library gives them without begin and end marks.
 
@@ -482,7 +526,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
        its documents are put together. A list that differs from the first pass
        (an unstable input) is an error, never a wrong id.
 
-    What is shuffled are texts once, packed, and each block's atom lists. No key
+    What is shuffled are texts once, as packed places of atoms, and each block's atom lists. No key
     is a word or a document, so no frequent word or source fills a task. A task
     holds one block, or one bucket of all blocks, as Arrow arrays.
     """
@@ -519,45 +563,38 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     answers = listed.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "own_bucket").groupBy("own_bucket")).applyInArrow(answer, "block bigint, bucket int, packed binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(bridges, buckets)
         for block, parts in _blocks(batches):
-            held, size = [], 0
-            for part in [*parts, None]:
-                if part is not None:
-                    held.append(part)
-                    size += part.nbytes
-                if held and (part is None or size >= ROW_BYTES):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, held[0].schema) as out:
-                        for x in held:
-                            out.write_batch(x)
-                    body = zstandard.compress(sink.getvalue().to_pybytes(), 3)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"])
-                    held, size = [], 0
+            words, bucket, codes, counts = cutter.code([x.column(1) for x in parts])
+            body = _packed(pa.Table.from_batches([x.select([0]) for x in parts]), np.concatenate(counts), codes, words, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"])
 
     texts = docs.mapInArrow(pack, "block bigint, body binary")
 
     def assemble(rows: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [x for body in rows.column("body").to_pylist() for x in pa.ipc.open_stream(zstandard.decompress(body)).read_all().to_batches()]
-        names, bucket, codes, counts = Cutter(bridges, buckets).code([x.column(1) for x in parts])
+        docs, counts, codes, names, marks = _unpacked(rows.column("body")[0].as_py())
         given = dict(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist(), strict=True))
-        sizes, values = ([np.array([len(zero)], "<i4")], [zero]) if len(bucket) and bucket[0] < 0 else ([], [])
-        for name, text in zip(*_lists(names, bucket), strict=True):
-            body = zstandard.decompress(given.pop(int(name), None) or b"")
-            n, m, mark = np.frombuffer(body, "<i8", 3).tolist()
-            if mark != zlib.crc32(text.as_py().encode()):
+        sizes, values = [], []
+        for name, mark in zip(names.tolist(), marks.tolist(), strict=True):
+            if name < 0:
+                sizes.append(np.array([len(zero)], "<i4"))
+                values.append(zero)
+                continue
+            body = zstandard.decompress(given.pop(name, None) or b"")
+            n, m, own = np.frombuffer(body, "<i8", 3).tolist()
+            if own != mark:
                 raise RuntimeError("the documents of a block changed between two passes; store them first")
             sizes.append(np.frombuffer(body, "<i4", n, 24))
             values.append(np.frombuffer(body, "<i4", m, 24 + 4 * n))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, "<i4")]))]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, "<i4")]).astype(np.int32)))
-        out, at = [], 0
-        for part, own in zip(parts, counts, strict=True):
-            n = int(own.sum())
-            found = ids.take(pa.array(codes[at : at + n]))
-            at += n
-            ends = np.concatenate([[0], np.cumsum(own)])
-            lists = pa.ListArray.from_arrays(pa.array(np.asarray(found.offsets)[ends].astype(np.int32)), found.values)
-            out.append(pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"]))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = []
+        for at in range(0, docs.num_rows, 256):
+            own = ends[at : at + 257]
+            found = ids.take(pa.array(codes[own[0] : own[-1]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.asarray(found.offsets)[own - own[0]].astype(np.int32)), found.values)
+            out.append(pa.RecordBatch.from_arrays([docs.column(0).slice(at, 256).combine_chunks(), lists], names=["doc_id", "ids"]))
         return pa.Table.from_batches(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
