@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, store, table
+from tidemark.llm.common import forget_later, shared_dir, store, table
 
 LIMIT = 1024
 #: Characters of scripts whose letters, digits and spaces all Unicode versions in use agree on; other texts go to the library whole.
 SETTLED = r"[\x00-ɏΑ-ΡΣ-ώА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥]*"
+#: Runs of so many characters of one class go to the library: the faster encoder's splitter recurses on them.
+LONG_RUN = 50_000
 #: Fixed value: the splitting pattern of byte-level BPE tokenizers with use_regex.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,12 +85,18 @@ def counter(path: str) -> Callable[[str], int]:
     # The same merges in a faster encoder; texts with added-token strings or unsettled characters keep to the library.
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
     settled = regex.compile(SETTLED)
+    run = regex.compile(rf"\s{{{LONG_RUN},}}|\p{{L}}{{{LONG_RUN},}}|\p{{N}}{{{LONG_RUN},}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN},}}")
     added = [x["content"] for x in spec.get("added_tokens", [])]
 
     def count(text: str) -> int:
-        if settled.fullmatch(text) is None or any(x in text for x in added):
+        if settled.fullmatch(text) is None or any(x in text for x in added) or len(text) >= LONG_RUN and run.search(text):
+            return whole(text)
+        try:
+            return len(fast.encode_ordinary(text))
+        except BaseException as e:  # noqa: BLE001 - the encoder's own panics are no Exception
+            if type(e).__name__ != "PanicException":
+                raise
             return whole(text)
-        return len(fast.encode_ordinary(text))
 
     return count
 
@@ -131,7 +139,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
        encoded once (once per row where whole rows repeat) and appended.
     4. Documents join the stored counts by digest.
 
-    A null text counts as empty (0 bytes, 0 tokens). Repeated rows each return.
+    A null text counts as empty (0 bytes, 0 tokens). Texts may be of any length;
+    long runs of one class of characters are counted by the library itself. Repeated rows each return.
     A null doc_id is kept. An empty table gives an empty result and appends
     nothing. A failed run appends nothing; tasks that run again write the same rows.
     """
@@ -142,10 +151,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
     keyed = store(keyed, "digests")
     known = cached_counts(spark, cache, version)
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = firsts.join(known, "digest", "left_anti")
-    texts = docs.select(F.col("doc_id").alias("_id"), text.alias("text"))
-    wanted = misses.select("digest", F.col("doc_id").alias("_want"))
-    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text")
+    # From files the number of misses is known: few are broadcast, and texts whose counts are all stored aren't shuffled.
+    wanted = store(firsts.join(known, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_want")), "misses")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    found = texts.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_want"))).select("digest", "text")
     fresh = found.mapInArrow(_counted(tokenizer), "digest binary, n_tokens bigint")
     fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a repeated row is encoded with its twin, but stored once
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
@@ -161,4 +170,5 @@ def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    forget_later(spark, cache)
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
