@@ -120,10 +120,10 @@ def one_edit(a, b):
 
 def slow_lines(docs, least):
     occ = [(i, k, line.strip(" \t\r").lower()) for i, t in docs if t is not None for k, line in enumerate(t.split("\n"))]
-    occ = sorted(x for x in occ if len(x[2]) >= least)
+    occ = sorted(x for x in occ if x[2])
     out = set()
     for i, k, s in occ:
-        before = [(j, m, int(s != u)) for j, m, u in occ if (j, m) < (i, k) and (s == u or one_edit(s, u))]
+        before = [(j, m, int(s != u)) for j, m, u in occ if (j, m) < (i, k) and (s == u or min(len(s), len(u)) >= least and one_edit(s, u))]
         if before:
             j, m, _ = min(before)
             equal = any(e == 0 for _, _, e in before)
@@ -149,7 +149,9 @@ def test_line_dedup_text_and_odd_rows(spark, odd, tmp_path):
     docs = frame(spark, [(0, "keep this line\nshort\nand another line"), (1, "AND ANOTHER LINE \nshort\nnew text is here"), (2, None), (3, "keep thiz line")], tmp_path / "d")
     out = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     assert out[0].text == "keep this line\nshort\nand another line"
-    assert out[1].text == "short\nnew text is here" and out[1].n_chars == 22 and out[1].rank == 1
+    assert out[1].text == "new text is here" and out[1].n_chars == 16 and out[1].rank == 1
+    kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs, min_exact=12).collect()}
+    assert kept[1] == "short\nnew text is here"
     assert out[2].text is None and out[3].text == ""
     rows = linededup.dedup_lines(odd)
     assert rows.columns == odd.columns and rows.count() == len(ODD)
