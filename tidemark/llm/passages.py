@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, store, table
+from tidemark.llm.common import own_name, release, store, table
 
-#: Least words of a run of whole repeated units that is removed.
-MIN_WORDS = 30
+#: Least words of a run of whole repeated units that is removed: 1 removes every repeated unit.
+MIN_WORDS = 1
+#: What the query asks for. Shorter runs of whole sentences (a greeting, a licence line, "Read more.") repeat in clean documents too.
+QUERY_MIN_WORDS = 30
 #: Every passage of so many words that comes earlier is removed, wherever in its sentences it starts and ends.
 PASSAGE = 50
 #: Words of an anchor: of the runs of so many words in a passage, the one with the least hash.
@@ -240,10 +242,10 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     with white space collapsed. Two things are removed, joined where they touch:
     each run of PASSAGE words that equals an earlier run by (doc_id, position),
     whether or not it starts or ends a sentence, and runs of adjacent repeated
-    units (sentences and lines) with ``min_words`` words or more. Offsets are in
+    units (sentences and lines) with ``min_words`` words or more (by default every repeated unit). Offsets are in
     code points of the original text; n_units counts the repeated units wholly
     within; first_doc_id holds the earliest occurrence of what the passage
-    starts with. Shorter repeats (a licence line, a common phrase) stay.
+    starts with.
 
     A null text has no units. Documents without doc_id come last; units of
     equal rank (repeated rows) do not precede each other. Digests are counted
@@ -278,18 +280,25 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     return of_doc.mapInArrow(run, schema)
 
 
-def remove_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with repeated passages cut out of text; ``removed`` holds their (start, end) in the original."""
-    spans = repeated_passages(docs, min_words=min_words).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+def remove_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, removed: str = "removed") -> DataFrame:
+    """docs with repeated passages cut out of text; the column ``removed``, which docs mustn't have, holds their (start, end) in the original.
+
+    Other columns may have any names. Rows that share doc_id and text are cut alike.
+    """
+    if removed in docs.columns:
+        raise ValueError(f"docs has a column {removed}; name another for the places cut out")
+    key, own = own_name(docs, "_doc"), own_name(docs, "_hash")
+    spans = repeated_passages(docs, min_words=min_words).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(f"{own}_")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(removed))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(f"{own}_")), "left")
     state = F.aggregate(
-        "removed",
+        removed,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
         lambda s, r: F.struct(r["end"].alias("at"), F.array_append(s["kept"], F.substring(F.col("text"), s["at"] + 1, r["start"] - s["at"])).alias("kept")),
         lambda s: F.concat(F.array_join(s["kept"], ""), F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(state)).select(*docs.columns, "removed")
+    return joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(state)).select(*docs.columns, removed)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+    """Runs of whole repeated sentences and lines of QUERY_MIN_WORDS words or more, and every repeated run of PASSAGE words."""
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=QUERY_MIN_WORDS).drop("text_hash")
