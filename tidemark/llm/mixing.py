@@ -61,7 +61,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, alpha: flo
 
     The count inverts the Poisson distribution at a uniform number hashed from
     (seed, doc_id), so it does not depend on partitioning or retries. Rows
-    with one doc_id, or none, are drawn alike. A null source is a source of its
+    with one doc_id are drawn alike; rows without one are drawn by a digest of their text, if there is such a column. A null source is a source of its
     own. Columns named mix_copy or mix_key are replaced. An empty table gives an
     empty result. Only the per-source counts are aggregated (with map-side
     combine), so a source with most rows costs nothing extra.
@@ -71,7 +71,8 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, alpha: flo
     plan = rates(docs, weights, alpha, epochs).where("rate > 0").select(F.col("source").alias("_mix_source"), per_draw.alias("_mix_draws"), _cdf(F.col("rate") / per_draw).alias("_mix_cdf"))
     plan = store(plan, "plan")  # one row per source: read from files its size is known, and the documents aren't shuffled to meet it if it is small
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    unnamed = F.md5(F.coalesce("text", F.lit(""))) if "text" in docs.columns else F.lit("null")
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), unnamed))
     uniforms = F.transform(F.sequence(F.lit(1), F.col("_mix_draws")), lambda j: _uniform(F.lit(str(seed)), ident, j.cast("string")))
     drawn = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= u)))
     copies = joined.withColumn("_mix_n", drawn).where("_mix_n > 0").drop("_mix_source", "_mix_draws", "_mix_cdf")
