@@ -145,19 +145,25 @@ class Tree:
     left, the others right. By the triangle inequality, whatever lies within
     ``radius`` of x is on the left only if d(x, v) <= t + radius, and on the
     right only if d(x, v) > t - radius; all other branches are pruned.
+
+    Where the sample gives out before a shard is small enough, drawn points
+    with the bound of unrelated fingerprints part it further, so that shards
+    don't grow with the input.
     """
 
     def __init__(self, sample: np.ndarray, total: int, shard: int, radius: int) -> None:
         self.radius = radius
         self.nodes: list[tuple[int, int, int, int]] = []  # vantage, bound, left, right; children < 0 are shards
         self.shards = 0
-        self.scale = total / max(1, len(sample))
         self.shard = shard
-        self.root = self._grow(np.sort(sample), 0)
+        self.drawn = np.random.default_rng(SEED)
+        self.root = self._grow(np.sort(sample), float(total), 0)
 
-    def _grow(self, points: np.ndarray, depth: int) -> int:
+    def _grow(self, points: np.ndarray, total: float, depth: int) -> int:
         best = None
-        if len(points) * self.scale > self.shard and len(points) > 8 and depth < 40:
+        if total > self.shard and len(points) <= 8 and depth < 60:
+            best = (0.0, self.drawn.integers(0, 2**64, dtype=np.uint64), 31)
+        elif total > self.shard and depth < 60:
             for v in points[:: max(1, len(points) // 6)][:6]:
                 d = np.bitwise_count(points ^ v)
                 counts = np.bincount(d, minlength=65)
@@ -175,7 +181,8 @@ class Tree:
         inside = np.bitwise_count(points ^ v) <= t
         at = len(self.nodes)
         self.nodes.append((int(v), t, 0, 0))
-        left, right = self._grow(points[inside], depth + 1), self._grow(points[~inside], depth + 1)
+        share = inside.mean() if len(points) > 8 else 0.5
+        left, right = self._grow(points[inside], total * share, depth + 1), self._grow(points[~inside], total * (1 - share), depth + 1)
         self.nodes[at] = (int(v), t, left, right)
         return at
 
@@ -253,8 +260,8 @@ def near_links(distinct: DataFrame, *, radius: int = RADIUS, shard: int = SHARD,
     spark = distinct.sparkSession
     total = distinct.count()
     step = max(1, total // sample)
-    picked = distinct.where(hash_bucket(step, F.col("fp")) == 0).select("fp").collect() if total else []
-    tree = Tree(np.array([r[0] for r in picked], np.int64).view(np.uint64), total, shard, radius)
+    picked = distinct.where(hash_bucket(step, F.col("fp")) == 0).select("fp").toArrow().column(0).to_numpy()
+    tree = Tree(picked.astype(np.int64).view(np.uint64), total, shard, radius)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
