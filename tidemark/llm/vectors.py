@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,56 +20,70 @@ TREES = 6
 LEAF = 4096
 #: Unit vectors whose projection lies within this of a split go to both sides.
 SPILL = 0.03
-#: About so many distinct vectors, at most twice as many, shape the trees.
+#: About so many distinct vectors, at most twice as many, shape the trees; fewer if they are long.
 SAMPLE = 20_000
+#: Numbers in all vectors of the sample, about.
+SAMPLE_NUMBERS = 4_000_000
+#: A node with fewer vectors of the sample is parted blindly, at their mean.
+LEAST = 16
 SEED = 10
 _TREE = 2**32
 
 
+@lru_cache(1 << 14)
+def _direction(seed: int, dim: int) -> np.ndarray:
+    x = np.random.default_rng(seed).standard_normal(dim)
+    return x / np.linalg.norm(x)
+
+
 class Forest:
     """Trees over unit vectors of one dimension.
 
     A node splits at a gap near the median of the sample's projections on a
     random direction; of a few directions the one with the fewest points near
     its gap is taken. Projections of a point to within SPILL of the gap put it
-    on both sides.
+    on both sides. Where the sample gives out before a leaf is small enough,
+    further splits are blind, so that leaves don't grow with the input. Nodes hold
+    their directions' seeds, so a tree's size depends on its leaves alone.
     """
 
     def __init__(self, sample: np.ndarray, total: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> None:
-        self.spill = spill
+        self.spill, self.leaf, self.dim = spill, leaf, sample.shape[1]
         self.trees: list[tuple[list, int]] = []
-        scale = total / max(1, len(sample))
         for t in range(trees):
-            rng = np.random.default_rng([seed, t, sample.shape[1]])
+            rng = np.random.default_rng([seed, t, self.dim])
             nodes: list = []
             self.leaves = 0
-            root = self._grow(sample, scale, leaf, rng, nodes, 0)
+            root = self._grow(sample, float(total), rng, nodes, 0)
             self.trees.append((nodes, root))
             if root < 0:  # everything is one leaf: more trees would repeat it
                 break
 
-    def _grow(self, points: np.ndarray, scale: float, leaf: int, rng: np.random.Generator, nodes: list, depth: int) -> int:
+    def _grow(self, points: np.ndarray, total: float, rng: np.random.Generator, nodes: list, depth: int) -> int:
         best = None
-        if len(points) * scale > leaf and len(points) >= 16 and depth < 40:
-            for _ in range(4):
-                direction = rng.standard_normal(points.shape[1])
-                direction /= np.linalg.norm(direction)
-                p = np.sort(points @ direction)
+        if total > self.leaf and depth < 60:
+            for _ in range(4 if len(points) >= LEAST else 1):
+                seed = int(rng.integers(2**62))
+                p = np.sort(points @ _direction(seed, self.dim))
+                if len(points) < LEAST:
+                    best = (0, seed, float(p.mean()) if len(p) else 0.0)
+                    break
                 cuts = p[int(0.35 * len(p)) : int(0.65 * len(p)) + 1]
                 near = np.searchsorted(p, cuts + self.spill, "right") - np.searchsorted(p, cuts - self.spill)
                 at = int(np.argmin(near))
                 if best is None or near[at] < best[0]:
-                    best = (near[at], direction, cuts[at])
+                    best = (near[at], seed, float(cuts[at]))
         if best is None or best[0] > 0.9 * len(points):  # a ball that splits don't part: its leaf is cut into blocks
             self.leaves += 1
             return -self.leaves
-        _, direction, cut = best
-        p = points @ direction
+        _, seed, cut = best
+        p = points @ _direction(seed, self.dim)
+        share = float((p <= cut).mean()) if len(points) >= LEAST else 0.5
         place = len(nodes)
         nodes.append(None)
-        left = self._grow(points[p <= cut], scale, leaf, rng, nodes, depth + 1)
-        right = self._grow(points[p > cut], scale, leaf, rng, nodes, depth + 1)
-        nodes[place] = (direction, cut, left, right)
+        left = self._grow(points[p <= cut], total * share, rng, nodes, depth + 1)
+        right = self._grow(points[p > cut], total * (1 - share), rng, nodes, depth + 1)
+        nodes[place] = (seed, cut, left, right)
         return place
 
     def place(self, points: np.ndarray) -> list[list[int]]:
@@ -84,8 +99,8 @@ class Forest:
                 if at < 0:
                     found.append((rows, t * _TREE - at))
                     continue
-                direction, cut, left, right = nodes[at]
-                p = points[rows] @ direction
+                seed, cut, left, right = nodes[at]
+                p = points[rows] @ _direction(seed, self.dim)
                 todo.append((left, rows[p <= cut + self.spill]))
                 todo.append((right, rows[p >= cut - self.spill]))
             for rows, code in sorted(found, key=lambda x: x[1]):
@@ -153,7 +168,8 @@ def similar_vectors(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
     share a leaf of some tree; n_links counts the other vectors linked directly,
     component_id is the smallest vec_id reachable, kept says that it is the row's own.
 
-    The trees are fitted on a bounded hash sample; all vectors are placed. Equal
+    The trees are fitted on a bounded hash sample; all vectors are placed (those
+    of lengths that the sample lacks in one leaf, which is cut into blocks). Equal
     vectors are compared once, with their number of rows. A pair that shares
     several leaves is counted in the first only, so counts and components leave
     each leaf as one row per vector, never as pairs. A leaf that turns out
@@ -168,11 +184,14 @@ def similar_vectors(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(value, lambda v: v != 0.0)
     marked = vectors.select("vec_id", "embedding", F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     distinct = store(marked.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    sizes = dict(distinct.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count")).limit(1000).collect())  # lengths, not vectors
-    step = max(1, sum(sizes.values()) // sample)
-    picked = [r[0] for r in distinct.where(hash_bucket(step, "rep") == 0).select("embedding").collect()]
-    by_dim = Counter(len(v) for v in picked)
-    forests = {d: Forest(unit_rows(np.array([v for v in picked if len(v) == d])), sizes.get(d, by_dim[d]), trees=trees, leaf=leaf, spill=spill) for d in by_dim}
+    lengths = distinct.agg(F.count("*"), F.sum(F.size("embedding"))).first()
+    step = max(1, lengths[0] // sample, (lengths[1] or 0) // SAMPLE_NUMBERS)
+    picked = distinct.where(hash_bucket(step, "rep") == 0).select("embedding").toArrow().column(0).combine_chunks()
+    dims = np.asarray(pc.list_value_length(picked))
+    asked = sorted(set(dims.tolist()))
+    sizes = dict(distinct.groupBy(F.size("embedding").alias("dim")).count().where(F.col("dim").isin(asked)).collect()) if asked else {}  # one row per length in the sample
+    of_dim = lambda d: np.asarray(picked.filter(pa.array(dims == d)).flatten()).reshape(-1, d)
+    forests = {d: Forest(unit_rows(of_dim(d)), sizes[d], trees=trees, leaf=leaf, spill=spill) for d in asked}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
