@@ -17,11 +17,14 @@ DEFAULT_VERDICT = "allow"
 AFTER = "\U0010ffff"
 
 
+def lowered(host: Column) -> Column:
+    """A-Z alone: other letters of a host are told apart by case, in urls and in rules."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    lowered = F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lowered, F.lit(""))
+    return F.coalesce(lowered(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -100,7 +103,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT_VE
     (host and path together, then host) wins, and names the verdict, else
     ``default``. Of rules with one host and path, block comes before allow.
 
-    Urls and rules are cut into shards at sampled host keys. A rule goes to all
+    Hosts are compared with A-Z lower-cased, in rules as in urls. Urls and rules are cut into shards at sampled host keys. A rule goes to all
     shards that its interval of keys overlaps; a host so frequent that it spans
     several bounds is dealt over all their shards by page, so no host overfills
     a task. Each shard is sorted and swept once; it holds one stack, not its rows.
@@ -116,26 +119,40 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT_VE
     spark = pages.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _bounds(urls, parts)
-    low = F.size(F.filter(bounds, lambda b: b < F.col("key"))).cast("int")
-    high = F.size(F.filter(bounds, lambda b: b <= F.col("key"))).cast("int")
-    past = F.size(F.filter(bounds, lambda b: b < F.concat("key", F.lit(AFTER)))).cast("int")
+    low, high = _below(bounds, F.col("key"), False), _below(bounds, F.col("key"), True)
+    past = _below(bounds, F.concat("key", F.lit(AFTER)), False)
     dealt = (low + F.pmod(F.xxhash64("page_id", "path"), high - low + 1)).cast("int")
     left = urls.select(dealt.alias("shard"), F.lit(1).alias("kind"), "page_id", "host", "path", "key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("rank"))
-    known = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").withColumn("key", reversed_host(F.lower("host")))
+    known = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").withColumn("key", reversed_host(lowered(F.col("host"))))
     rank = F.when(F.col("verdict") == "block", 0).otherwise(1)
     right = known.select(F.explode(F.sequence(low, past)).alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast(page_type).alias("page_id"), "host", "path", "key", F.concat("host", "path").alias("rule"), "verdict", rank.alias("rank"))
-    both = left.unionByName(right).repartition(parts, "shard").sortWithinPartitions("shard", "key", "kind")
+    both = left.unionByName(right).repartitionById(parts, "shard").sortWithinPartitions("shard", "key", "kind")
     swept = both.mapInArrow(_swept, f"page_id {page_type}, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
-def _bounds(urls: DataFrame, parts: int) -> Column:
+def _below(bounds: list[str], key: Column, equal: bool) -> Column:
+    """How many of the ascending bounds come before a key (or equal it): a binary search, so that many shards cost little."""
+    if not bounds:
+        return F.lit(0)
+    every = F.lit(bounds)
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        before = F.get(every, middle) <= key if equal else F.get(every, middle) < key
+        further = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(before, further).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), step, lambda s: s["low"])
+
+
+def _bounds(urls: DataFrame, parts: int) -> list[str]:
     """Ascending host keys that cut the urls into about ``parts`` like shares, from a bounded hash sample; a frequent host repeats."""
     total = urls.count()
     step = max(1, total // SAMPLE)
     keys = sorted(r[0] for r in urls.where(F.pmod(F.xxhash64("page_id", "path"), F.lit(step)) == 0).select("key").collect())
     cut = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
-    return F.array(*(F.lit(k) for k in cut)).cast("array<string>")
+    return cut
 
 
 #: The rules that the query applies.
