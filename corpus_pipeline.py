@@ -1,39 +1,52 @@
-"""A corpus from raw documents to pieces: five stages, each over all that the stage before it kept."""
+"""A corpus from raw documents to pieces: five stages, each over all that the stage before it kept.
+
+Rows are judged by what they hold, not by doc_id alone: documents without doc_id
+are judged like any other. Rows that share a doc_id and differ in their text are
+judged one by one by the first stage and the second, and stay or go together in the third. Repeated rows are copies of
+one document. Nulls in any column, empty and very long texts, empty tables and
+more columns (whatever their names) are taken by every stage; see the operators.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store, table
-from tidemark.llm.linededup import dedup_lines
+from tidemark.llm.common import own_name, store, table
+from tidemark.llm.linededup import MIN_CHARS, dedup_lines
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.nearcopies import near_copies
 from tidemark.llm.pieces import default_model, encode
 from tidemark.llm.quality import quality_rules
 
 
-def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among the distinct ``ids``; documents without doc_id stay."""
-    kept = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return joined.unionByName(docs.where("doc_id IS NULL"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _by_id(docs, quality_rules(docs).where("kept"))
+    """Documents that the quality rules reject go. Each row is carried through, so that it meets its own verdict."""
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return quality_rules(whole, keep=("row",)).where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or are one edit from one, go; no document does."""
-    return dedup_lines(docs)
+    """Lines that repeat an earlier line, or are one edit from one, go; no document does. Lines under 12 characters, mostly structure, stay."""
+    return dedup_lines(docs, min_exact=MIN_CHARS)
+
+
+#: Documents without doc_id are numbered from here, by a hash of their text, so that they come last.
+UNNAMED = 2**62
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of their five-word shingles alike) the document with the smallest doc_id stays."""
-    found = near_copies(docs)
-    return _by_id(docs, found.where("doc_id = component_id"))
+    """Of each group of near copies (0.8 of their five-word shingles alike) the document with the smallest doc_id stays, one row of it."""
+    key, again = own_name(docs, "_id"), own_name(docs, "_again")
+    unnamed = F.lit(UNNAMED) + F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1))
+    marked = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), unnamed))
+    found = near_copies(marked.select(F.col(key).alias("doc_id"), "text"))
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{key}_")).agg((F.count("*") > 1).alias(again))
+    stay = marked.join(store(first, "kept"), F.col(key) == F.col(f"{key}_"))
+    # Rows of one document and text are copies; nearly all documents are one row and aren't shuffled for it.
+    text = own_name(stay, "_text")
+    copies = stay.where(F.col(again)).withColumn(text, F.md5("text")).dropDuplicates([key, text])
+    return stay.where(~F.col(again)).select(*docs.columns).unionByName(copies.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
