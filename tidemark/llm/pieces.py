@@ -34,9 +34,14 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: The rank of an edge that is a character without a piece.
 NO_PIECE = (1 << 17) - 1
-#: Bits of an edge, from the lowest: right spine, left spine, length less one, place of the last merge (0 if none), rank, end.
-#: So sorted edges are in order of where they end.
-_LEFT, _LENGTH, _SPLIT, _RANK, _END = 15, 30, 34, 40, 57
+#: Bits of an edge, from the lowest: right spine, left spine, place of the last merge (0 if none), rank, 16 less the length, end.
+#: So sorted edges are in order of where they end, the longest first: most often it is the one sought.
+_LEFT, _SPLIT, _RANK, _LENGTH, _END = 15, 30, 36, 53, 57
+
+
+def _spelled(text: str, rank: int) -> int:
+    """Rank and length as bits; pieces too long for them have none, as their models are folded in Python."""
+    return rank << _RANK | max(0, NATIVE_PIECE - len(text)) << _LENGTH
 
 
 @dataclass
@@ -75,7 +80,7 @@ class Model:
         and right end, over all its merges.
         """
         if self.kind != BPE:
-            return {text: rank << _RANK | (len(text) - 1) << _LENGTH for text, rank in self.ranks.items()}, True
+            return {text: _spelled(text, rank) for text, rank in self.ranks.items()}, True
         spines: dict[str, tuple[int, int, int]] = {}
         ordered = True
         for text in sorted(self.ranks, key=len):
@@ -96,7 +101,7 @@ class Model:
                 right = 1 << (len(b) - 1) | spines.get(b, (0, 0, 0))[2]
                 ordered &= all(len(x) == 1 or self.ranks[x] < self.ranks[text] for x in (a, b))
             spines[text] = (split, left, right)
-        return {text: self.ranks[text] << _RANK | (len(text) - 1) << _LENGTH | split << _SPLIT | left << _LEFT | right for text, (split, left, right) in spines.items()}, ordered
+        return {text: _spelled(text, self.ranks[text]) | split << _SPLIT | left << _LEFT | right for text, (split, left, right) in spines.items()}, ordered
 
     @property
     def edges(self) -> list[tuple[str, int, bool]]:
@@ -251,7 +256,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) ->
     spans = spans.select(*by, "mark", "word", "start", "n", F.col("word").substr(F.col("start") + 1, F.col("n")).alias("piece"))
     met = spans.join(F.broadcast(pieces), "piece", "left").where("code IS NOT NULL OR n = 1")
     moved = F.shiftleft(F.col("start").cast("bigint"), _END) + F.when(F.col("merged"), F.shiftleft(F.col("start").cast("bigint"), _SPLIT)).otherwise(0)
-    edge = F.coalesce("code", F.lit(1 << _END | NO_PIECE << _RANK)) + moved
+    edge = F.coalesce("code", F.lit(1 << _END | (NATIVE_PIECE - 1) << _LENGTH | NO_PIECE << _RANK)) + moved
     # Grouping by the hash first lets the sort compare numbers, not words.
     return met.select("mark", "word", *by, edge.alias("edge")).groupBy("mark", "word", *by).agg(F.collect_list("edge").alias("edges"))
 
@@ -269,7 +274,7 @@ def _end(edge: Column) -> Column:
 
 
 def _start(edge: Column) -> Column:
-    return _end(edge) - _bits(edge, _LENGTH, 4) - 1
+    return _end(edge) + _bits(edge, _LENGTH, 4) - NATIVE_PIECE
 
 
 def _with(value: Column, body) -> Column:
@@ -323,7 +328,7 @@ def _best_merges(edges: Column, size: Column) -> Column:
 
     def rank_of(end: Column, n: Column) -> Column:
         """The rank of the edge of length n that ends there; the key is computed once, not for each edge."""
-        key = F.shiftleft(end.cast("bigint"), _END).bitwiseOR(F.shiftleft((n - one).cast("bigint"), _LENGTH))
+        key = F.shiftleft(end.cast("bigint"), _END).bitwiseOR(F.shiftleft((F.lit(NATIVE_PIECE) - n).cast("bigint"), _LENGTH))
         own = F.lit(63 << _END | 15 << _LENGTH)
         return _with(key, lambda key: _rank(F.get(F.filter(edges, lambda y: y.bitwiseAND(own) == key), F.lit(0))))
 
@@ -339,7 +344,7 @@ def _best_merges(edges: Column, size: Column) -> Column:
         return (_end(c) == _end(x)) | (part & (_rank(c) <= used_up(spine, k, x, lambda n: rank_of(_start(x) + n, n))))
 
     def lasts_right(c: Column, x: Column) -> Column:
-        """Whether the part of x at its right end that begins where c does is there when c is merged."""
+        """Whether the part of x at its right end that begins where c does is there when c is merged; a part longer than x has no bit."""
         k, spine = _end(x) - _start(c), _bits(x, 0, 15)
         part = shifted(spine, k - one).bitwiseAND(one) == 1
         return (_start(c) == _start(x)) | (part & (_rank(c) < used_up(spine, k, x, lambda n: rank_of(_end(x), n))))
@@ -349,7 +354,7 @@ def _best_merges(edges: Column, size: Column) -> Column:
             at = F.shiftright(x, _END)
             before = lambda s: F.when(s == state["n"], state["last"]["crossing"]).otherwise(F.get(state["done"], s)["crossing"])
             stays = ~F.exists(before(_start(x)), lambda c: (F.shiftright(c, _END) <= at) & lasts_left(c, x))
-            possible = lambda p: F.filter(merged, lambda c: (c.bitwiseAND(joint) == p) & (_start(c) >= _start(x)) & lasts_right(c, x))
+            possible = lambda p: F.filter(merged, lambda c: (c.bitwiseAND(joint) == p) & lasts_right(c, x))
             last = F.struct(x.alias("edge"), _with(F.shiftleft(at, _SPLIT), possible).alias("crossing"))
             onward = F.struct((state["n"] + one).alias("n"), F.array_append(state["done"], state["last"]).alias("done"), last.alias("last"))
             return F.when((at > state["n"]) & stays, onward).otherwise(state)
