@@ -178,7 +178,7 @@ def similar_vectors(vectors: DataFrame, *, cosine: float = COSINE, trees: int =
     Null or zero vectors and those with null or non-finite components link with
     nothing; so do rows without vec_id (component_id null, kept false).
     Vectors of different lengths never link. Repeated rows count as other
-    vectors. An empty table gives an empty result.
+    vectors; rows that share a vec_id and differ are one node, with the links of all. An empty table gives an empty result.
     """
     value = F.col("embedding").cast("array<double>")
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(value, lambda v: v != 0.0)
