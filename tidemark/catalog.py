@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of tidemark.plans, each with QUERIES and SQL.
-MODULES = ("changes", "services", "observability", "scalars", "relational", "streams", "exports")
+MODULES = ("changes", "producers", "services", "observability", "scalars", "relational", "streams", "exports")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,33 @@ def epoch_spans(heads: DataFrame) -> DataFrame:
     return heads.withColumn("served_to", F.coalesce(following - 1, F.col("hi")))
 
 
+def epoch_chain(files: DataFrame) -> DataFrame:
+    """Per scope the epochs that a restore follows, with the first txid each serves: scope, epoch, lo.
+
+    From the newest epoch down: below a continued epoch comes the next whose
+    files, but for those that reach its first txid or beyond, end exactly before
+    it; an epoch that ends elsewhere (a fenced owner's) is skipped. The chain ends at
+    txid 1. Files are read as a stream, newest epoch first.
+    """
+
+    def visit(key: tuple, found: Iterator[tuple]) -> Iterator[tuple]:
+        above = None
+        for epoch, group in groupby(found, key=lambda r: r[0]):
+            if above == 1:
+                break
+            lo = ends = None
+            for _, first, last in group:
+                if above is None or last < above:
+                    lo = first if lo is None else min(lo, first)
+                    ends = last if ends is None else max(ends, last)
+            if lo is None or above is not None and ends != above - 1:
+                continue
+            yield (*key, epoch, lo)
+            above = lo
+
+    return walk(files, by=["scope"], order=[F.desc("epoch"), "lo", "hi"], take=["epoch", "lo", "hi"], visit=visit, schema="scope string, epoch bigint, lo bigint")
+
+
 def oldest_holding(files: DataFrame, wanted: DataFrame, *, width: int = 64) -> DataFrame:
     """When each wanted (scope, epoch, txid) was first stored: a range join on bins of ``width`` txids."""
     ranges = files.where("hi >= lo").select("scope", "epoch", "lo", (F.col("hi") + 1).alias("end"), "modified_ms")
