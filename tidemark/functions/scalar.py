@@ -34,6 +34,45 @@ def fnv1a64(text: Column) -> Column:
     return F.when(text.isNotNull(), F.aggregate(codes, start, step, lambda s: F.concat(digits(s["h"]), digits(s["l"]))))
 
 
+#: Fixed value: the reflected polynomial of CRC-64/GO-ISO.
+CRC_POLYNOMIAL = 0xD800000000000000
+
+
+def crc_table() -> list[int]:
+    """What each byte adds to a CRC, as unsigned numbers."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (CRC_POLYNOMIAL if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def crc64(data: Column) -> Column:
+    """CRC-64/GO-ISO of a binary or a text's UTF-8 bytes, as 16 hex digits."""
+    signed = [v - 2**64 if v >= 2**63 else v for v in crc_table()]
+    raw = F.hex(data.cast("binary"))
+    count = F.octet_length(data)
+    codes = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    step = lambda h, b: F.get(F.lit(signed), h.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")).bitwiseXOR(F.shiftrightunsigned(h, 8))
+    done = F.aggregate(codes, F.lit(-1).cast("bigint"), step, lambda h: F.bitwise_not(h))
+    return F.when(data.isNotNull(), F.lpad(F.lower(F.hex(done)), 16, "0"))
+
+
+def blob_reference(text: Column) -> Column:
+    """(epoch, digest, error) of a stored value's reference: a bare SHA-256, or v2:e<epoch>:<digest>; error is shape, version, epoch or digest."""
+    parts = F.split(text, ":")
+    part = lambda i: F.get(parts, F.lit(i))
+    bare = F.size(parts) == 1
+    digest = F.when(bare, text).otherwise(part(2))
+    number = F.regexp_extract(part(1), r"^e([1-9]\d{0,19})$", 1).try_cast("decimal(20,0)")
+    number = F.when(number <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), number)
+    sound = digest.rlike("^[0-9a-f]{64}$")
+    error = F.when(bare, F.when(~sound, "digest")).when(F.size(parts) > 3, "shape").when(part(0) != "v2", "version").when(F.size(parts) < 3, "shape").when(number.isNull(), "epoch").when(~sound, "digest")
+    none = error.isNotNull()
+    return F.when(text.isNotNull(), F.struct(F.when(~none & ~bare, number).alias("epoch"), F.when(~none, digest).alias("digest"), error.alias("error")))
+
+
 def table_name(prefix: str, script: str, cls: str, table: str) -> str:
     """PREFIX_SCRIPT_CLASS_TABLE_HASH, parts upper-cased, cleaned and cut to 48 characters, so that distinct sources stay apart."""
     h = FNV_OFFSET
@@ -66,6 +105,34 @@ def query_values(url: Column, name: str) -> Column:
     return F.transform(F.filter(query, lambda p: F.try_url_decode(_name(p)) == name), lambda p: F.try_url_decode(_value(p)))
 
 
+def _edited(pairs: Column, what: str, name: str, value: str | None) -> Column:
+    own = lambda p: F.coalesce(F.try_url_decode(_name(p)) == name, F.lit(False))
+    made = F.concat(F.url_encode(F.lit(name)), F.lit("="), F.url_encode(F.lit(value or "")))
+    if what == "append":
+        return F.array_append(pairs, made)
+    rest = F.filter(pairs, lambda p: ~own(p))
+    if what == "delete":
+        return rest
+    first = F.array_min(F.transform(pairs, lambda p, i: F.when(own(p), i)))
+    kept = F.array_compact(F.transform(pairs, lambda p, i: F.when(i == first, made).when(~own(p), p)))
+    return F.when(first.isNull(), F.array_append(rest, made)).otherwise(kept)
+
+
+def edit_query(url: Column, edits: list[tuple[str, str, str | None]]) -> Column:
+    """A URL with its query parameters edited in turn: ("set", name, value), ("append", name, value) or ("delete", name, None).
+
+    set replaces the first parameter of its name and drops the others, or adds
+    one; names and values are encoded, and parameters that no edit names stay as they are.
+    """
+    head = F.regexp_extract(url, r"^([^?#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    tail = F.regexp_extract(url, r"(#.*)$", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    for what, name, value in edits:
+        pairs = _edited(pairs, what, name, value)
+    return F.when(url.isNotNull(), F.concat(head, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""), tail))
+
+
 def attributes(text: Column) -> Column:
     """k=v,k2=v2 as a map, values percent-decoded (+ stays); of equal keys the last wins.
 

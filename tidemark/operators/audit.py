@@ -135,6 +135,77 @@ def reconcile(heads: DataFrame, streams: DataFrame, *, now_ms: int, settle_ms: i
     return both.withColumn("finding", kind).where("finding IS NOT NULL").select("cell", "finding", "head", "certified")
 
 
+def audit_scopes(heads: DataFrame, files: DataFrame, broken: DataFrame, streams: DataFrame, certified: DataFrame, nodes: DataFrame, losses: DataFrame, tombstones: DataFrame, exported: DataFrame, *, now_ms: int, settle_ms: int) -> DataFrame:
+    """What the bucket and the consumer disagree on: scope, finding, epochs, evidence_ms, settled, and scopes passed over as findings of their own.
+
+    heads: scope, class, facet (bool), epoch, txid, modified_ms, first_ms;
+    files: scope, epoch, lo, hi, modified_ms of the chain's epochs; broken:
+    scope, class, first_ms (objects that form no chain); streams: scope, root,
+    class, incarnation, last_ms, deleted, snapshot_epoch, snapshot_txid (root:
+    the scope of a facet's root, null for roots); certified: scope,
+    incarnation, epoch, txid; nodes: scope, incarnation, epoch, node; losses: node,
+    modified_ms; tombstones: scope; exported: class.
+
+    finding is one of gap (an epoch's end lies beyond what is certified and no
+    snapshot covers it), lost (certified changes that the chain doesn't hold: past an epoch that
+    it left, in an epoch that it skipped, or past the head after a loss of one
+    of its nodes), unknown_stream (no stream), unrestorable (broken),
+    missing_deleted (a facet without objects whose root has some), or, for what
+    isn't judged, not_exported, tombstoned, checked. A scope's stream is the
+    newest incarnation not after its head, for facets the last active. Only
+    evidence ``settle_ms`` old counts: ``settled``.
+    """
+    scopes = heads.select("scope", "class").unionByName(broken.select("scope", "class")).distinct()
+    tagged = scopes.join(exported.distinct().withColumn("_e", F.lit(True)), "class", "left").join(tombstones.distinct().withColumn("_t", F.lit(True)), "scope", "left")
+    tagged = tagged.withColumn("why", F.when(F.col("_e").isNull(), "not_exported").when(F.col("_t").isNotNull(), "tombstoned"))
+    open_ = tagged.where("why IS NULL").select("scope")
+    live = heads.join(open_, "scope", "left_semi")
+
+    fits = live.select("scope", "facet", F.col("epoch").alias("_head")).join(streams.drop("root", "class"), "scope").where("facet OR incarnation <= _head")
+    order = F.when(F.col("facet"), F.struct(F.lit(0).cast("bigint").alias("i"), "last_ms", "incarnation")).otherwise(F.struct(F.col("incarnation").cast("bigint").alias("i"), "last_ms", "incarnation"))
+    chosen = fits.groupBy("scope").agg(F.max_by(F.struct("incarnation", "deleted", "snapshot_epoch", "snapshot_txid"), order).alias("s")).select("scope", "s.*")
+    unknown = live.join(chosen, "scope", "left_anti").select("scope", F.lit("unknown_stream").alias("finding"), F.lit(None).cast("string").alias("epochs"), F.col("first_ms").alias("evidence_ms"))
+    checked = live.join(chosen.where("NOT deleted"), "scope").withColumnRenamed("epoch", "head_epoch")
+
+    ends = files.groupBy("scope", "epoch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = Window.partitionBy("scope")
+    ends = ends.withColumns({"first": F.min("epoch").over(whole), "newest": F.max("epoch").over(whole), "next": F.lead(F.struct("epoch", "lo")).over(whole.orderBy("epoch"))})
+    sure = certified.withColumnRenamed("txid", "sure")
+    covered = lambda e, t: F.coalesce(F.struct(F.col("snapshot_epoch").alias("e"), F.col("snapshot_txid").alias("t")) >= F.struct(F.col(e).alias("e"), F.col(t).alias("t")), F.lit(False))
+    spans = checked.join(ends, "scope").where("facet OR epoch >= incarnation").join(sure, ["scope", "incarnation", "epoch"], "left")
+
+    def landed(rows: DataFrame, epoch: str, txid: str) -> DataFrame:
+        """rows with the time at which a txid was first stored, or the head's."""
+        wanted = rows.select("scope", F.col(epoch).alias("epoch"), F.col(txid).alias("txid")).distinct()
+        stored = oldest_holding(files, wanted).select(F.col("scope").alias("_s"), F.col("epoch").alias("_e"), F.col("txid").alias("_t"), "stored_ms")
+        met = rows.join(stored, (F.col("scope") == F.col("_s")) & (F.col(epoch) == F.col("_e")) & (F.col(txid) == F.col("_t")), "left")
+        return met.withColumn("evidence_ms", F.coalesce("stored_ms", "modified_ms")).drop("_s", "_e", "_t", "stored_ms")
+
+    short = spans.where((F.coalesce("sure", F.lit(0)) < F.col("hi")) & ~covered("epoch", "hi")).withColumn("missing", F.greatest(F.coalesce(F.col("sure") + 1, F.col("lo")), F.col("lo")))
+    short = landed(short, "epoch", "missing").select("scope", F.lit("gap").alias("finding"), "epoch", "evidence_ms")
+    past = spans.where((F.col("sure") > F.col("hi")) & ~covered("epoch", "sure"))
+    left = landed(past.where("epoch <> newest").withColumns({"next_epoch": F.col("next.epoch"), "next_lo": F.col("next.lo")}), "next_epoch", "next_lo").select("scope", "epoch", "evidence_ms")
+    lossy = losses.groupBy("node").agg(F.min("modified_ms").alias("evidence_ms"))
+    after_loss = past.where("epoch = newest").select("scope", "incarnation", "epoch").join(nodes, ["scope", "incarnation", "epoch"]).join(lossy, "node").select("scope", "epoch", "evidence_ms")
+    range_ = ends.select("scope", "first", "newest").distinct()
+    between = checked.join(sure, ["scope", "incarnation"]).join(range_, "scope").where("epoch > first AND epoch < newest").join(ends.select("scope", "epoch"), ["scope", "epoch"], "left_anti").where(~covered("epoch", "sure"))
+    onward = ends.select("scope", F.col("epoch").alias("next_epoch"), F.col("lo").alias("next_lo"))
+    following = between.join(onward, "scope").where("next_epoch > epoch").groupBy(*between.columns).agg(F.min(F.struct("next_epoch", "next_lo")).alias("n")).select(*between.columns, "n.*")
+    skipped = landed(following, "next_epoch", "next_lo").select("scope", "epoch", "evidence_ms")
+    lost = left.unionByName(after_loss).unionByName(skipped).withColumn("finding", F.lit("lost"))
+    epochs = F.array_join(F.array_sort(F.collect_set("epoch")), ",").alias("epochs")
+    compared = short.unionByName(lost.select("scope", "finding", "epoch", "evidence_ms")).groupBy("scope", "finding").agg(epochs, F.min("evidence_ms").alias("evidence_ms"))
+
+    none = F.lit(None).cast("string").alias("epochs")
+    useless = broken.join(open_, "scope", "left_semi").select("scope", F.lit("unrestorable").alias("finding"), none, F.col("first_ms").alias("evidence_ms"))
+    present = heads.select("scope").unionByName(broken.select("scope")).distinct()
+    facets = streams.where("root IS NOT NULL").join(present, "scope", "left_anti").join(present.withColumnRenamed("scope", "root"), "root", "left_semi").join(tombstones, "scope", "left_anti")
+    gone = facets.select("scope", F.lit("missing_deleted").alias("finding"), none, F.col("last_ms").alias("evidence_ms"))
+    found = unknown.unionByName(compared).unionByName(useless).unionByName(gone).withColumn("settled", F.col("evidence_ms") + settle_ms <= now_ms)
+    passed = tagged.where("why IS NOT NULL").select("scope", F.col("why").alias("finding")).unionByName(checked.select("scope", F.lit("checked").alias("finding")))
+    return found.unionByName(passed.withColumns({"epochs": F.lit(None).cast("string"), "evidence_ms": F.lit(None).cast("bigint"), "settled": F.lit(None).cast("boolean")}))
+
+
 def as_records(findings: DataFrame) -> DataFrame:
     """Findings as records of origin repair: gaps at the head, deletions of the root."""
     kind = F.when(F.col("finding") == "missing_deleted", "deleted").otherwise("gap")

@@ -88,7 +88,30 @@ def incremental_current(s, d):
     return current.where("l_returnflag <> 'R'").select(*keys, *order)
 
 
+#: Orders as the objects and streams of one cell per customer, of which some are facets, erased, of other classes, or have no stream.
+SCOPES = """ord AS (SELECT o_custkey AS c, o_orderkey AS k, concat(CASE WHEN o_custkey % 29 = 0 THEN '__Queue' ELSE 'Cell' END, ':', o_custkey, CASE WHEN o_custkey % 7 = 3 THEN '/facets/f' ELSE '' END) AS scope,
+  CASE WHEN o_custkey % 29 = 0 THEN '__Queue' ELSE 'Cell' END AS class, o_custkey % 7 = 3 AS facet FROM ORDERS),
+files AS (SELECT scope, CAST(1 + k % 5 AS BIGINT) AS epoch, 1 + k % 40 AS lo, 1 + k % 40 + k % 9 AS hi, 1000 + k % 5000 AS modified_ms FROM ord WHERE c % 19 <> 2 AND (k % 5 <> 2 OR c % 3 = 0)),
+heads AS (SELECT o.scope, class, facet, f.epoch, f.txid, f.modified_ms, f.first_ms FROM (SELECT DISTINCT scope, class, facet FROM ord) o
+  JOIN (SELECT scope, max(epoch) AS epoch, max(epoch * 1000 + hi) % 1000 AS txid, max(modified_ms) AS modified_ms, min(modified_ms) AS first_ms FROM files GROUP BY scope) f ON f.scope = o.scope),
+broken AS (SELECT DISTINCT concat('Broken:', c) AS scope, CASE WHEN c % 2 = 0 THEN 'Broken' ELSE 'Hidden' END AS class, c * 5 AS first_ms FROM ord WHERE c % 31 = 0),
+streams AS (SELECT DISTINCT scope, CASE WHEN facet THEN concat('Cell:', c + 1) END AS root, class, CAST(1 + i AS BIGINT) AS incarnation, (c * 37 + i * 11) % 6000 AS last_ms, c % 17 = 0 AS deleted,
+  CASE WHEN c % 6 = 0 THEN 2 END AS snapshot_epoch, CASE WHEN c % 6 = 0 THEN 30 END AS snapshot_txid FROM ord JOIN (SELECT 0 AS i UNION ALL SELECT 1) x ON i = 0 OR c % 8 = 0 WHERE c % 13 <> 5),
+certified AS (SELECT s.scope, s.incarnation, CAST(e AS BIGINT) AS epoch, (s.last_ms * 7 + e * 11) % 60 AS txid FROM streams s JOIN (SELECT 1 AS e UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) x ON (s.last_ms + e) % 4 <> 0),
+nodes AS (SELECT scope, incarnation, epoch, concat('n', (txid + epoch) % 5) AS node FROM certified),
+losses AS (SELECT concat('n', i) AS node, 900 * i AS modified_ms FROM (SELECT 1 AS i UNION ALL SELECT 3) x),
+erased AS (SELECT DISTINCT scope FROM ord WHERE c % 23 = 0),
+classes AS (SELECT 'Cell' AS class UNION ALL SELECT 'Broken')"""
+SETTLED = 4000
+
+
+def scope_audit(s, d):
+    made = lambda name: s.sql(f"WITH {SCOPES.replace('ORDERS', '{t}')} SELECT * FROM {name}", t=read(s, d, "orders"))
+    return audit.audit_scopes(*map(made, ("heads", "files", "broken", "streams", "certified", "nodes", "losses", "erased", "classes")), now_ms=5000, settle_ms=5000 - SETTLED)
+
+
 QUERIES = {
+    "scope_audit": scope_audit,
     "commit_records": commit_records,
     "commit_fragments": commit_fragments,
     "watermark_emission": watermark_emission,
@@ -105,12 +128,37 @@ QUERIES = {
 
 
 def _sql(ctes: str, select: str) -> str:
-    return f"WITH RECURSIVE {ctes} {select}".replace("EVENTS", "events").replace("LINES", "lineitem")
+    return f"WITH RECURSIVE {ctes} {select}".replace("EVENTS", "events").replace("LINES", "lineitem").replace("ORDERS", "orders")
 
 
 _COMMITS = f"{CHANGES}, com AS (SELECT cell, epoch, txid, row_number() OVER (PARTITION BY cell, epoch ORDER BY txid) AS commit, n FROM (SELECT cell, epoch, txid, count(DISTINCT table_name) AS n FROM ch GROUP BY ALL))"
 _MARKED = f"{_COMMITS}, blk AS (SELECT cell, epoch, (commit - 1) // 40 AS b, max(txid) AS txid, max(commit) AS commit, count(*) AS commits, CAST(sum(n) AS BIGINT) AS records FROM com GROUP BY ALL)"
+_COVERED = "(snapshot_epoch IS NOT NULL AND row(snapshot_epoch, snapshot_txid) >= row({e}, {t}))"
 SQL = {
+    "scope_audit": _sql(f"""{SCOPES},
+tag AS (SELECT scope, CASE WHEN class NOT IN (SELECT class FROM classes) THEN 'not_exported' WHEN scope IN (SELECT scope FROM erased) THEN 'tombstoned' END AS why FROM (SELECT scope, class FROM heads UNION SELECT scope, class FROM broken)),
+live AS (SELECT * FROM heads WHERE scope IN (SELECT scope FROM tag WHERE why IS NULL)),
+pick AS (SELECT l.scope, l.facet, l.epoch AS head_epoch, l.modified_ms, s.incarnation, s.deleted, s.snapshot_epoch, s.snapshot_txid FROM live l JOIN streams s ON s.scope = l.scope AND (l.facet OR s.incarnation <= l.epoch)
+  QUALIFY row_number() OVER (PARTITION BY l.scope ORDER BY CASE WHEN l.facet THEN 0 ELSE s.incarnation END DESC, last_ms DESC, s.incarnation DESC) = 1),
+chk AS (SELECT * FROM pick WHERE NOT deleted),
+span AS (SELECT scope, epoch, min(lo) AS lo, max(hi) AS hi FROM files GROUP BY ALL),
+nxt AS (SELECT a.scope, e AS epoch, min(row(a.epoch, a.lo)) AS n FROM span a JOIN (SELECT unnest(range(1, 6)) AS e) x ON a.epoch > e GROUP BY ALL),
+sp AS (SELECT c.*, s.epoch, s.lo, s.hi, f.txid AS sure, s.epoch = (SELECT max(epoch) FROM span z WHERE z.scope = s.scope) AS newest FROM chk c JOIN span s ON s.scope = c.scope AND (c.facet OR s.epoch >= c.incarnation)
+  LEFT JOIN certified f ON f.scope = c.scope AND f.incarnation = c.incarnation AND f.epoch = s.epoch),
+moved AS (SELECT n.scope, n.epoch, min(f.modified_ms) AS ms FROM nxt n JOIN files f ON f.scope = n.scope AND f.epoch = n.n[1] AND n.n[2] BETWEEN f.lo AND f.hi GROUP BY ALL),
+short AS (SELECT scope, epoch, modified_ms, CASE WHEN sure IS NULL THEN lo ELSE greatest(sure + 1, lo) END AS missing FROM sp WHERE coalesce(sure, 0) < hi AND NOT {_COVERED.format(e="epoch", t="hi")}),
+ev AS (SELECT s.scope, 'gap' AS finding, s.epoch, coalesce(min(f.modified_ms), any_value(s.modified_ms)) AS ms FROM short s LEFT JOIN files f ON f.scope = s.scope AND f.epoch = s.epoch AND missing BETWEEN f.lo AND f.hi GROUP BY ALL
+  UNION ALL SELECT p.scope, 'lost', p.epoch, coalesce(m.ms, p.modified_ms) FROM sp p LEFT JOIN moved m ON m.scope = p.scope AND m.epoch = p.epoch WHERE sure > hi AND NOT newest AND NOT {_COVERED.format(e="p.epoch", t="sure")}
+  UNION ALL SELECT p.scope, 'lost', p.epoch, l.modified_ms FROM sp p JOIN nodes n ON n.scope = p.scope AND n.incarnation = p.incarnation AND n.epoch = p.epoch JOIN losses l ON l.node = n.node WHERE sure > hi AND newest AND NOT {_COVERED.format(e="p.epoch", t="sure")}
+  UNION ALL SELECT c.scope, 'lost', f.epoch, coalesce(m.ms, c.modified_ms) FROM chk c JOIN certified f ON f.scope = c.scope AND f.incarnation = c.incarnation LEFT JOIN moved m ON m.scope = c.scope AND m.epoch = f.epoch
+    WHERE f.epoch > (SELECT min(epoch) FROM span z WHERE z.scope = c.scope) AND f.epoch < (SELECT max(epoch) FROM span z WHERE z.scope = c.scope) AND NOT EXISTS (SELECT 1 FROM span z WHERE z.scope = c.scope AND z.epoch = f.epoch) AND NOT {_COVERED.format(e="f.epoch", t="f.txid")}),
+present AS (SELECT scope FROM heads UNION SELECT scope FROM broken),
+found AS (SELECT scope, finding, string_agg(DISTINCT epoch, ',' ORDER BY epoch) AS epochs, min(ms) AS evidence_ms FROM ev GROUP BY ALL
+  UNION ALL SELECT scope, 'unknown_stream', NULL, first_ms FROM live WHERE scope NOT IN (SELECT scope FROM pick)
+  UNION ALL SELECT scope, 'unrestorable', NULL, first_ms FROM broken WHERE scope IN (SELECT scope FROM tag WHERE why IS NULL)
+  UNION ALL SELECT scope, 'missing_deleted', NULL, last_ms FROM streams WHERE root IN (SELECT scope FROM present) AND scope NOT IN (SELECT scope FROM present) AND scope NOT IN (SELECT scope FROM erased))""", f"""
+SELECT scope, finding, epochs, evidence_ms, evidence_ms <= {SETTLED} AS settled FROM found
+UNION ALL SELECT scope, why, NULL, NULL, NULL FROM tag WHERE why IS NOT NULL UNION ALL SELECT scope, 'checked', NULL, NULL, NULL FROM chk"""),
     "commit_records": _sql(_COMMITS, "SELECT cell, epoch, txid, commit, table_name, count(*) AS n_rows, string_agg(change, ',' ORDER BY seq) AS rows FROM ch JOIN com USING (cell, epoch, txid) GROUP BY ALL"),
     "commit_fragments": _sql(f"""{CHANGES}, r AS (SELECT cell, epoch, txid, table_name, strlen(change) AS size, row_number() OVER (PARTITION BY cell, epoch, txid, table_name ORDER BY seq) AS k FROM ch),
 w AS (SELECT cell, epoch, txid, table_name, k, size AS used, 1 AS f FROM r WHERE k = 1

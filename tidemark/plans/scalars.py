@@ -80,7 +80,22 @@ def attribute_lists(s, d):
     return ev.select("event_id", m["type"].alias("type"), m["user"].alias("user"), m["note"].alias("note"), m["eq"].alias("eq"), F.size(m).alias("n"))
 
 
+def blob_references(s, d):
+    """References of every kind, sound and not, made of order keys."""
+    k, digest = F.col("o_orderkey"), F.sha2(F.col("o_orderkey").cast("string"), 256)
+    text = F.when(k % 7 == 0, digest).when(k % 7 == 1, F.concat(F.lit("v2:e"), k, F.lit(":"), digest)).when(k % 7 == 2, F.concat(F.lit("v1:e1:"), digest)).when(k % 7 == 3, F.concat(F.lit("v2:e0:"), digest)).when(k % 7 == 4, F.concat(F.lit("v2:e1:"), F.upper(digest))).when(k % 7 == 5, "v2:e1").otherwise(F.concat(F.lit("v2:e1:"), digest, F.lit(":")))
+    return read(s, d, "orders").select("o_orderkey", scalar.blob_reference(text).alias("r")).select("o_orderkey", F.col("r.epoch").cast("bigint").alias("epoch"), "r.digest", "r.error")
+
+
+def edited_urls(s, d):
+    url = F.concat(F.lit("http://h/p"), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("?a="), F.col("user_id"), F.lit("&b%20c=1&a=2"))).otherwise(""), F.when(F.col("event_id") % 3 == 0, "#f?a=1").otherwise(""))
+    return read(s, d, "events").select("event_id", scalar.edit_query(url, [("set", "a", "x y"), ("delete", "b c", None), ("append", "d", "é&")]).alias("url"))
+
+
 QUERIES = {
+    "blob_references": blob_references,
+    "edited_urls": edited_urls,
+    "crc64": lambda s, d: read(s, d, "customer").select("c_custkey", scalar.crc64(F.col("c_name")).alias("crc")),
     "cron_matches": cron_matches,
     "cron_next": cron_next,
     "cron_fanout": cron_fanout,
@@ -126,6 +141,13 @@ FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_i
     "digests": """
 SELECT o_orderkey, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256, to_base64(encode(t)) AS base64, hex(encode(t)) AS hex, replace(url_encode(t), '%20', '+') AS url
 FROM (SELECT o_orderkey, concat(o_orderkey, '|', o_orderpriority) AS t FROM orders)""",
+    "blob_references": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN o_orderkey END AS epoch, CASE WHEN o_orderkey % 7 < 2 THEN sha256(CAST(o_orderkey AS VARCHAR)) END AS digest,
+  CASE o_orderkey % 7 WHEN 2 THEN 'version' WHEN 3 THEN 'epoch' WHEN 4 THEN 'digest' WHEN 5 THEN 'shape' WHEN 6 THEN 'shape' END AS error FROM orders""",
+    "edited_urls": "SELECT event_id, concat('http://h/p?a=x+y&d=%C3%A9%26', CASE WHEN event_id % 3 = 0 THEN '#f?a=1' ELSE '' END) AS url FROM events",
+    "crc64": f"""
+SELECT c_custkey, printf('%016x', CAST(18446744073709551615::HUGEINT - list_reduce(list_prepend(18446744073709551615::HUGEINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ascii(c_name[i])::HUGEINT)),
+  lambda h, b: xor(list_extract({[str(v) for v in scalar.crc_table()]}::HUGEINT[], CAST(xor(h, b) % 256 AS BIGINT) + 1), h // 256)) AS UBIGINT)) AS crc FROM customer""",
     "fnv_shards": """
 SELECT c_custkey, printf('%016x', CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ascii(c_name[i])::HUGEINT)),
   lambda h, b: (xor(h, b) * 435::HUGEINT + ((xor(h, b) % 16777216::HUGEINT) * 1099511627776::HUGEINT)) % 18446744073709551616::HUGEINT) AS UBIGINT)) AS fnv FROM customer""",
