@@ -27,21 +27,8 @@ _UNITS = 2**32
 _LAST_DOC = 2**63 - 1
 RANK = "decimal(38,0)"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-#: Word hashes that a worker keeps at most.
-_KNOWN_WORDS = 1 << 16
-
-
-def units(text: str) -> list[tuple[int, int, int, int, bytes]]:
-    """(start, end, word, words, digest) of each sentence; lines end sentences too. Offsets count code points, ``word`` counts words before it."""
-    found = []
-    start = before = 0
-    for stop, following in [(m.start() + len(m[0].rstrip()), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]:
-        words = text[start:stop].lower().split()
-        if words:
-            found.append((start, stop, before, len(words), xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-            before += len(words)
-        start = following
-    return found
+#: Characters (about) whose words are hashed together.
+_SEGMENT = 1 << 17
 
 
 def with_units(docs: DataFrame) -> DataFrame:
@@ -52,30 +39,15 @@ def with_units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, rest = [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    own = units(text) if text else []
-                    row += [i] * len(own)
-                    rest += [(k, *u) for k, u in enumerate(own)]
-                if rest:
-                    places = pa.array(row, pa.int64())
-                    unit, start, end, word, words, digest = zip(*rest, strict=True)
-                    numbers = [pa.array(x, pa.int32()) for x in (unit, start, end, word, words)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), *numbers, pa.array(digest, pa.binary())], names=schema.names)
+                text, unit, start, end, word, words, digest = _units(part.column(2).to_pylist())
+                places = pa.array(text)
+                numbers = [pa.array(x.astype(np.int32)) for x in (unit, start, end, word, words)]
+                digests = pa.Array.from_buffers(pa.binary(16), len(text), [None, pa.py_buffer(np.ascontiguousarray(digest))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), *numbers, digests], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-class _Hashes(dict):
-    """XXH64 of words, kept while there are few."""
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < _KNOWN_WORDS:
-            self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
@@ -99,14 +71,91 @@ def _spaces() -> np.ndarray:
     return np.array([chr(c).isspace() for c in range(0x3100)])
 
 
-def _words(text: str, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the words; offsets count code points."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _edges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end: as str.split() has them."""
     space = np.ones(len(points) + 2, np.bool_)
     np.take(_spaces(), points, out=space[1:-1], mode="clip")
     edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    return np.fromiter(map(known.__getitem__, text.lower().split()), np.uint64, len(starts)), starts, ends
+    return edges[::2], edges[1::2]
+
+
+def _joined_words(texts: list[str], joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of texts joined by line feeds, and where each text begins; offsets count code points.
+
+    A hash is a polynomial over the lower-cased word's characters, a difference
+    of running sums over all texts together, mixed with its length.
+    """
+    starts, ends = _edges(_points(joined))
+    low = _points(joined.lower())
+    begin, stop = (starts, ends) if len(low) == len(joined) else _edges(low)  # a few letters have longer lower cases
+    hashes = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(stop, begin[at] + _SEGMENT, "right")))
+        first, last = begin[at], stop[to - 1]
+        room = max(1 << 16, 1 << int(last - first).bit_length())
+        total = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(low[first:last].astype(np.uint64) * _powers(room, _BASES[0])[: last - first], out=total[1:])
+        back = _powers(room, np.uint64(pow(int(_BASES[0]), -1, 2**64)))
+        own, end = begin[at:to] - first, stop[at:to] - first
+        hashes[at:to] = _mixed((total[end] - total[own]) * back[own] + (end - own).astype(np.uint64) * _BASES[1])
+        at = to
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return starts, ends, hashes, offsets
+
+
+def _words(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, starts, ends) of the words of each text."""
+    texts = [t or "" for t in texts]
+    starts, ends, hashes, offsets = _joined_words(texts, "\n".join(texts))
+    bounds = np.searchsorted(starts, offsets)
+    return [(hashes[i:j], starts[i:j] - offset, ends[i:j] - offset) for i, j, offset in zip(bounds[:-1], bounds[1:], offsets[:-1], strict=True)]
+
+
+def _units(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(text, unit, start, end, word, words, digest) of each sentence of each text; lines end sentences too.
+
+    Offsets count code points, ``word`` the words before it, units those with
+    words. A digest is two polynomials over the hashes of the lower-cased words.
+    """
+    texts = [t or "" for t in texts]
+    joined = "\n".join(texts)
+    starts, _, hashes, offsets = _joined_words(texts, joined)
+    cuts = np.array([(m.start() + len(m[0].rstrip()), m.end()) for m in _BREAK.finditer(joined)], np.int64).reshape(-1, 2)
+    begin, stop = np.append(0, cuts[:, 1]), np.append(cuts[:, 0], len(joined))
+    first, last = np.searchsorted(starts, begin), np.searchsorted(starts, stop)
+    some = last > first
+    begin, stop, first, last = begin[some], stop[some], first[some], last[some]
+    text = np.searchsorted(offsets, starts[first], "right") - 1
+    opening = np.flatnonzero(np.diff(text, prepend=-1))
+    begin[opening] = offsets[text[opening]]  # white space before the first unit belongs to it
+    unit = np.arange(len(text)) - np.repeat(opening, np.diff(opening, append=len(text)))
+    halves = []
+    for words, base in ((hashes, _BASES[0]), (_mixed(hashes), _BASES[1])):
+        sums = np.empty(len(first), np.uint64)
+        at = 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(last, first[at] + _SEGMENT, "right")))
+            low, high = first[at], last[to - 1]
+            room = max(1 << 16, 1 << int(high - low).bit_length())
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(words[low:high] * _powers(room, base)[: high - low], out=total[1:])
+            i, j = first[at:to] - low, last[at:to] - low
+            sums[at:to] = _mixed((total[j] - total[i]) * _powers(room, np.uint64(pow(int(base), -1, 2**64)))[i] + (j - i).astype(np.uint64))
+            at = to
+        halves.append(sums)
+    before = first - np.searchsorted(starts, offsets)[text]
+    return text, unit, begin - offsets[text], stop - offsets[text], before, last - first, np.stack(halves, axis=1)
+
+
+def units(text: str) -> list[tuple[int, int, int, int, bytes]]:
+    """(start, end, word, words, digest) of each unit of one text."""
+    _, _, start, end, word, words, digest = _units([text])
+    return [(*row, d.tobytes()) for *row, d in zip(start.tolist(), end.tolist(), word.tolist(), words.tolist(), digest, strict=True)]
 
 
 def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,13 +187,11 @@ def with_anchors(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema.add("text_hash", "long").add("anchor", "long").add("context", "long").add("word", "integer").add("n", "integer").add("start", "integer").add("end", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 row, found = [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    words, starts, ends = _words(text or "", known)
+                for i, (words, starts, ends) in enumerate(_words(part.column(2).to_pylist())):
                     if len(words) >= PASSAGE:
                         anchor, context, word, n = _anchors(words)
                         numbers = (word, n, starts[word], ends[word + n + PASSAGE - 2])
@@ -165,10 +212,9 @@ def with_windows(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id", "text_hash").schema.add("word", "integer").add("start", "integer").add("end", "integer").add("h1", "long").add("h2", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             for i in range(batch.num_rows):
-                words, starts, ends = _words(batch.column(2)[i].as_py(), known)
+                words, starts, ends = _words([batch.column(2)[i].as_py()])[0]
                 first, n = (batch.column(3)[i].values.field(k).to_numpy() for k in (0, 1))
                 own = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 both = [_rolling(w, PASSAGE, b)[own].view(np.int64) for w, b in ((words, _BASES[0]), (_mixed(words), _BASES[1]))]
