@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 #: Pairs whose signatures are so much less alike than asked aren't compared: eight standard deviations (0.037 each) at 0.8.
 SLACK = 0.3
-#: Members of a band group that the others are compared with: the first by doc_id, and the first in as many orders by hash.
+#: Members of a band group that those are compared with that its first didn't settle: the first in as many orders by hash.
 ORDERS = 4
 SEED = 5
 
@@ -80,13 +80,15 @@ def with_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("unit", "text").mapInArrow(run, "unit bigint, digest binary, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, similarity: float, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of units whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    pairs = store(pairs, "pairs")
-    asked = store(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "digest"), "unit"), "asked")
-    texts = docs.select(F.col("doc_id").alias("unit"), "text").join(asked.select("unit").distinct(), "unit", "left_semi")
-    sets = with_shingles(texts, shingle).join(asked, ["unit", "digest"]).dropDuplicates(["unit", "digest"])
-    sets = store(sets, "shingles")
+def shingle_sets(docs: DataFrame, units: DataFrame, asked: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(unit, shingles), stored: the shingle set of each unit of ``asked``. docs: doc_id, text; units: unit, digest."""
+    wanted = store(asked.select("unit").distinct().join(units.select("unit", "digest"), "unit"), "asked")
+    texts = docs.select(F.col("doc_id").alias("unit"), "text").join(wanted.select("unit").distinct(), "unit", "left_semi")
+    return store(with_shingles(texts, shingle).join(wanted, ["unit", "digest"]).dropDuplicates(["unit", "digest"]).drop("digest"), "shingles")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of units whose shingle sets have a Jaccard similarity of ``similarity`` or more, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +99,10 @@ def verified(pairs: DataFrame, docs: DataFrame, units: DataFrame, similarity: fl
                 hit[i] = both >= similarity * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit)) for c in (0, 1)], names=["a", "b"])
 
+    pairs = store(pairs, "pairs")
     both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
     links = store(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
-    release(sets)
+    release(pairs)
     return links
 
 
@@ -125,19 +128,42 @@ def _candidates(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity - SLACK), "a bigint, b bigint")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+
+
 def leader_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member of a band group with a few leaders of it, so that groups of copies link by as many pairs as members."""
-    leaders = [F.min("rep").alias("l0")] + [F.min_by("rep", F.xxhash64(F.lit(k), "rep")).alias(f"l{k}") for k in range(1, ORDERS + 1)]
-    groups = store(rows.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1").drop("n"), "groups")
-    met = rows.join(groups, "key").select("rep", F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(ORDERS + 1))))).alias("leader")).where("rep <> leader")
-    return met.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+    """Pairs (a, b) of each member of a band group with its first, so that a group of copies makes no more pairs than members."""
+    first = store(rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    return _ordered(rows.join(first, "key"))
+
+
+def _open_groups(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, rep, size, part) of the members of band groups that are not all of one component, stored."""
+    labels = components(links).withColumnRenamed("node", "rep")
+    placed = store(rows.join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part")), "placed")
+    mixed = store(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"), "mixed")
+    return store(placed.join(mixed, "key"), "open")
+
+
+def more_leader_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs of the members of open groups with a few more leaders that aren't of their component yet."""
+    leaders = [F.min_by(F.struct("rep", "part"), F.xxhash64(F.lit(k), "rep")).alias(f"l{k}") for k in range(1, ORDERS + 1)]
+    groups = store(open_.groupBy("key").agg(*leaders), "leaders")
+    met = open_.join(groups, "key").select("rep", "part", F.explode(F.array(*(f"l{k}" for k in range(1, ORDERS + 1)))).alias("l"))
+    return _ordered(met.where("l.part <> part").select("rep", F.col("l.rep").alias("leader")))
 
 
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id): groups of documents whose texts are near copies, by the smallest doc_id.
 
-    docs: doc_id, text. Texts without words form one group; a null doc_id has a
-    null component. Repeated rows each return. Empty table: empty result.
+    docs: doc_id, text (more columns are ignored); texts may have any length.
+    Texts without words form one group; a null doc_id has a null component.
+    Repeated rows each return. Empty table: empty result.
+
+    Equal shingle sets are one unit. Members of a band meet its first, then, where
+    the band's members aren't one component, a few more of it, then each other;
+    every pair is decided on the two sets, which are computed once.
     """
     marked = with_sketches(docs, shingle).withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("sketch", "digest")})
     marked = store(marked, "sketches")
@@ -146,15 +172,17 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     by_fp = store(worded.groupBy("fp").agg(F.min("unit").alias("rep")), "distinct")
     same_fp = worded.join(by_fp, "fp").where("unit <> rep").select(F.col("unit").alias("a"), F.col("rep").alias("b"))
     rows = band_rows(units)
-    led = _candidates(leader_pairs(rows), units, similarity)
-    links = verified(near_links(by_fp, radius=radius).unionByName(same_fp).unionByName(led).distinct(), docs, units, similarity, shingle)
-    # Pairs of a band group that aren't one component yet are all decided; sets whose sizes differ more can't be so alike.
-    labels = components(links).withColumnRenamed("node", "rep")
-    placed = store(rows.join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part")), "placed")
-    mixed = store(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"), "mixed")
-    open_ = store(placed.join(mixed, "key"), "open")
+    exact = store(near_links(by_fp, radius=radius).unionByName(same_fp), "near")
+    met = rows.join(store(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often"), "key")
+    asked = met.select(F.col("rep").alias("unit")).union(exact.select("a")).union(exact.select("b"))
+    sets = shingle_sets(docs, units, asked, shingle)
+    links = verified(exact.unionByName(_candidates(leader_pairs(rows), units, similarity)).distinct(), sets, similarity)
+    open_ = _open_groups(rows, links)
+    links = links.unionByName(verified(_candidates(more_leader_pairs(open_), units, similarity), sets, similarity))
+    # Pairs of a band group that aren't of one component yet are all decided; sets whose sizes differ more can't be so alike.
+    open_ = _open_groups(open_.select("key", "rep", "size"), links)
     x, y = open_.toDF("key", "a", "m", "p"), open_.toDF("key", "b", "n", "q")
     rest = x.join(y, "key").where((F.col("b") < F.col("a")) & (F.col("p") != F.col("q")) & (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))).select("a", "b").distinct()
-    groups = components(links.unionByName(verified(_candidates(rest, units, similarity), docs, units, similarity, shingle)))
+    groups = components(links.unionByName(verified(_candidates(rest, units, similarity), sets, similarity)))
     labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
     return marked.join(store(labels, "labels"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
