@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import cdc
+from tidemark.storage import store
 
 
 def _div(a: str, b: int) -> str:
@@ -71,6 +72,11 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.whole_records(records(spark, sf_dir))
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records as a table: what is derived from them reads them many times, each time other columns."""
+    return store(_whole(spark, sf_dir), "records")
+
+
 def _stream(c: str = "") -> str:
     return ", ".join(c + s for s in cdc.STREAM)
 
@@ -98,12 +104,12 @@ def fragment_whole(spark, sf_dir):
 
 
 def stream_deletions(spark, sf_dir):
-    whole = _whole(spark, sf_dir)
+    whole = _landed(spark, sf_dir)
     return cdc.above_deletions(whole, whole).groupBy(*cdc.STREAM).agg(F.count("*").alias("n"), F.min("commit").alias("first_commit"))
 
 
 def facet_deletions(spark, sf_dir):
-    whole = _whole(spark, sf_dir)
+    whole = _landed(spark, sf_dir)
     return cdc.facet_deletions(whole, whole)
 
 
@@ -133,17 +139,17 @@ def _generations(whole):
 
 
 def generation_state(spark, sf_dir):
-    gens = _generations(_whole(spark, sf_dir))
+    gens = _generations(_landed(spark, sf_dir))
     return gens.select(*cdc.STREAM, *cdc.TABLE, F.col("opened.commit").alias("opened_commit"), "closed", F.col("cut.position.commit").alias("cut_commit"), "uncertain")
 
 
 def uncertain_tables(spark, sf_dir):
-    return _generations(_whole(spark, sf_dir)).where("uncertain").select(*cdc.STREAM, *cdc.TABLE)
+    return _generations(_landed(spark, sf_dir)).where("uncertain").select(*cdc.STREAM, *cdc.TABLE)
 
 
 def current_rows(spark, sf_dir):
     """Typed current rows of all streams: the whole way from deliveries to tables."""
-    whole = _whole(spark, sf_dir)
+    whole = _landed(spark, sf_dir)
     rows = cdc.latest_rows(whole, _generations(whole))
     columns = cdc.projection([("id", "INTEGER"), ("kind", "TEXT"), ("value", "REAL"), ("note", "")])
     return cdc.typed_rows(rows, columns).select(*cdc.STREAM, *cdc.TABLE, F.col("id").cast("bigint"), "kind", "value", "note", "commit")
@@ -191,14 +197,14 @@ def _certified(spark, sf_dir):
 
 def stream_summary(spark, sf_dir):
     delivered = records(spark, sf_dir)
-    out = cdc.stream_summary(cdc.first_deliveries(delivered), cdc.whole_records(delivered), _certified(spark, sf_dir))
+    out = cdc.stream_summary(cdc.first_deliveries(delivered), _landed(spark, sf_dir), _certified(spark, sf_dir))
     nodes = F.array_join(F.transform("nodes", lambda x: F.concat_ws(":", x["epoch"].cast("string"), F.array_join(x["sent"], "+"))), ",")
     ends = F.array_join(F.transform("certified", lambda x: F.concat_ws(":", x["epoch"].cast("string"), x["txid"].cast("string"), x["commit"].cast("string"))), ",")
     return out.withColumns({"nodes": nodes, "certified": ends})
 
 
 def state_at(spark, sf_dir):
-    whole = cdc.state_at(_whole(spark, sf_dir), 2, 250, 2**40)
+    whole = cdc.state_at(_landed(spark, sf_dir), 2, 250, 2**40)
     return cdc.latest_rows(whole, _generations(whole)).groupBy(*cdc.STREAM, *cdc.TABLE).agg(F.count("*").alias("live_rows"), F.max("commit").alias("newest"))
 
 
@@ -207,7 +213,7 @@ FINDINGS = "finds AS (SELECT script, class, cell, facet, incarnation, epoch AS h
 
 
 def export_gaps(spark, sf_dir):
-    whole = _whole(spark, sf_dir)
+    whole = _landed(spark, sf_dir)
     cuts = cdc.snapshot_cuts(whole)
     found = spark.sql(f"WITH {RECORDS.replace('EVENTS', '{events}')}, {FINDINGS} SELECT * FROM finds", events=read(spark, sf_dir, "events"))
     return cdc.export_gaps(whole, cuts, _certified(spark, sf_dir), cdc.generations(whole, cuts).where("uncertain"), found)

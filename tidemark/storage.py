@@ -1,10 +1,14 @@
-"""Where intermediate results go: the folder that all executors share."""
+"""Intermediate results: tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +30,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the process ends."""
+    _written.append((spark, path))
+
+
+@atexit.register
+def _forget() -> None:
+    for spark, path in _written:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may have ended before the interpreter
+            return
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    This cuts the lineage: later steps read files that survive the loss of any
+    executor, and nothing upstream runs twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    forget_later(spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``store`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_tidemark_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
