@@ -1,38 +1,19 @@
-"""What the operators share: stored intermediate tables and connected components."""
+"""What the operators share: tables, column names of their own, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.storage import drop_path, shared_dir
+from tidemark.storage import forget_later, release, shared_dir, store
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["components", "forget_later", "hash_bucket", "own_name", "release", "shared_dir", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _forget() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may have ended before the interpreter
-            return
-
-
-atexit.register(_forget)
-
-
-def forget_later(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` when the process ends."""
-    _written.append((spark, path))
-
-
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name in df.columns:
@@ -40,28 +21,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: later steps read files that survive the loss of any
-    executor, and nothing upstream runs twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    forget_later(spark, path)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what ``store`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
-
-
 def hash_bucket(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
