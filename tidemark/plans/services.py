@@ -149,7 +149,7 @@ SELECT name, size, expires_at, (SELECT count(*) FROM page) <= 50 AS list_complet
     "restorable_cuts": _sql(f"""{FILES}, reach AS (SELECT DISTINCT scope, epoch, CAST(0 AS BIGINT) AS txid FROM files UNION SELECT f.scope, f.epoch, f.hi FROM reach r JOIN files f ON f.scope = r.scope AND f.epoch = r.epoch AND r.txid >= f.lo - 1 AND r.txid < f.hi AND f.lo > 0 AND f.hi >= f.lo)""", "SELECT * FROM reach WHERE txid > 0"),
     "restore_plan": _sql(f"""{FILES},
 target AS (SELECT scope, epoch, max(hi) - epoch * 20 AS target FROM files GROUP BY scope, epoch),
-snap AS (SELECT t.scope, t.epoch, t.target, max(row(f.hi, f.lo)) AS s FROM target t LEFT JOIN files f ON f.scope = t.scope AND f.epoch = t.epoch AND level = 9 AND hi <= target GROUP BY ALL),
+snap AS (SELECT t.scope, t.epoch, t.target, max(CASE WHEN f.hi IS NOT NULL THEN row(f.hi, f.lo) END) AS s FROM target t LEFT JOIN files f ON f.scope = t.scope AND f.epoch = t.epoch AND level = 9 AND hi <= target GROUP BY ALL),
 step AS (SELECT scope, epoch, target, CASE WHEN s IS NULL THEN -1 ELSE 0 END AS step, CAST(s[2] AS BIGINT) AS lo, CAST(coalesce(s[1], 0) AS BIGINT) AS hi FROM snap
   UNION ALL SELECT scope, epoch, target, step + 1, w[2], w[1] FROM (
     SELECT p.scope, p.epoch, p.target, p.step, max(row(f.hi, -f.lo)) AS m, row(max(row(f.hi, -f.lo))[1], -max(row(f.hi, -f.lo))[2]) AS w
