@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +38,27 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
-def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and the counts of textstats.FIELDS for the whole text of each document."""
+def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` and the counts of textstats.FIELDS for the whole text of each document; ``text`` may be a field of a kept struct: row.text."""
+    root, *path = text.split(".")
+    taken = keep if root in keep else [*keep, root]
     schema = docs.select(*keep).schema
     for name in FIELDS:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_stats(x.as_py()) for x in batch.column(len(keep))]
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * len(FIELDS))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FIELDS])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = part.column(taken.index(root))
+                for name in path:
+                    texts = pc.struct_field(texts, name)
+                found = [text_stats(x.as_py()) for x in texts]
+                columns = [part.column(i) for i in range(len(keep))]
+                columns += [pa.array(x, pa.int64()) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *FIELDS])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*taken).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -170,10 +178,11 @@ def fit_outliers(rows: DataFrame, floors: dict[str, float], *, covered: float =
     return best.join(medians.select("fit_key", "n"), "fit_key").select("fit_key", "n", "b.centre", "b.precision")
 
 
-def quality_rules(docs: DataFrame, *, prior_docs: float = PRIOR_DOCS, tail: float = TAIL, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, *, prior_docs: float = PRIOR_DOCS, tail: float = TAIL, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """One row per document: doc_id, the columns of ``keep``, statistics, ``base_failed``, ``distance`` and ``kept``.
 
-    docs: doc_id, text, lang, source (more columns are ignored but for ``keep``).
+    docs: doc_id, text, lang, source (more columns are ignored but for ``keep``;
+    ``text`` may name a field of a kept struct, so that it isn't carried twice).
     A document fails the base rules with fewer than 20 words, or with more than
     30 % of its words in 8-word runs found twice. The others are fitted by
     language and source, by language, and all together; a document is rejected
@@ -187,7 +196,7 @@ def quality_rules(docs: DataFrame, *, prior_docs: float = PRIOR_DOCS, tail: floa
     groups of their own. Repeated rows count as often as they occur and each
     returns. Texts may have any length. Empty table: empty result.
     """
-    stats = store(with_stats(docs, ["doc_id", "lang", "source", *keep]).withColumn("base_failed", base_failed()), "stats")
+    stats = store(with_stats(docs, ["doc_id", "lang", "source", *keep], text).withColumn("base_failed", base_failed()), "stats")
     p = len(NAMES)
     features = F.array(*transformed().values()).alias("features")
     lang, source = F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))
