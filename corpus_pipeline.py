@@ -22,8 +22,8 @@ from tidemark.llm.quality import quality_rules
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. Each row is carried through, so that it meets its own verdict."""
-    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    return quality_rules(whole, keep=("row",)).where("kept").select("row.*")
+    whole = docs.select("doc_id", "lang", "source", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return quality_rules(whole, keep=("row",), text="row.text").where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
