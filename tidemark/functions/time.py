@@ -146,7 +146,7 @@ def cron_next(expression: str, at: Column) -> Column:
     def within(low: int, high: int) -> Column:
         first = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.add_months(month, k))
         fits = F.filter(F.transform(first, lambda d: F.struct(d.alias("d"), _day_bits(expression, d).alias("b"))), lambda x: x["b"] != 0)
-        return F.transform(F.slice(fits, 1, 1), lambda x: F.date_add(x["d"], lowest(x["b"])))[0]
+        return F.get(F.transform(F.slice(fits, 1, 1), lambda x: F.date_add(x["d"], lowest(x["b"]))), F.lit(0))
 
     if not times:
         return F.lit(None).cast("timestamp")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The kinds of records and the names of their envelope's fields.
 KINDS = ("rows", "snapshot", "snapshot_end", "schema", "link", "recovered", "deleted", "watermark", "bulk", "gap")
 _TEXT = ("kind", "script", "class", "cell", "cell_name", "facet")
 _U64 = ("incarnation", "epoch", "txid", "commit")
@@ -32,12 +33,17 @@ def write_changes(records: DataFrame, path: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One record a line; what the envelope doesn't name stays in body."""
-    lines = spark.read.text(path)
+    """One record a line, + source: the object it was read from, as the line's ``object`` says, or else the file's name.
+
+    What the envelope doesn't name stays in body. A line that isn't JSON gives a row of nulls with the line as body, which
+    ``split_valid`` sets apart.
+    """
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
     envelope = [f for f in RECORD.fields if f.name not in ("body", "committed_at")]
-    schema = T.StructType([*envelope, T.StructField("committed_at", T.LongType())])
-    parsed = lines.select(F.from_json("value", schema).alias("r"), F.col("value").alias("body"))
-    return parsed.select("r.*", "body").withColumn("committed_at", F.timestamp_millis("committed_at")).select(*(f.name for f in RECORD.fields))
+    schema = T.StructType([*envelope, T.StructField("committed_at", T.LongType()), T.StructField("object", T.StringType())])
+    parsed = lines.select(F.from_json("value", schema).alias("r"), F.col("value").alias("body"), "_file")
+    typed = parsed.select("r.*", "body", "_file").withColumn("committed_at", F.timestamp_millis("committed_at"))
+    return typed.select(*(f.name for f in RECORD.fields), F.coalesce("object", "_file").alias("source"))
 
 
 def as_messages(records: DataFrame) -> DataFrame:
