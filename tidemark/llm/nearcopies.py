@@ -23,8 +23,9 @@ from tidemark.llm.simhash import RADIUS, shingle_hashes, majority, near_links
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
-#: Pairs whose signatures are so much less alike than asked aren't compared: eight standard deviations (0.037 each) at 0.8.
-SLACK = 0.3
+#: Pairs whose signatures are so much less alike than asked aren't compared: four standard deviations (0.037 each) at 0.8, which
+#: 2 in 100,000 of the pairs sought exceed, where 2 in 1,000 share no band.
+SLACK = 0.15
 #: Members of a band group that those are compared with that its first didn't settle: the first in as many orders by hash.
 ORDERS = 4
 SEED = 5
