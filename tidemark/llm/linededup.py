@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_name, store, table
+from tidemark.llm.common import own_name, release, store, table
 
 #: Lines with fewer characters, trimmed, have no neighbours at one edit (any two single letters would); equal ones are repeats all the same.
 MIN_CHARS = 12
@@ -46,7 +46,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(often, key)
 
 
-def _without_blocks(parts: DataFrame) -> DataFrame:
+def _without_blocks(parts: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(rank, context, part, longer) of the blocks whose loss makes a part equal another's: each is cut into BLOCKS blocks.
 
     parts: rank, context (a hash of all that was cut off so far), part, longer
@@ -59,11 +59,12 @@ def _without_blocks(parts: DataFrame) -> DataFrame:
     cut = cut.withColumns({"start": start, "rest": F.col("n") - end})
     keyed = cut.select("rank", F.col("context").alias("above"), "q", "longer", F.xxhash64("context", "n", "q", F.left("part", F.col("start")), F.right("part", F.col("rest"))).alias("context"))
     meeting = store(_shared(keyed, "context"), "blocks")
+    spent.append(meeting)
     inner = meeting.join(parts.withColumnRenamed("context", "above"), ["rank", "above", "longer"]).withColumn("n", F.char_length("part") - F.col("longer").cast("int")).withColumns({"start": start, "rest": F.col("n") - end})
     return inner.select("rank", "context", F.expr("substring(part, start + 1, char_length(part) - rest - start)").alias("part"), "longer")
 
 
-def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, texts: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """Pairs (rank, first): lines one edit apart, ``first`` the earlier.
 
     lines: rank, halves (of distinct lines); texts: rank, norm, of at least the
@@ -75,6 +76,7 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     line first loses whole blocks: lines that equal no other after losing any
     block have no partner, and the others go on with that block alone, block
     within block while it is long, so that a line of n characters costs n log n.
+    Tables stored on the way are added to ``spent``.
     """
     halves = lines.select("rank", F.explode("halves").alias("half"))
     candidates = _shared(halves, "half").select("rank").distinct()
@@ -85,7 +87,8 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     parts = parts.where(F.col("longer") <= (F.char_length("part") > 0)).select("rank", "context", "part", "longer")
     ready: list[DataFrame] = []
     while True:
-        inner = store(_without_blocks(parts), "parts")
+        inner = store(_without_blocks(parts, spent), "parts")
+        spent.append(inner)
         ready.append(inner.where(F.char_length("part") <= SHORT_PART))
         parts = inner.where(F.char_length("part") > SHORT_PART)
         if parts.isEmpty():
@@ -102,6 +105,7 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     itself = F.array(F.struct(F.xxhash64("context", F.lit(0), "part").alias("key"), F.lit(1).alias("role")))
     variants = short.select("rank", F.explode(F.when(F.col("longer"), shorter).otherwise(F.concat(itself, swapped))).alias("v"))
     variants = store(variants.select("rank", "v.key", "v.role").distinct(), "variants")
+    spent += [texts, variants]
 
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("rank")))
     met = variants.groupBy("key").agg(F.count("*").alias("n"), of(0).alias("m0"), of(1).alias("m1"), of(2).alias("m2")).where("n > 1").drop("n")
@@ -137,7 +141,10 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: in
     distinct = narrow.groupBy("d1", "d2").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), *keys)
     halves = F.filter(F.array(*(f"h{i}" for i in range(4))), lambda h: h.isNotNull())
     distinct = store(distinct.select("d1", "d2", "rank", "n", halves.alias("halves")), "distinct")
-    near = store(near_lines(distinct, rows.where(F.char_length("norm") >= min_chars).select("rank", "norm")), "near")
+    spent: list[DataFrame] = []
+    near = store(near_lines(distinct, rows.where(F.char_length("norm") >= min_chars).select("rank", "norm"), spent), "near")
+    for table_ in spent:
+        release(table_)
     verdict = distinct.join(near, "rank", "left").where("n > 1 OR first IS NOT NULL").select("d1", "d2", F.col("rank").alias("own"), "first")
     hit = narrow.select("doc_id", "text_hash", "line_no", "rank", "d1", "d2").join(verdict, ["d1", "d2"]).where("first IS NOT NULL OR rank > own")
     first = F.coalesce(F.least("first", F.when(F.col("rank") > F.col("own"), F.col("own"))), "own")
