@@ -405,6 +405,23 @@ def test_a_word_of_a_million_characters(char):
     assert [i for a in atoms for i in pieces.fold_text(model, a)] == library.encode(text)
 
 
+def test_atoms_whose_neighbours_share_a_place():
+    """Pairs that share a place in a small table make atoms longer, but never join texts or the character that parts lists."""
+
+    class Small(pieces.Cutter):
+        PLACES = 7
+
+    model = pieces.default_model()
+    texts = ["a\0b c\0\0d", "end", "", None, " lead"]
+    atoms, counts = Small(model.bridges, 3).cut(pa.array(texts))
+    assert counts.sum() == len(atoms) and counts.tolist()[2:4] == [0, 0]
+    assert all(a == "\0" or "\0" not in a for a in atoms.to_pylist())
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert "".join(atoms.to_pylist()[at : at + n]) == (" " + text if text else "")
+        at += n
+
+
 def test_native_and_python_folds_agree(spark):
     """Random words over few letters hold many ties and overlaps; the native fold must give what merging gives."""
     model, rng = pieces.default_model(), random.Random(13)

@@ -164,6 +164,10 @@ class Cutter:
         if len(at):
             cuts[1:] = ~self.joined[(kinds[:-1] * np.uint32(self.width) + kinds[1:]) % np.uint32(len(self.joined))]
             cuts[np.searchsorted(at, offsets[:-1][offsets[:-1] < len(raw)])] = True
+            if b"\0" in raw:  # which parts atoms in lists, so it must be one of its own
+                zero = np.frombuffer(raw, np.uint8)[at] == 0
+                cuts |= zero
+                cuts[1:] |= zero[:-1]
         starts = at[cuts]
         atoms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, np.int32(len(raw))).astype(np.int32)), pa.py_buffer(raw))
         return atoms, np.diff(np.searchsorted(starts, offsets))
