@@ -28,6 +28,8 @@ BANDS, ROWS = 20, 6
 SLACK = 0.15
 #: Members of a band group that those are compared with that its first didn't settle: the first in as many orders by hash.
 ORDERS = 4
+#: Members of a band group in one block, of which two meet in a task.
+BLOCK = 2048
 SEED = 5
 
 
@@ -118,10 +120,10 @@ def _alike(least: float):
 
 
 def band_rows(units: DataFrame) -> DataFrame:
-    """(rep, key): one row per band of each unit with words."""
+    """(rep, size, band, key): one row per band of each unit with words."""
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", width * i + 1, width)) for i in range(BANDS)))
-    return store(units.where("sketch <> X''").select(F.col("unit").alias("rep"), "size", F.explode(keys).alias("key")), "bands")
+    return store(units.where("sketch <> X''").select(F.col("unit").alias("rep"), "size", F.posexplode(keys).alias("band", "key")), "bands")
 
 
 def _candidates(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
@@ -140,9 +142,9 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _open_groups(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, rep, size, part) of the members of band groups that are not all of one component, stored."""
+    """(band, key, rep, size, part) of the members of band groups that are not all of one component, stored."""
     labels = components(links).withColumnRenamed("node", "rep")
-    placed = store(rows.join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("part")), "placed")
+    placed = store(rows.join(labels, "rep", "left").select("band", "key", "rep", "size", F.coalesce("component", "rep").alias("part")), "placed")
     mixed = store(placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"), "mixed")
     return store(placed.join(mixed, "key"), "open")
 
@@ -155,6 +157,44 @@ def more_leader_pairs(open_: DataFrame) -> DataFrame:
     return _ordered(met.where("l.part <> part").select("rep", F.col("l.rep").alias("leader")))
 
 
+def remaining_pairs(open_: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a band group's members of different components whose sizes and signatures allow the similarity.
+
+    A group is cut into blocks that meet pairwise in a task of their own; pairs
+    are looked at as arrays there, and only those that may be near copies leave it,
+    each from the first band that its members share.
+    """
+    least = similarity - SLACK
+    sized = open_.join(store(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks"), "key")
+    placed = sized.join(units.select(F.col("unit").alias("rep"), "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    dealt = placed.withColumn("pair", F.explode(met)).select("key", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "band", "block", "rep", "size", "part", "sketch")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, size, part, block = (group.column(c).to_numpy() for c in ("rep", "size", "part", "block"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(rep), -1)
+        low, high, band = (group.column(c)[0].as_py() for c in ("low", "high", "band"))
+        i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        left, right = [], []
+        for at in range(0, len(i), 64):
+            rows = i[at : at + 64]
+            fits = (part[rows][:, None] != part[j]) & (np.minimum(size[rows][:, None], size[j]) >= similarity * np.maximum(size[rows][:, None], size[j]))
+            if low == high:
+                fits &= rep[rows][:, None] > rep[j]
+            x, y = np.nonzero(fits)
+            x, y = rows[x], j[y]
+            for k in range(0, len(x), 4096):
+                same = sketch[x[k : k + 4096]] == sketch[y[k : k + 4096]]
+                here = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band  # of the bands that a pair shares the first counts
+                kept = here & (same.mean(axis=1) >= least)
+                left.append(x[k : k + 4096][kept])
+                right.append(y[k : k + 4096][kept])
+        a, b = (np.concatenate([rep[v] for v in side]) if side else np.zeros(0, np.int64) for side in (left, right))
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id): groups of documents whose texts are near copies, by the smallest doc_id.
 
@@ -181,9 +221,8 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     open_ = _open_groups(rows, links)
     links = links.unionByName(verified(_candidates(more_leader_pairs(open_), units, similarity), sets, similarity))
     # Pairs of a band group that aren't of one component yet are all decided; sets whose sizes differ more can't be so alike.
-    open_ = _open_groups(open_.select("key", "rep", "size"), links)
-    x, y = open_.toDF("key", "a", "m", "p"), open_.toDF("key", "b", "n", "q")
-    rest = x.join(y, "key").where((F.col("b") < F.col("a")) & (F.col("p") != F.col("q")) & (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))).select("a", "b").distinct()
-    groups = components(links.unionByName(verified(_candidates(rest, units, similarity), sets, similarity)))
+    open_ = _open_groups(open_.select("band", "key", "rep", "size"), links)
+    rest = remaining_pairs(open_, units, similarity)
+    groups = components(links.unionByName(verified(rest, sets, similarity)))
     labels = units.join(groups, F.col("unit") == F.col("node"), "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
     return marked.join(store(labels, "labels"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
