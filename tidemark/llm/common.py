@@ -25,6 +25,10 @@ def hash_bucket(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
+#: Edges from which on a round stores its minima: fewer are no load for one task, and a job less each round.
+MANY_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a BIGINT, b BIGINT): (node, component), component the smallest node.
 
@@ -46,7 +50,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Joined from files, both sides are exchanged, and a hub's partition can be split.
-        low = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = store(low, "low") if mark[0] > MANY_EDGES else low
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b")))
