@@ -296,6 +296,27 @@ def test_components_of_long_chains(spark):
     assert {out[i] for i in range(1, 61)} == {0} and {out[i] for i in range(101, 140)} == {100} and 200 not in out
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    from tidemark.llm import common
+
+    rng = random.Random(6)
+    chain = rng.sample(range(1000), 300)
+    rows = [*zip(chain, chain[1:], strict=False), *((2000 + rng.randrange(200), 2000 + rng.randrange(200)) for _ in range(150)), *((3000, 3000 + i) for i in range(50)), (4000, 4000)]
+    want = {a: c for a, c in enumerate(components_of(4001, rows)) if a != c}
+    edges = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5).cache()
+    edges.count()
+    jobs = {}
+    for most in (common.MANY_EDGES, 20):  # in one task, and by contractions
+        monkeypatch.setattr(common, "MANY_EDGES", most)
+        spark.sparkContext.setJobGroup(f"components-{most}", "")
+        found = common.components(edges)
+        spark.sparkContext.setJobGroup("other", "")
+        assert {r.node: r.component for r in found.collect() if r.node != r.component} == want
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}"))
+    few, many = jobs.values()
+    assert few <= 6 < many
+
+
 def test_near_copies_link_at_the_stated_similarity(spark, tmp_path):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(5))
@@ -448,3 +469,17 @@ def test_viterbi_finds_the_best_path(spark):
         total = sum(model.pieces[i][1] if i else unknown for i in got[w])
         assert total == pytest.approx(best(w)), w
         assert got[w] == pieces.fold_text(model, w)  # also where scores tie: aa = a a
+
+
+def test_the_code_of_the_verdicts_is_short(spark, odd):
+    def code(rows):
+        return spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+
+    rows = quality.quality_rules(odd, keep=("text",)).where("kept").select("text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = code(rows.where("true"))
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 30_000  # bytes of a method, of which the driver holds all while it compiles

@@ -101,8 +101,8 @@ def chi2_quantile(p: float, k: int) -> float:
 
 def _distance(features: str, centre: str, precision: str, p: int) -> Column:
     """Squared Mahalanobis distance; ``precision`` is the row-major inverse covariance."""
-    diff = [F.element_at(features, i + 1) - F.element_at(centre, i + 1) for i in range(p)]
-    terms = [diff[i] * diff[j] * F.element_at(precision, i * p + j + 1) for i in range(p) for j in range(p)]
+    diff = [F.get(features, i) - F.get(centre, i) for i in range(p)]
+    terms = [diff[i] * diff[j] * F.get(precision, i * p + j) for i in range(p) for j in range(p)]
     return sum(terms[1:], terms[0])
 
 
@@ -208,9 +208,10 @@ def quality_rules(docs: DataFrame, *, prior_docs: float = PRIOR_DOCS, tail: floa
     distance, left = F.lit(0.0), F.lit(1.0)
     for i in range(3):
         named = fit.select(F.col("fit_key").alias(f"_k{i}"), F.col("n").alias(f"_n{i}"), F.col("centre").alias(f"_c{i}"), F.col("precision").alias(f"_p{i}"))
-        judged = judged.join(named, f"_k{i}", "left")
+        # A column of its own: the next join keeps it from being written out again in all that is derived from it.
+        judged = judged.join(named, f"_k{i}", "left").withColumn(f"_d{i}", F.coalesce(_distance("_features", f"_c{i}", f"_p{i}", p), F.lit(0.0))).drop(f"_c{i}", f"_p{i}")
         weight = F.coalesce(F.col(f"_n{i}") / (F.col(f"_n{i}") + F.lit(float(prior_docs))), F.lit(0.0))
-        distance = distance + left * weight * F.coalesce(_distance("_features", f"_c{i}", f"_p{i}", p), F.lit(0.0))
+        distance = distance + left * weight * F.col(f"_d{i}")
         left = left * (1 - weight)
     cutoff = chi2_quantile(1 - tail, p)
     judged = judged.withColumn("distance", F.when(F.col("_n2").isNotNull(), distance))
