@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.operators import cdc
 from tidemark.operators.kv import clamp_limit, prefix_upper
@@ -178,3 +179,20 @@ def test_cron_rejects_bad_fields():
     for bad in ("* * * *", "60 * * * *", "5-1 * * * *", "*/0 * * * *", "* * * * 0", "* * * * 2#6"):
         with pytest.raises(ValueError):
             parse_cron(bad)
+
+
+def test_range_counts_equal_the_join_and_never_pair_points_with_ranges(spark):
+    from tidemark.operators.relational import range_counts, range_join
+
+    rng = random.Random(3)
+    points = [(k, rng.choice([rng.uniform(-60, 60), float(rng.randrange(-5, 5)), None, float("inf"), float("nan")])) for k in "ab" for _ in range(300)]
+    ranges = [(i, rng.choice("abc"), lo, lo + rng.choice([0.0, 0.5, 40.0, -1.0])) for i, lo in enumerate([*(rng.uniform(-70, 70) for _ in range(60)), *map(float, range(-6, 6)), float("inf")])]
+    p, r = spark.createDataFrame(points, "k string, x double"), spark.createDataFrame(ranges, "i int, k string, lo double, hi double")
+    for by in (["k"], []):
+        left = p if by else p.drop("k")
+        want = {w.i: w["count"] for w in range_join(left, r, at="x", low="lo", high="hi", width=7.0, by=by).groupBy("i").count().collect()}
+        assert {g.i: g.n for g in range_counts(left, r, at="x", low="lo", high="hi", width=7.0, by=by).collect()} == want
+    # 2,000,000 points in each of 2,000,000 ranges: as pairs they would never end.
+    many = spark.range(2_000_000).select("id", (F.col("id") % 10).cast("double").alias("x"))
+    got = range_counts(many.select("x"), many.select("id", F.col("x").alias("lo"), (F.col("x") + 5).alias("hi")), at="x", low="lo", high="hi", width=25.0)
+    assert got.agg(F.sum("n")).first()[0] == 200_000**2 * sum(min(5, 10 - x) for x in range(10))

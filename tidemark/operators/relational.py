@@ -35,6 +35,29 @@ def range_join(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high:
     return points.withColumn("_bin", F.floor(F.col(at) / width)).join(bins, [*by, "_bin"]).where(hit).drop("_bin")
 
 
+def range_counts(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high: str, width: float, by: list[str] | None = None) -> DataFrame:
+    """Ranges [low, high) with ``n``, how many points of their key they hold; ranges that hold none are left out.
+
+    A range holds the points below its high less those below its low. How many
+    lie below a bound is a running total: over bins of ``width``, and in a bin
+    over distinct values. So rows are met once each, never a range with its points.
+    """
+    by = by or []
+    sound = ranges.where(F.col(high) > F.col(low))
+    bounds = sound.select(*by, F.explode(F.array(low, high)).alias("_x")).distinct()
+    met = points.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_n")).where("_x IS NOT NULL").unionByName(bounds.withColumn("_n", F.lit(0)))
+    # NaN, the greatest value, has no floor.
+    bin_ = F.when(F.isnan("_x"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("_x") / width).cast("bigint"))
+    values = met.groupBy(*by, "_x").agg(F.sum("_n").alias("_n")).withColumn("_bin", bin_)
+    before = lambda order: F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = values.groupBy(*by, "_bin").agg(F.sum("_n").alias("_n")).select(*by, "_bin", before(Window.partitionBy(*by).orderBy("_bin")).alias("_base"))
+    inside = values.withColumn("_inside", before(Window.partitionBy(*by, "_bin").orderBy("_x")))
+    below = inside.join(bins, [*by, "_bin"]).withColumn("_below", F.col("_base") + F.col("_inside"))
+    under = lambda bound: below.select(*by, F.col("_x").alias(bound), F.col("_below").alias(f"_{bound}"))
+    counted = sound.join(under(low), [*by, low]).join(under(high), [*by, high])
+    return counted.withColumn("n", F.col(f"_{high}") - F.col(f"_{low}")).where("n > 0").select(*ranges.columns, "n")
+
+
 def gaps_and_islands(rows: DataFrame, *, by: list[str], at: str, gap: Column | int) -> DataFrame:
     """Sessions: runs of a key's rows with at most ``gap`` between neighbours: by, first, last, n."""
     order = Window.partitionBy(*by).orderBy(at)
