@@ -196,3 +196,25 @@ def test_range_counts_equal_the_join_and_never_pair_points_with_ranges(spark):
     many = spark.range(2_000_000).select("id", (F.col("id") % 10).cast("double").alias("x"))
     got = range_counts(many.select("x"), many.select("id", F.col("x").alias("lo"), (F.col("x") + 5).alias("hi")), at="x", low="lo", high="hi", width=25.0)
     assert got.agg(F.sum("n")).first()[0] == 200_000**2 * sum(min(5, 10 - x) for x in range(10))
+
+
+def test_nearest_over_many_blocks_and_of_distances_that_round_alike(spark):
+    import numpy as np
+
+    from tidemark.operators.vectors import nearest
+
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(120, 3)).round(1)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>").repartition(7)
+    # Each partition stays its own, as those of a large table do.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = sorted((r.query_id, r.vec_id, r.distance) for r in nearest(rows, rows.where("vec_id % 3 = 0"), 4, digits=1, block=16, group=8).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    exact = np.float32(points).astype(float)
+    far = np.floor(np.sqrt(((exact[:, None] - exact[None]) ** 2).sum(axis=2)) * 10 + 0.5) / 10
+    want = sorted((q, i, far[q, i]) for q in range(0, 120, 3) for i in sorted((i for i in range(120) if i != q), key=lambda i: (far[q, i], i))[:4])
+    assert got == want
