@@ -218,3 +218,13 @@ def test_nearest_over_many_blocks_and_of_distances_that_round_alike(spark):
     far = np.floor(np.sqrt(((exact[:, None] - exact[None]) ** 2).sum(axis=2)) * 10 + 0.5) / 10
     want = sorted((q, i, far[q, i]) for q in range(0, 120, 3) for i in sorted((i for i in range(120) if i != q), key=lambda i: (far[q, i], i))[:4])
     assert got == want
+
+
+def test_tasks_grow_in_number_with_records(spark, monkeypatch):
+    from tidemark.operators import walks
+
+    monkeypatch.setattr(walks, "TASK_ROWS", 20)
+    whole = cdc.whole_records(frame(spark, [row(i, i, i) for i in range(1, 401)]))
+    first = cdc.first_deliveries(frame(spark, [row(i, i, i) for i in range(1, 401)]))
+    assert whole.count() == first.count() == 400
+    assert whole.rdd.getNumPartitions() >= 20 and first.rdd.getNumPartitions() >= 20

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.walks import walk
+from tidemark.operators.walks import dealt, tasks_for, walk
+from tidemark.storage import store
 
 STREAM = ["script", "class", "cell", "facet", "incarnation"]
 POSITION = ["epoch", "txid", "commit"]
@@ -64,9 +65,10 @@ def first_deliveries(records: DataFrame) -> DataFrame:
     """One delivery of each fragment of each record.
 
     Deliveries of one fragment are equal but for where and when they landed,
-    so whichever comes is taken: an aggregate with map-side combine.
+    so whichever comes is taken. Few come twice, so nothing is lost by dealing
+    them before: the sort that finds repeats then has a task's share of rows.
     """
-    return keyed(records).dropDuplicates([*RECORD_KEY, "fragment", "fragments"]).drop("_target", "_bulk")
+    return dealt(keyed(records), tasks_for(records), *RECORD_KEY).dropDuplicates([*RECORD_KEY, "fragment", "fragments"]).drop("_target", "_bulk")
 
 
 def _judged(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,7 +78,7 @@ def _judged(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     window over a record's fragments alike; records of one fragment, nearly all,
     never enter the window.
     """
-    once = keyed(records).repartition(*RECORD_KEY).dropDuplicates([*RECORD_KEY, "fragment", "fragments"])
+    once = dealt(keyed(records), tasks_for(records), *RECORD_KEY).dropDuplicates([*RECORD_KEY, "fragment", "fragments"])
     off = ~(F.col("fragment").between(1, F.col("fragments")))
     single = once.where("fragments = 1 AND fragment = 1")
     stray = once.where(off).withColumn("_fault", F.lit("out_of_range"))
@@ -281,7 +283,7 @@ def typed_rows(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return values.withColumns(out).drop("_v", "columns")
 
 
-def certified_heads(sent: DataFrame, marks: DataFrame) -> DataFrame:
+def certified_heads(sent: DataFrame, marks: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """The position up to which each stream's epoch is provably complete: STREAM, epoch, txid, commit.
 
     sent: STREAM, POSITION of live records; marks: STREAM, epoch, from_txid and
@@ -292,16 +294,19 @@ def certified_heads(sent: DataFrame, marks: DataFrame) -> DataFrame:
 
     Counts come from running totals over the union of records and marks, so
     the range join becomes one sort per (stream, epoch) of counts, one row per
-    position: records at a position are pre-aggregated.
+    position: records at a position are pre-aggregated. Only totals where a mark
+    begins or ends go on. Marks and totals are read several times, so both are
+    stored. ``tasks``: ``tasks_for(sent)``.
     """
     keys = [*STREAM, "epoch"]
-    marks = marks.select(*keys, "from_txid", "from_commit", "txid", "commit", "commits", "records").distinct()
-    points = sent.groupBy(*keys, "txid", "commit").agg(F.count("*").alias("n")).select(*keys, "txid", "commit", "n", F.lit(1).alias("p"))
+    sent, marks = dealt(sent, tasks, *keys), dealt(marks, tasks, *keys)
+    marks = store(marks.select(*keys, "from_txid", "from_commit", "txid", "commit", "commits", "records").distinct(), "marks")
+    points = sent.groupBy(*keys, "txid", "commit").agg(F.count("*").alias("n")).select(*keys, "txid", "commit", "n", F.lit(1).alias("p"), F.lit(0).alias("e"))
     ends = marks.select(*keys, "txid", "commit").union(marks.where("from_txid IS NOT NULL").select(*keys, "from_txid", "from_commit")).distinct()
-    both = points.unionByName(ends.select(*keys, "txid", "commit", F.lit(0).alias("n"), F.lit(0).alias("p")))
-    at = both.groupBy(*keys, "txid", "commit").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    both = points.unionByName(ends.select(*keys, "txid", "commit", F.lit(0).alias("n"), F.lit(0).alias("p"), F.lit(1).alias("e")))
+    at = both.groupBy(*keys, "txid", "commit").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("e").alias("e"))
     upto = Window.partitionBy(*keys).orderBy("txid", "commit")
-    totals = at.select(*keys, "txid", "commit", F.sum("n").over(upto).alias("tn"), F.sum("p").over(upto).alias("tp"))
+    totals = store(at.select(*keys, "txid", "commit", "e", F.sum("n").over(upto).alias("tn"), F.sum("p").over(upto).alias("tp")).where("e = 1").drop("e"), "totals")
     through = marks.join(totals, [*keys, "txid", "commit"])
     start = totals.select(*keys, F.col("txid").alias("from_txid"), F.col("commit").alias("from_commit"), F.col("tn").alias("fn"), F.col("tp").alias("fp"))
     judged = through.join(start, [*keys, "from_txid", "from_commit"], "left")
@@ -310,10 +315,10 @@ def certified_heads(sent: DataFrame, marks: DataFrame) -> DataFrame:
     good = judged.where(holds & later)
     # Of holding marks that start at one position the nearest is followed, so a position has one successor.
     onward = good.groupBy(*keys, "from_txid", "from_commit").agg(F.min(F.struct("txid", "commit")).alias("to"))
-    return _followed(onward.select(*keys, "from_txid", "from_commit", "to.txid", "to.commit"), keys)
+    return _followed(onward.select(*keys, "from_txid", "from_commit", "to.txid", "to.commit"), keys, tasks)
 
 
-def _followed(marks: DataFrame, keys: list[str]) -> DataFrame:
+def _followed(marks: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
     """The end of each key's chain of marks from -> (txid, commit), begun by the one without ``from``: keys, txid, commit.
 
     Ends ascend along a chain, so one pass over a key's marks in order of their
@@ -331,7 +336,7 @@ def _followed(marks: DataFrame, keys: list[str]) -> DataFrame:
             yield (*key, *at)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "txid", "commit"])
-    return walk(marks, by=keys, order=["txid", "commit"], take=["from_txid", "from_commit", "txid", "commit"], visit=visit, schema=schema)
+    return walk(marks, by=keys, order=["txid", "commit"], take=["from_txid", "from_commit", "txid", "commit"], visit=visit, schema=schema, tasks=tasks)
 
 
 def recovered_applied(recovered: DataFrame, streams: DataFrame) -> DataFrame:

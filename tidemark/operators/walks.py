@@ -12,14 +12,32 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows that leave a task together.
 BATCH = 8192
+#: Rows of a task of a large table, and those below which a task isn't worth its start.
+TASK_ROWS, LEAST_ROWS = 100_000, 10_000
 
 
-def walk(rows: DataFrame, *, by: list[str], order: list[Column | str], take: list[str], visit: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks ``rows`` are dealt to, so that a task's share is the same whatever their number.
+
+    Partitions whose number isn't stated are merged by compressed bytes, into one
+    per core while they are small; records compress so well that a task then
+    sorts millions. ``rows`` are counted, so they should be close to their source.
+    """
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    return max(1, -(-n // TASK_ROWS), min(cores, -(-n // LEAST_ROWS)))
+
+
+def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """``rows`` with those of a key of ``by`` together, in so many tasks; without ``tasks`` Spark chooses. Rows that lie so already stay."""
+    return rows.repartition(tasks, *by) if tasks else rows.repartition(*by)
+
+
+def walk(rows: DataFrame, *, by: list[str], order: list[Column | str], take: list[str], visit: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str, tasks: int | None = None) -> DataFrame:
     """visit(key, rows of the key in ``order``, as tuples of ``take``) for each key of ``by``; what it yields are rows of ``schema``.
 
     A task sorts its partition (which spills) and reads it as a stream, so a key
     may have any number of rows: what is held is what ``visit`` holds. A key is
-    walked by one task, as each step needs the one before it.
+    walked by one task, as each step needs the one before it. ``tasks``: see ``tasks_for``.
     """
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
@@ -36,7 +54,7 @@ def walk(rows: DataFrame, *, by: list[str], order: list[Column | str], take: lis
         if out:
             yield _batch(out, arrow)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).select(*by, *take).mapInArrow(run, kind)
+    return dealt(rows, tasks, *by).sortWithinPartitions(*by, *order).select(*by, *take).mapInArrow(run, kind)
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import cdc
+from tidemark.operators.walks import dealt, tasks_for
 from tidemark.storage import store
 
 
@@ -163,10 +164,10 @@ def _sent(rec: DataFrame) -> DataFrame:
     return rec.where("origin <> 'repair' AND kind <> 'recovered'").select(*cdc.STREAM, *cdc.POSITION)
 
 
-def _marks(rec: DataFrame) -> DataFrame:
+def _marks(sent: DataFrame) -> DataFrame:
     """A mark per 50 transactions, one in five of them with a record too few; besides, marks over two blocks, and every third mark twice."""
     block = F.floor((F.col("txid") - 1) / 50).cast("bigint")
-    own = rec.where("origin <> 'repair' AND kind <> 'recovered'").groupBy(*cdc.STREAM, "epoch", block.alias("block")).agg(F.count("*").alias("n"), F.max(F.struct("txid", "commit")).alias("last"))
+    own = sent.groupBy(*cdc.STREAM, "epoch", block.alias("block")).agg(F.count("*").alias("n"), F.max(F.struct("txid", "commit")).alias("last"))
     order = Window.partitionBy(*cdc.STREAM, "epoch").orderBy("block")
     marked = own.withColumns({"from1": F.lag("last").over(order), "from2": F.lag("last", 2).over(order), "n2": F.col("n") + F.lag("n").over(order)})
     columns = [*cdc.STREAM, "epoch", F.col("from.txid").alias("from_txid"), F.col("from.commit").alias("from_commit"), "last.txid", "last.commit", F.col("n").alias("commits"), (F.col("n") - F.col("short")).alias("records")]
@@ -191,8 +192,10 @@ certified AS (SELECT {_stream()}, epoch, max(upto)[1] AS txid, max(upto)[2] AS c
 
 
 def _certified(spark, sf_dir):
-    rec = records(spark, sf_dir, "rec")
-    return cdc.certified_heads(_sent(rec), _marks(rec))
+    sent = _sent(records(spark, sf_dir, "rec"))
+    tasks = tasks_for(sent)
+    sent = dealt(sent, tasks, *cdc.STREAM, "epoch")
+    return cdc.certified_heads(sent, _marks(sent), tasks=tasks)
 
 
 def stream_summary(spark, sf_dir):
