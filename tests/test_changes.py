@@ -228,3 +228,12 @@ def test_tasks_grow_in_number_with_records(spark, monkeypatch):
     first = cdc.first_deliveries(frame(spark, [row(i, i, i) for i in range(1, 401)]))
     assert whole.count() == first.count() == 400
     assert whole.rdd.getNumPartitions() >= 20 and first.rdd.getNumPartitions() >= 20
+
+
+def test_tasks_of_restore_plans_grow_in_number_with_files(spark, monkeypatch):
+    from tidemark.operators import audit, walks
+
+    monkeypatch.setattr(walks, "TASK_ROWS", 20)
+    files = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 40).alias("scope"), F.lit(1).cast("bigint").alias("epoch"), F.lit(0).alias("level"), (F.floor(F.col("id") / 40) + 1).alias("lo"), (F.floor(F.col("id") / 40) + 1).alias("hi"))
+    plan = audit.restore_plan(files, files.groupBy("scope", "epoch").agg(F.max("hi").alias("target")))
+    assert plan.count() == 400 and plan.rdd.getNumPartitions() >= 20

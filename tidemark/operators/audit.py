@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import asof_join, range_join
-from tidemark.operators.walks import walk
+from tidemark.operators.walks import dealt, tasks_for, walk
 
 OBJECT = r"^cells/([^/]+)/ltx/e(\d+)/ltx/(\d)/([0-9a-f]{16})-([0-9a-f]{16})\.ltx$"
 
@@ -37,7 +37,7 @@ def restorable_cuts(files: DataFrame) -> DataFrame:
                 yield (*key, hi)
 
     sound = files.where("lo > 0 AND hi >= lo").select("scope", "epoch", "lo", "hi").distinct()
-    return walk(sound, by=["scope", "epoch"], order=["hi", "lo"], take=["lo", "hi"], visit=visit, schema="scope string, epoch bigint, txid bigint")
+    return walk(sound, by=["scope", "epoch"], order=["hi", "lo"], take=["lo", "hi"], visit=visit, schema="scope string, epoch bigint, txid bigint", tasks=tasks_for(files))
 
 
 def restore_plan(files: DataFrame, targets: DataFrame) -> DataFrame:
@@ -70,8 +70,10 @@ def restore_plan(files: DataFrame, targets: DataFrame) -> DataFrame:
             yield from ((*key, i, lo, hi) for i, (lo, hi) in enumerate(steps))
 
     snapshot = F.col("level") == 9
+    tasks = tasks_for(files)
+    files, targets = (dealt(x, tasks, "scope", "epoch") for x in (files, targets))
     fit = files.join(targets, ["scope", "epoch"]).where("hi <= target").select("scope", "epoch", "target", snapshot.alias("snapshot"), "lo", "hi").distinct()
-    return walk(fit, by=["scope", "epoch"], order=[F.desc("snapshot"), "lo", "hi"], take=["target", "snapshot", "lo", "hi"], visit=visit, schema="scope string, epoch bigint, step int, lo bigint, hi bigint")
+    return walk(fit, by=["scope", "epoch"], order=[F.desc("snapshot"), "lo", "hi"], take=["target", "snapshot", "lo", "hi"], visit=visit, schema="scope string, epoch bigint, step int, lo bigint, hi bigint", tasks=tasks)
 
 
 def epoch_spans(heads: DataFrame) -> DataFrame:
