@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.cdc import POSITION, STREAM, TABLE
 from tidemark.operators.exports import split_records
-from tidemark.operators.walks import walk
+from tidemark.operators.walks import dealt, tasks_for, walk
 
 
 def commit_records(changes: DataFrame, *, max_bytes: int, overhead: int = 0) -> DataFrame:
@@ -22,7 +22,9 @@ def commit_records(changes: DataFrame, *, max_bytes: int, overhead: int = 0) ->
     record with a row that can't fit is a bulk record without rows.
     """
     own = [*STREAM, "epoch"]
-    numbered = changes.select(*own, "txid").distinct().withColumn("commit", F.row_number().over(Window.partitionBy(*own).orderBy("txid")).cast("bigint"))
+    tasks = tasks_for(changes)
+    changes = dealt(changes, tasks, *own, "txid")
+    numbered = dealt(changes.select(*own, "txid").distinct(), tasks, *own).withColumn("commit", F.row_number().over(Window.partitionBy(*own).orderBy("txid")).cast("bigint"))
     placed = changes.join(numbered, [*own, "txid"])
     rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", "change"))), lambda r: r["change"])
     whole = placed.groupBy(*STREAM, *POSITION, *TABLE, "columns", "key_columns").agg(rows.alias("rows"))

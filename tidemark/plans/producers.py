@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, cdc, producers, upkeep
+from tidemark.operators.walks import dealt, tasks_for
 from tidemark.plans import changes
 from tidemark.plans.changes import RECORDS, TOMBSTONES, read
+from tidemark.storage import store
 
 _STREAM = ", ".join(cdc.STREAM)
 
@@ -52,9 +54,11 @@ def watermark_emission(s, d):
 
 def produced_certified(s, d):
     """What was produced certifies itself, up to its last mark; where the third commit of an epoch was lost, up to no mark."""
-    sent = _acknowledged(s, d)
+    sent = store(_acknowledged(s, d), "acknowledged")
+    tasks = tasks_for(sent)
+    sent = dealt(sent, tasks, *cdc.STREAM, "epoch")
     lost = sent.where("NOT (commit = 3 AND epoch = 1)")
-    return cdc.certified_heads(lost, producers.watermarks(sent, every=40)).select("cell", "epoch", "txid", "commit")
+    return cdc.certified_heads(lost, producers.watermarks(sent, every=40), tasks=tasks).select("cell", "epoch", "txid", "commit")
 
 
 def row_dedup(s, d):
